@@ -1,0 +1,505 @@
+"""New batches of features checked against all accepted ones, without reprocessing the history.
+
+A shape is written as a stream of corners: closing and repeated points dropped, rings run one way, coordinates in
+Web-Mercator metres. The stream is cut by content: a rolling hash over neighbouring corners sets the boundaries
+(cyclic, so the first corner doesn't matter), and each chunk is known by its hash. A header chunk leads the stream:
+kind of shape and the cell of its middle; a shape also looks in the cells its middle may reach within the tolerance,
+so that two shapes that match always share a header, whatever became of their corners. A chunk-to-record table gives
+candidates and the bytes they share. Full coverage by corner chunks means the same outline; anything less is decided
+by the exact distance between corners and outlines. Only accepted shapes' chunks are appended.
+
+Of a chunk's records only the earliest is ever a candidate for the others (no pairs within a group); rows that differ
+from it meet the next one in the following round.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+import warnings
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from geoloom.session import cut, shared_dir
+
+EARTH_A = 6378137.0
+#: Side of the cells of the middle, in Web-Mercator metres, and of the cells corners are hashed by.
+CELL, GRAIN = 16.0, 0.05
+#: One corner in so many ends a chunk.
+MEAN_CHUNK = 4
+#: Bytes of a corner and of a header; a sum of shared bytes tells by its remainder whether the header is among them.
+CORNER_BYTES, HEADER_BYTES = 16, 8
+AREA, LINE, POINT = 1, 2, 3
+CLASS = {"Polygon": AREA, "MultiPolygon": AREA, "LineString": LINE, "MultiLineString": LINE, "Point": POINT, "MultiPoint": POINT}
+#: order = batch_no * 2**40 + row_id sorts by batch, then row.
+ROW_BITS = 40
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """64-bit finalizer (public splitmix64 constants)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Shapes:
+    """Shapes of a batch of rows as flat arrays: row, ring (numbered over the batch), x, y in Mercator metres."""
+
+    def __init__(self, row: np.ndarray, ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        self.row, self.ring, self.x, self.y = row, ring, x, y
+
+
+NUMERIC = np.zeros(256, bool)
+NUMERIC[np.frombuffer(b"0123456789+-.eE", np.uint8)] = True
+KNOWN = NUMERIC.copy()
+KNOWN[np.frombuffer(b"[], \t\r\n", np.uint8)] = True
+TO_BLANK = bytes(c if NUMERIC[c] else 32 for c in range(256))
+
+
+def _positions(v: object, out: list, ring: int) -> int:
+    """Positions of nested JSON coordinates as (ring, x, y); returns the next ring number."""
+    if not isinstance(v, list) or not v:
+        return ring
+    if isinstance(v[0], (int, float)) and not isinstance(v[0], bool):
+        if len(v) >= 2 and isinstance(v[1], (int, float)):
+            out.append((ring, float(v[0]), float(v[1])))
+        return ring + 1
+    if isinstance(v[0], list) and v[0] and isinstance(v[0][0], (int, float)):
+        for p in v:
+            if isinstance(p, list) and len(p) >= 2 and all(isinstance(c, (int, float)) for c in p[:2]):
+                out.append((ring, float(p[0]), float(p[1])))
+        return ring + 1
+    for x in v:
+        ring = _positions(x, out, ring)
+    return ring
+
+
+def read_coordinates(texts: list[bytes | None]) -> Shapes:
+    """All texts of a batch at once: structure from the brackets, numbers in one pass; odd texts one by one."""
+    clean, odd = [], []
+    for i, t in enumerate(texts):
+        (clean if t else odd).append(i)
+    buf = b"\n".join(texts[i] for i in clean)
+    got = _read_flat(buf, len(clean)) if clean else None
+    parts = []
+    if got is None:
+        odd = list(range(len(texts)))
+    else:
+        row, ring, x, y, bad = got
+        parts.append((np.array(clean, np.int64)[row], ring, x, y))
+        odd = [clean[k] for k in bad]
+    rings = int(parts[0][1].max()) + 1 if parts and len(parts[0][1]) else 0
+    for i in odd:
+        out: list = []
+        try:
+            rings = _positions(json.loads(texts[i] or b"null"), out, rings)
+        except (ValueError, RecursionError):
+            continue
+        if out:
+            parts.append((np.full(len(out), i), np.array([o[0] for o in out]), np.array([o[1] for o in out]), np.array([o[2] for o in out])))
+    if not parts:
+        none = np.empty(0)
+        return Shapes(none.astype(np.int64), none.astype(np.int64), none, none)
+    row, ring, x, y = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    ok = np.isfinite(x) & np.isfinite(y)
+    row, ring, x, y = row[ok], ring[ok], x[ok], y[ok]
+    # Numbers that can't be degrees make the whole row metres.
+    far = (np.abs(x) > 180) | (np.abs(y) > 90)
+    metres = np.zeros(len(texts), bool)
+    metres[row[far]] = True
+    deg = ~metres[row]
+    lat = np.clip(y[deg], -89.99, 89.99)
+    x, y = x.copy(), y.copy()
+    x[deg] = np.radians(x[deg]) * EARTH_A
+    y[deg] = np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * EARTH_A
+    return Shapes(row, ring, x, y)
+
+
+def _read_flat(buf: bytes, n: int) -> tuple | None:
+    a = np.frombuffer(buf, np.uint8)
+    line = np.cumsum(a == 10)
+    bad = np.unique(line[~KNOWN[a]])
+    if len(bad):
+        return None
+    num = NUMERIC[a]
+    start = np.flatnonzero(num & ~np.concatenate(([False], num[:-1])))
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")  # a text that isn't all numbers
+            values = np.fromstring(buf.translate(TO_BLANK).decode(), sep=" ")
+    except (ValueError, DeprecationWarning):
+        return None
+    if len(values) != len(start):
+        return None
+    # The last bracket or comma before each byte.
+    mark = (a == 91) | (a == 93) | (a == 44) | (a == 10)
+    last = np.maximum.accumulate(np.where(mark, np.arange(len(a)), -1))
+    before = last[start]
+    first = np.flatnonzero((before >= 0) & (a[before] == 91))
+    if not len(first):
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0), np.empty(0), []
+    size = np.diff(np.append(first, len(start)))
+    if (size < 2).any() or first[0] != 0:
+        return None
+    row = line[start[first]]
+    if (row != line[start[first + 1]]).any():
+        return None
+    bracket = before[first]
+    prior = np.where(bracket > 0, last[bracket - 1], -1)
+    # A position begins a ring if another bracket opens just before its own, or its row does.
+    new = (prior < 0) | (a[prior] != 44)
+    new[0] = True
+    return row, np.cumsum(new) - 1, values[first], values[first + 1], []
+
+
+def canonical(s: Shapes) -> Shapes:
+    """Closing points and repeated neighbours dropped; order of rows and rings kept."""
+    if not len(s.x):
+        return s
+    begins = np.concatenate(([True], s.ring[1:] != s.ring[:-1]))
+    at = np.flatnonzero(begins)
+    size = np.diff(np.append(at, len(s.x)))
+    head, tail = np.repeat(at, size), np.repeat(at + size - 1, size)
+    k = np.arange(len(s.x))
+    close = (k == tail) & (size.repeat(size) > 1) & (np.hypot(s.x - s.x[head], s.y - s.y[head]) < 1e-3)
+    prev = np.maximum(k - 1, 0)
+    twin = ~begins & (np.hypot(s.x - s.x[prev], s.y - s.y[prev]) < 1e-3)
+    keep = ~(close | twin)
+    return Shapes(s.row[keep], s.ring[keep], s.x[keep], s.y[keep])
+
+
+def content_chunks(s: Shapes, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, bytes) of the corner chunks. kind: class of each row. Rings count as cyclic, lines don't matter."""
+    if not len(s.x):
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    qx, qy = (np.rint(v / GRAIN).astype(np.int64).astype(np.uint64) for v in (s.x, s.y))
+    with np.errstate(over="ignore"):
+        t = mix(qx * np.uint64(0x9E3779B97F4A7C15) + mix(qy + kind[s.row].astype(np.uint64)))
+    begins = np.concatenate(([True], s.ring[1:] != s.ring[:-1]))
+    at = np.flatnonzero(begins)
+    size = np.diff(np.append(at, len(t)))
+    head = np.repeat(at, size)
+    nxt = np.where(np.arange(len(t)) + 1 < head + size.repeat(size), np.arange(len(t)) + 1, head)
+    # The rolling window holds a corner and the next; a sum, so that either direction gives the same.
+    with np.errstate(over="ignore"):
+        roll = mix(t + t[nxt])
+    ends = roll % np.uint64(MEAN_CHUNK) == 0
+    piece = np.cumsum(ends) - ends
+    ring_no = np.cumsum(begins) - 1
+    # What follows a ring's last boundary belongs with what precedes its first one.
+    last_end = np.zeros(len(at), np.int64) - 1
+    np.maximum.at(last_end, ring_no[ends], piece[ends] + 1)
+    first_piece = piece[at]
+    over = piece == last_end[ring_no]
+    piece = np.where(over & (last_end[ring_no] >= 0), first_piece[ring_no], piece)
+    key = ring_no * (piece.max() + 2) + piece
+    _, code = np.unique(key, return_inverse=True)
+    h = np.zeros(code.max() + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(h, code, roll)
+    row = np.zeros(len(h), np.int64)
+    row[code] = s.row
+    return row, mix(h), np.bincount(code) * CORNER_BYTES
+
+
+def header_chunks(s: Shapes, kind: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, own) of header chunks: own for the middle's cell, else a cell the middle may reach."""
+    if not len(s.x):
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+    order = np.argsort(s.row, kind="stable")
+    row, x, y = s.row[order], s.x[order], s.y[order]
+    at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    rows = row[at]
+    lo_hi = lambda v: (np.minimum.reduceat(v, at) + np.maximum.reduceat(v, at)) / 2
+    mx, my = lo_hi(x), lo_hi(y)
+    slack = tolerance * np.cosh(my / EARTH_A) * 1.02 + 0.01  # Mercator stretches by cosh(y / a)
+    own = np.floor(mx / CELL).astype(np.int64), np.floor(my / CELL).astype(np.int64)
+    x0, x1, y0, y1 = (np.floor(v / CELL).astype(np.int64) for v in (mx - slack, mx + slack, my - slack, my + slack))
+    wide = x1 - x0 + 1
+    count = wide * (y1 - y0 + 1)
+    who = np.repeat(np.arange(len(rows)), count)
+    step = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+    cx, cy = x0[who] + step % wide[who], y0[who] + step // wide[who]
+    with np.errstate(over="ignore"):
+        h = mix(cx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(cy.astype(np.uint64) * np.uint64(8) + kind[rows[who]].astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93)))
+    return rows[who], h, (cx == own[0][who]) & (cy == own[1][who])
+
+
+def ragged(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of count members: each member's group, and its place within."""
+    count = np.asarray(count, np.int64)
+    who = np.repeat(np.arange(len(count)), count)
+    return who, np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+
+
+#: Shorts before the ring sizes: anchor x and y, whether offsets are short, number of rings.
+FIXED = 7
+
+
+def pack(start: np.ndarray, end: np.ndarray, ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Array:
+    """Shapes in bytes, corners [start, end) each: anchor, ring sizes, corners in centimetres from the anchor."""
+    corners = end - start
+    who, within = ragged(corners)
+    ax, ay = np.rint(x[start]), np.rint(y[start])
+    dx, dy = np.rint((x - ax[who]) * 100).astype(np.int64), np.rint((y - ay[who]) * 100).astype(np.int64)
+    small = np.maximum(np.maximum.reduceat(np.abs(dx), start), np.maximum.reduceat(np.abs(dy), start)) < 32000
+    opens = np.concatenate(([True], (ring[1:] != ring[:-1]) | (who[1:] != who[:-1])))
+    ring_at = np.flatnonzero(opens)
+    size, ring_of = np.diff(np.append(ring_at, len(x))), who[ring_at]
+    rings = np.bincount(ring_of, minlength=len(start))
+    length = FIXED + 2 * rings + corners * np.where(small, 2, 4)
+    at = np.cumsum(length) - length
+    buf = np.zeros(int(length.sum()), np.int16)
+    two = lambda v: v.astype(np.int32).view(np.int16).reshape(-1, 2)
+    for k, v in ((0, ax), (2, ay), (5, rings)):
+        buf[at[:, None] + [k, k + 1]] = two(v)
+    buf[at + 4] = small
+    nth = np.arange(len(ring_of)) - (np.cumsum(rings) - rings)[ring_of]
+    buf[(at[ring_of] + FIXED + 2 * nth)[:, None] + [0, 1]] = two(size)
+    base, s = at[who] + FIXED + 2 * rings[who], small[who]
+    buf[(base[s] + 2 * within[s])[:, None] + [0, 1]] = np.stack([dx[s], dy[s]], 1).astype(np.int16)
+    if not s.all():
+        buf[(base[~s] + 4 * within[~s])[:, None] + [0, 1, 2, 3]] = np.hstack([two(dx[~s]), two(dy[~s])])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(at, len(buf)).astype(np.int32) * 2), pa.py_buffer(buf)])
+
+
+class Packed:
+    """Packed shapes read again: corners of all, with each shape's first corner and number, and each corner's ring."""
+
+    def __init__(self, blobs: pa.Array) -> None:
+        blobs = pa.concat_arrays([blobs.cast(pa.binary())])
+        offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64) // 2
+        d = np.frombuffer(blobs.buffers()[2], np.int16, len(blobs.buffers()[2]) // 2)
+        at = offsets[:-1]
+        two = lambda i: np.ascontiguousarray(d[i[:, None] + [0, 1]]).view(np.int32).ravel()
+        ax, ay, small, rings = two(at), two(at + 2), d[at + 4] != 0, two(at + 5)
+        ring_of, nth = ragged(rings)
+        size = two(at[ring_of] + FIXED + 2 * nth)
+        self.count = np.bincount(ring_of, size, len(at)).astype(np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        who, within = ragged(self.count)
+        base, s = at[who] + FIXED + 2 * rings[who], small[who]
+        x, y = np.empty(len(who), np.int64), np.empty(len(who), np.int64)
+        x[s], y[s] = d[base[s] + 2 * within[s]], d[base[s] + 2 * within[s] + 1]
+        if not s.all():
+            i = base[~s] + 4 * within[~s]
+            x[~s], y[~s] = two(i), two(i + 2)
+        self.x, self.y = x / 100.0 + ax[who], y / 100.0 + ay[who]
+        self.ring = np.repeat(np.arange(len(size)), size)
+
+    def segments(self, area: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vector from each corner to the next of its ring; from the last one to the first where shapes are areas."""
+        last = np.append(self.ring[1:] != self.ring[:-1], True)
+        begin = np.flatnonzero(np.concatenate(([True], last[:-1])))
+        nxt = np.arange(len(self.x)) + 1
+        closes = np.repeat(area, self.count)[last]
+        nxt[last] = np.where(closes, begin, np.flatnonzero(last))
+        return self.x[nxt] - self.x, self.y[nxt] - self.y
+
+
+#: Corner-segment distances worked out at once.
+BLOCK = 1 << 20
+
+
+def far_corners(a: Packed, b: Packed, area: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For the pairs' numbers: the largest distance of a corner of a from the outline of b, in Mercator metres."""
+    dx, dy = b.segments(area)
+    work = a.count[pairs] * b.count[pairs]
+    out = np.zeros(len(pairs))
+    block = np.cumsum(work) // BLOCK
+
+    def squares(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        px, py = a.x[i] - b.x[j], a.y[i] - b.y[j]
+        long = dx[j] ** 2 + dy[j] ** 2
+        u = np.clip((px * dx[j] + py * dy[j]) / np.where(long == 0, 1, long), 0, 1)
+        return (px - u * dx[j]) ** 2 + (py - u * dy[j]) ** 2
+
+    for k in np.unique(block):
+        of = np.flatnonzero(block == k)
+        p = pairs[of]
+        if len(p) == 1 and work[of[0]] > BLOCK:  # long outlines: some corners at a time
+            j = b.first[p[0]] + np.arange(b.count[p[0]])
+            step = max(1, BLOCK // len(j))
+            for lo in range(0, int(a.count[p[0]]), step):
+                i = a.first[p[0]] + np.arange(lo, min(lo + step, a.count[p[0]]))
+                out[of[0]] = max(out[of[0]], np.sqrt(squares(i[:, None], j[None, :]).min(axis=1).max()))
+            continue
+        who, i = ragged(a.count[p])
+        of_corner, j = ragged(b.count[p][who])
+        near = np.minimum.reduceat(squares((a.first[p][who] + i)[of_corner], b.first[p][who][of_corner] + j), np.cumsum(b.count[p][who]) - b.count[p][who])
+        out[of] = np.sqrt(np.maximum.reduceat(near, np.cumsum(a.count[p]) - a.count[p]))
+    return out
+
+
+def same_shapes(blobs_a: pa.Array, blobs_b: pa.Array, area: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each pair: every corner of either lies within tolerance (metres on the ground) of the other's outline."""
+    if not len(blobs_a):
+        return np.zeros(0, bool)
+    a, b = Packed(blobs_a), Packed(blobs_b)
+    # Mercator stretches by cosh(y / a); two centimetres are what packing may have moved.
+    most = tolerance * np.cosh(np.add.reduceat(a.y, a.first) / a.count / EARTH_A) + 0.02
+    ok = np.ones(len(most), bool)
+    for u, v in ((a.x, b.x), (a.y, b.y)):
+        for f in (np.minimum, np.maximum):
+            ok &= np.abs(f.reduceat(u, a.first) - f.reduceat(v, b.first)) <= most
+    for p, q in ((a, b), (b, a)):
+        left = np.flatnonzero(ok)
+        if len(left):
+            ok[left] = far_corners(p, q, area, left) <= most[left]
+    return ok
+
+
+PARSED = "ord bigint, kind tinyint, shape binary, own_hash bigint, headers array<bigint>, chunks array<bigint>, sizes array<int>"
+
+
+def parse_features(features: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """ord, shape and chunk hashes of each feature; rows without a readable position have none and are left out."""
+    narrow = features.filter(F.col("row_id").isNotNull()).select((F.coalesce(F.col("batch_no").cast("bigint"), F.lit((1 << 22) - 1)) * (1 << ROW_BITS) + F.col("row_id")).alias("ord"), F.col("geometry_type").cast("string"), F.col("coordinates").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                yield _parse(part)
+
+    def _parse(b: pa.RecordBatch) -> pa.RecordBatch:
+        kind = np.array([CLASS.get(k, 0) for k in b.column(1).to_pylist()], np.int64)
+        texts = [None if t is None or not k else t for t, k in zip(b.column(2).cast(pa.binary()).to_pylist(), kind, strict=True)]
+        s = canonical(read_coordinates(texts))
+        hr, hh, own = header_chunks(s, kind, tolerance)
+        cr, ch, cb = content_chunks(s, kind)
+        rows = np.unique(s.row)
+        edge = lambda r: (np.searchsorted(r, rows), np.searchsorted(r, rows, side="right"))
+        so, ho, co = (np.argsort(r, kind="stable") for r in (s.row, hr, cr))
+        (s0, s1), (h0, h1), (c0, c1) = edge(s.row[so]), edge(hr[ho]), edge(cr[co])
+        ring, x, y = s.ring[so], s.x[so], s.y[so]
+        shape = pack(s0, s1, ring, x, y) if len(rows) else pa.array([], pa.binary())
+        hh, own, ch, cb = hh[ho].view(np.int64), own[ho], ch[co].view(np.int64), cb[co].astype(np.int32)
+        own_hash = np.zeros(len(rows), np.int64)
+        own_hash[np.searchsorted(rows, hr[ho][own])] = hh[own]
+        lists = lambda v, i, j, t: pa.ListArray.from_arrays(pa.array(np.append(i, j[-1] if len(j) else 0), pa.int32()), pa.array(v, t))
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(kind[rows], pa.int8()), shape, pa.array(own_hash), lists(hh, h0, h1, pa.int64()), lists(ch, c0, c1, pa.int64()), lists(cb, c0, c1, pa.int32())], names=[x.split()[0] for x in PARSED.split(", ")])
+
+    return narrow.mapInArrow(run, PARSED)
+
+
+def chunk_table(parsed: DataFrame) -> DataFrame:
+    """hash, ord, nbytes, listed: the chunk-to-record table. Headers a shape only may reach are not listed."""
+    headers = parsed.select("ord", F.explode("headers").alias("hash"), F.lit(HEADER_BYTES).alias("nbytes"), "own_hash").select("hash", "ord", "nbytes", (F.col("hash") == F.col("own_hash")).alias("listed"))
+    return headers.unionByName(parsed.select("ord", F.explode(F.arrays_zip("chunks", "sizes")).alias("c")).select(F.col("c.chunks").alias("hash"), "ord", F.col("c.sizes").alias("nbytes"), F.lit(True).alias("listed")))
+
+
+def verified(candidates: DataFrame, shapes_a: DataFrame, shapes_b: DataFrame, tolerance: float) -> DataFrame:
+    """Those candidates (ord, m, shared) that are the same shape, by coverage and by the exact check."""
+    left = shapes_a.select("ord", F.col("shape").alias("shape_b"), "kind")
+    right = shapes_b.select(F.col("ord").alias("m"), F.col("shape").alias("shape_a"), F.col("kind").alias("kind_a"))
+    both = candidates.join(left, "ord").join(right, "m").filter("kind = kind_a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = same_shapes(b.column(2), b.column(3), b.column(4).to_numpy() == AREA, tolerance)
+            yield b.select([0, 1]).filter(pa.array(ok))
+
+    return both.select("ord", "m", "shape_a", "shape_b", "kind").mapInArrow(run, "ord bigint, m bigint")
+
+
+def shared_bytes(probes: DataFrame, firsts: DataFrame) -> DataFrame:
+    """ord, m, shared: bytes of the chunks a record shares with an earlier record m.
+
+    The coverage asked for is the header, which no two matching shapes fail to share; corners may all differ by a
+    little, so their share decides nothing against a pair.
+    """
+    met = probes.join(firsts, "hash").filter("m < ord")
+    return met.groupBy("ord", "m").agg(F.sum("nbytes").alias("shared")).filter(F.col("shared") % CORNER_BYTES == HEADER_BYTES)
+
+
+def repeats_within(parsed: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """ord, of (null if accepted) of every parsed row, taken in order: of is the earliest accepted match.
+
+    Each round accepts the rows that come first in all of their chunks, and settles the rows whose first candidate
+    they match. Settled rows leave; the others go on among themselves, with the best match so far.
+    """
+    done: list[DataFrame] = []
+    left = parsed.withColumn("held", F.lit(None).cast("bigint"))
+    while True:
+        chunks = chunk_table(left)
+        firsts = chunks.groupBy("hash").agg(F.min(F.when(F.col("listed"), F.col("ord"))).alias("m"), F.count("*").alias("n")).filter("n > 1 AND m IS NOT NULL").select("hash", "m")
+        cand = cut(shared_bytes(chunks.select("hash", "ord", "nbytes"), firsts))
+        match = cut(verified(cand, left, left, tolerance))
+        first = cand.groupBy("ord").agg(F.min("m").alias("first"))
+        state = left.select("ord", "held").join(first, "ord", "left")
+        # Accepted: first in all its chunks, and not the repeat of a row accepted before.
+        free = state.filter("first IS NULL AND held IS NULL").select("ord")
+        good = match.join(free.withColumnRenamed("ord", "m"), "m", "left_semi").groupBy("ord").agg(F.min("m").alias("new"))
+        state = state.join(good, "ord", "left").select("ord", "first", F.least("held", "new").alias("best"))
+        # A match is final once no earlier candidate is left.
+        settled = "(first IS NULL) OR (best IS NOT NULL AND best <= first)"
+        state = cut(state.withColumn("settled", F.expr(settled)))
+        done.append(state.filter("settled").select("ord", F.col("best").alias("of")))
+        rest = state.filter("NOT settled").select("ord", F.col("best").alias("held"))
+        if rest.isEmpty():
+            break
+        left = cut(left.drop("held").join(rest, "ord"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def stored(df: DataFrame, at: str) -> DataFrame:
+    df.write.mode("append").parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def repeats(features: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """row_a, row_b: each feature that repeats an accepted one, with the earliest it repeats.
+
+    Rows are taken by (batch_no, row_id); a null batch comes last. A shape is its outline: how it is written (first
+    corner, direction, closing point, further points on an edge, third coordinate, EPSG:3857 metres, a MultiPolygon
+    of one polygon) doesn't matter, nor do id, crs or attributes. Null, empty or unreadable coordinates and unknown
+    kinds of geometry repeat nothing. Exact copies count like any repeat. Shapes of very many corners are compared in
+    blocks. Only the named columns are read.
+    """
+    at = f"{shared_dir(features.sparkSession)}/features-{uuid.uuid4().hex}"
+    parsed = stored(parse_features(features, tolerance), at)
+    got = repeats_within(parsed, tolerance).filter("of IS NOT NULL")
+    low = (1 << ROW_BITS) - 1
+    return got.select(F.col("of").bitwiseAND(F.lit(low)).alias("row_a"), F.col("ord").bitwiseAND(F.lit(low)).alias("row_b"))
+
+
+class FeatureHistory:
+    """Accepted features on disk, as records and chunk table; batches are checked one after another."""
+
+    def __init__(self, path: str, tolerance: float = 0.5) -> None:
+        self.path, self.tolerance = path, tolerance
+
+    def _read(self, spark, name: str, like: DataFrame) -> DataFrame:
+        try:
+            return spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
+        except Exception:  # noqa: BLE001 - the first batch finds no table
+            return spark.createDataFrame([], like.schema)
+
+    def accept(self, batch: DataFrame) -> DataFrame:
+        """row_a, row_b of the batch's repeats; what is new is appended. Only chunks the batch shares are read on."""
+        spark = batch.sparkSession
+        parsed = cut(parse_features(batch, self.tolerance))
+        chunks = chunk_table(parsed)
+        known, shapes = self._read(spark, "chunks", chunks), self._read(spark, "records", parsed)
+        # Accepted records of a chunk differ from one another, so these are few; copies were never added.
+        old = known.filter("listed").select("hash", F.col("ord").alias("m"))
+        cand = shared_bytes(chunks.select("hash", "ord", "nbytes"), old)
+        seen = cut(verified(cand, parsed, shapes, self.tolerance).groupBy("ord").agg(F.min("m").alias("of")))
+        fresh = parsed.join(seen, "ord", "left_anti")
+        inside = cut(repeats_within(fresh, self.tolerance))
+        new = cut(fresh.join(inside.filter("of IS NULL"), "ord", "left_semi"))
+        new.write.mode("append").parquet(f"{self.path}/records")
+        chunk_table(new).write.mode("append").parquet(f"{self.path}/chunks")
+        low = (1 << ROW_BITS) - 1
+        both = seen.unionByName(inside.filter("of IS NOT NULL"))
+        return both.select(F.col("of").bitwiseAND(F.lit(low)).alias("row_a"), F.col("ord").bitwiseAND(F.lit(low)).alias("row_b"))
