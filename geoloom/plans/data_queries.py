@@ -65,3 +65,47 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_nodes, p3_found, p4_found, p4_common, p5_found, p5_unified, p6_found, p7_found, p7_filled)
 }
+
+
+# --- SQL that checks them, written independently of the operators ---------------------------------------------------
+
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_GROUP = r'("(?:[^"]|"")*"|[^",]*)'
+_OPEN = f"^{_FIELD}(,{_FIELD})*$"
+_FOUR = f"^{_GROUP},{_GROUP},{_GROUP},{_GROUP}$"
+
+
+def _field(i: int) -> str:
+    g = f"regexp_extract(raw, '{_FOUR}', {i}, 's')"
+    return f"CASE WHEN starts_with({g}, '\"') THEN replace({g}[2:-2], '\"\"', '\"') ELSE {g} END"
+
+
+_FOUL = r"[\x{00}-\x{08}\x{0b}-\x{1f}\x{7f}-\x{9f}\x{fffd}]"
+_NUM = r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*"
+_P1 = f"""WITH r AS (SELECT line_id, raw, regexp_full_match(raw, '{_OPEN}', 's') AS sound, regexp_full_match(raw, '{_FOUR}', 's') AS four FROM jcsu_lines WHERE line_no <> 1),
+f AS (SELECT *, {_field(1)} AS a, {_field(2)} AS b, {_field(3)} AS s, {_field(4)} AS l FROM r),
+v AS (SELECT *, regexp_full_match(a, '{_NUM}') AND regexp_full_match(b, '{_NUM}') AND coalesce(abs(try_cast(trim(a) AS DOUBLE)) <= 90 AND abs(try_cast(trim(b) AS DOUBLE)) <= 180, false) AND trim(s, E' \\t\\n') <> '' AND NOT regexp_matches(s, '{_FOUL}') AND NOT regexp_matches(l, '{_FOUL}') AS ok FROM f)
+SELECT line_id, CASE WHEN NOT sound THEN 'quoting' WHEN NOT four THEN 'columns' ELSE 'value' END AS reason FROM v WHERE NOT sound OR NOT four OR NOT ok"""
+
+_NONE = "({c} IS NULL OR NOT regexp_matches({c}, '[0-9]') OR regexp_full_match(trim({c}), '-.*|9{{4,}}'))"
+_P7 = " UNION ALL ".join(f"SELECT row_id, '{c}' AS field FROM features WHERE geometry_type IN ('Polygon', 'MultiPolygon') AND {_NONE.format(c=c)}" for c in ("height", "levels", "roof_height"))
+
+_BARE = r"[0-9]+([.,][0-9]+)?"
+_P4 = f"""WITH f AS (SELECT row_id, provider, coordinates, lower(trim(height)) AS h, lower(trim(levels)) AS l, {_NONE.format(c="height")} AS no_h, {_NONE.format(c="levels")} AS no_l FROM features),
+u AS (SELECT *, CASE WHEN no_h THEN NULL WHEN regexp_full_match(h, '{_BARE}') THEN '' WHEN regexp_matches(h, '''|′|ft|feet|foot|fuß|pie') THEN 'ft' WHEN regexp_matches(h, '"|in') THEN 'in' WHEN regexp_matches(h, 'yd|yard') THEN 'yd' WHEN regexp_matches(h, 'cm') THEN 'cm' WHEN regexp_matches(h, 'mm') THEN 'mm' ELSE 'm' END AS hu FROM f),
+med AS (SELECT provider, median(CAST(replace(h, ',', '.') AS DOUBLE)) AS m FROM u WHERE hu = '' GROUP BY provider),
+typ AS (SELECT median(CAST(replace(regexp_extract(h, '{_BARE}'), ',', '.') AS DOUBLE)) AS t FROM u WHERE hu = 'm'),
+bare AS (SELECT provider, arg_min(unit, abs(ln(t/(m*scale)))) AS bu FROM med, typ, (VALUES ('m', 1.0), ('ft', 0.3048), ('in', 0.0254), ('cm', 0.01), ('mm', 0.001)) x(unit, scale) GROUP BY provider)
+SELECT row_id, 'coordinates' AS quantity, 'EPSG:3857' AS unit FROM f WHERE abs(CAST(regexp_extract(coordinates, '-?[0-9.]+') AS DOUBLE)) > 180 OR abs(CAST(regexp_extract(coordinates, '-?[0-9.]+,(-?[0-9.]+)', 1) AS DOUBLE)) > 90
+UNION ALL SELECT row_id, 'height', CASE hu WHEN '' THEN bu ELSE hu END FROM u LEFT JOIN bare USING (provider) WHERE NOT no_h AND CASE hu WHEN '' THEN bu ELSE hu END <> 'm'
+UNION ALL SELECT row_id, 'levels', CASE WHEN regexp_matches(l, '^(g|eg|ground) ?[+]|above') THEN 'upper' WHEN regexp_matches(l, '''|ft') THEN 'ft' ELSE 'm' END FROM f WHERE NOT no_l AND NOT regexp_full_match(l, '{_BARE}|{_BARE} ?(storeys?|floors?|etagen?|fl[.]?)')"""
+
+_ON = "latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180"
+_P6 = f"""WITH p AS (SELECT point_id, latitude AS y, longitude AS x FROM jcsu_points WHERE {_ON}),
+z AS (SELECT zone_id, unnest(CASE geometry_type WHEN 'Polygon' THEN CAST(coordinates AS JSON)::DOUBLE[][][] ELSE flatten(CAST(coordinates AS JSON)::DOUBLE[][][][]) END) AS ring FROM zones),
+e AS (SELECT zone_id, ring[i][1] AS xa, ring[i][2] AS ya, ring[i + 1][1] AS xb, ring[i + 1][2] AS yb FROM (SELECT zone_id, ring, unnest(range(1, len(ring))) AS i FROM z))
+SELECT 'near' AS kind, a.point_id AS key_a, b.point_id AS key_b FROM p a JOIN p b ON b.y BETWEEN a.y - 0.001 AND a.y + 0.001 AND a.point_id < b.point_id
+WHERE 2*6371008.8*asin(sqrt(pow(sin(radians(b.y - a.y)/2), 2) + cos(radians(a.y))*cos(radians(b.y))*pow(sin(radians(b.x - a.x)/2), 2))) <= 30
+UNION ALL SELECT 'inside', point_id, zone_id FROM p JOIN e ON (ya > y) <> (yb > y) AND x < (xb - xa)*(y - ya)/(yb - ya) + xa GROUP BY point_id, zone_id HAVING count(*) % 2 = 1"""
+
+ORACLES: dict[str, str] = {"p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7}

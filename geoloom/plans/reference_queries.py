@@ -476,7 +476,7 @@ def tile_merge(spark: SparkSession, d: str) -> DataFrame:
     return spatial_join.merge_by_tile(t, ["x", "y"], "o_orderkey")
 
 
-NX, NZ = "CAST((c_custkey*37) % 1013 AS DOUBLE)/4.0", "CAST((c_custkey*101) % 997 AS DOUBLE)/4.0"
+NX, NZ = "CAST((c_custkey*37) % 211 AS DOUBLE)/4.0", "CAST((c_custkey*c_custkey + 101*c_custkey) % 499 AS DOUBLE)/4.0"
 
 
 @query(f"WITH p AS (SELECT c_custkey AS id, {NX} AS x, {NZ} AS z FROM customer) SELECT a.id, b.id AS earlier, sqrt((a.x - b.x)*(a.x - b.x) + (a.z - b.z)*(a.z - b.z)) AS gap FROM p a JOIN p b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND b.id < a.id WHERE (a.x - b.x)*(a.x - b.x) + (a.z - b.z)*(a.z - b.z) < 1.0")
