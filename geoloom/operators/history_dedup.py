@@ -57,7 +57,7 @@ class Shapes:
 NUMERIC = np.zeros(256, bool)
 NUMERIC[np.frombuffer(b"0123456789+-.eE", np.uint8)] = True
 KNOWN = NUMERIC.copy()
-KNOWN[np.frombuffer(b"[], \t\r\n", np.uint8)] = True
+KNOWN[np.frombuffer(b"[], \t\r\n\0", np.uint8)] = True
 TO_BLANK = bytes(c if NUMERIC[c] else 32 for c in range(256))
 
 
@@ -81,19 +81,19 @@ def _positions(v: object, out: list, ring: int) -> int:
 
 def read_coordinates(texts: list[bytes | None]) -> Shapes:
     """All texts of a batch at once: structure from the brackets, numbers in one pass; odd texts one by one."""
-    clean, odd = [], []
-    for i, t in enumerate(texts):
-        (clean if t else odd).append(i)
-    buf = b"\n".join(texts[i] for i in clean)
-    got = _read_flat(buf, len(clean)) if clean else None
-    parts = []
-    if got is None:
-        odd = list(range(len(texts)))
-    else:
-        row, ring, x, y, bad = got
-        parts.append((np.array(clean, np.int64)[row], ring, x, y))
-        odd = [clean[k] for k in bad]
-    rings = int(parts[0][1].max()) + 1 if parts and len(parts[0][1]) else 0
+    parts, odd, rings = [], [], 0
+    todo = [[i for i, t in enumerate(texts) if t]]
+    while todo:
+        at = todo.pop()
+        got = _read_flat(b"\0".join(texts[i] for i in at), len(at)) if at else None
+        if got is not None:
+            row, ring, x, y = got
+            parts.append((np.array(at, np.int64)[row], ring + rings, x, y))
+            rings += int(ring.max()) + 1 if len(ring) else 0
+        elif len(at) > 32:  # something odd is among them
+            todo += [at[: len(at) // 2], at[len(at) // 2 :]]
+        else:
+            odd += at
     for i in odd:
         out: list = []
         try:
@@ -122,9 +122,11 @@ def read_coordinates(texts: list[bytes | None]) -> Shapes:
 
 def _read_flat(buf: bytes, n: int) -> tuple | None:
     a = np.frombuffer(buf, np.uint8)
-    line = np.cumsum(a == 10)
-    bad = np.unique(line[~KNOWN[a]])
-    if len(bad):
+    line = np.cumsum(a == 0)
+    if not KNOWN[a].all() or line[-1] != n - 1:
+        return None
+    depth = np.cumsum((a == 91).astype(np.int64) - (a == 93))
+    if depth[-1] or depth[a == 0].any():  # brackets that don't close
         return None
     num = NUMERIC[a]
     start = np.flatnonzero(num & ~np.concatenate(([False], num[:-1])))
@@ -137,13 +139,13 @@ def _read_flat(buf: bytes, n: int) -> tuple | None:
     if len(values) != len(start):
         return None
     # The last bracket or comma before each byte.
-    mark = (a == 91) | (a == 93) | (a == 44) | (a == 10)
+    mark = (a == 91) | (a == 93) | (a == 44) | (a == 0)
     last = np.maximum.accumulate(np.where(mark, np.arange(len(a)), -1))
     before = last[start]
     first = np.flatnonzero((before >= 0) & (a[before] == 91))
     if not len(first):
         none = np.empty(0, np.int64)
-        return none, none, np.empty(0), np.empty(0), []
+        return none, none, np.empty(0), np.empty(0)
     size = np.diff(np.append(first, len(start)))
     if (size < 2).any() or first[0] != 0:
         return None
@@ -155,7 +157,7 @@ def _read_flat(buf: bytes, n: int) -> tuple | None:
     # A position begins a ring if another bracket opens just before its own, or its row does.
     new = (prior < 0) | (a[prior] != 44)
     new[0] = True
-    return row, np.cumsum(new) - 1, values[first], values[first + 1], []
+    return row, np.cumsum(new) - 1, values[first], values[first + 1]
 
 
 def canonical(s: Shapes) -> Shapes:

@@ -1,0 +1,114 @@
+import json
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from geoloom.operators import history_dedup as D
+
+SCHEMA = "row_id bigint, batch_no int, id string, geometry_type string, coordinates string, ord string"
+#: About one metre in degrees at the equator.
+M = 1 / 111_320
+
+
+def ring(x, y, w=20, h=10, close=True, start=0, back=False, more=(), jitter=None):
+    pts = [(0, 0), (w, 0), (w, h), (0, h)]
+    pts = pts[start:] + pts[:start]
+    if back:
+        pts = pts[::-1]
+    for k in more:
+        a, b = pts[k], pts[(k + 1) % len(pts)]
+        pts = pts[: k + 1] + [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)] + pts[k + 1 :]
+    if jitter is not None:
+        pts = [(a + dx, b + dy) for (a, b), (dx, dy) in zip(pts, jitter, strict=False)]
+    if close:
+        pts.append(pts[0])
+    return [[x + a * M, y + b * M] for a, b in pts]
+
+
+def mercator(r):
+    return [[np.radians(x) * D.EARTH_A, float(np.log(np.tan(np.pi / 4 + np.radians(y) / 2)) * D.EARTH_A)] for x, y in r]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, b, "same", k, c if c is None or isinstance(c, str) else json.dumps(c), "clash") for i, b, k, c in rows], SCHEMA)
+
+
+def run(spark, rows):
+    return {(r["row_a"], r["row_b"]) for r in D.repeats(frame(spark, rows)).collect()}
+
+
+def test_spellings_of_one_shape(spark):
+    hole = ring(10 + 5 * M, 5 + 3 * M, 4, 4)
+    rows = [(1, 1, "Polygon", [ring(10, 5), hole]), (2, 1, "Polygon", [ring(10, 5)]), (3, 2, "Polygon", [ring(10, 5, start=2, back=True, close=False), hole]), (4, 2, "Polygon", [mercator(ring(10, 5, more=(0, 2))), mercator(hole)]), (5, 3, "MultiPolygon", [[[[*p, 7.5] for p in ring(10, 5)], hole]]), (6, 3, "Polygon", [ring(10, 5, jitter=[(0.3, -0.2), (-0.2, 0.3), (0.1, 0.3), (-0.3, 0.1)]), hole]), (7, 3, "Polygon", [ring(10, 5, w=21), hole]), (8, 4, "MultiLineString", [ring(10, 5), hole]), (9, 5, "Polygon", [ring(10, 5, w=21), hole])]
+    assert run(spark, rows) == {(1, 3), (1, 4), (1, 5), (1, 6), (7, 9)}
+
+
+def test_points_and_lines(spark):
+    line = [[1, 1], [1.0001, 1.0001], [1.0002, 1]]
+    rows = [(1, 1, "Point", [3, 3]), (2, 2, "Point", [3 + 0.3 * M, 3]), (3, 2, "Point", [3 + 0.9 * M, 3]), (4, 2, "MultiLineString", [line]), (5, 3, "LineString", line[::-1]), (6, 3, "LineString", line[:2]), (7, 4, "Point", [3.0, 89.0]), (8, 4, "Point", [3.0, 89.0])]
+    assert run(spark, rows) == {(1, 2), (4, 5), (7, 8)}
+
+
+def test_rows_without_a_shape(spark):
+    rows = [(1, 1, "Polygon", None), (2, 1, "Polygon", ""), (3, 1, "Polygon", "[[["), (4, 1, None, [ring(0, 0)]), (5, 1, "Blob", [ring(0, 0)]), (6, None, "Polygon", [ring(0, 0)]), (7, 1, "Polygon", [ring(0, 0)]), (8, 1, "Polygon", "[]"), (9, 1, "Polygon", '[[["a",1]]]'), (10, 1, "Polygon", "[null]"), (11, 1, "Polygon", json.dumps([ring(0, 0)])[:-1])]
+    assert run(spark, rows) == {(7, 6)}
+    assert run(spark, []) == set()
+
+
+def test_chains_and_hot_shapes(spark):
+    # Each step is within half a metre of the last one only: every other one is accepted.
+    chain = [(i, 1, "Point", [7 + 0.4 * M * i, 7]) for i in range(1, 7)]
+    assert run(spark, chain) == {(1, 2), (3, 4), (5, 6)}
+    rng = np.random.default_rng(2)
+    hot = [(100 + i, 2, "Polygon", [ring(20, 2, jitter=rng.uniform(-0.1, 0.1, (4, 2)))]) for i in range(600)]
+    assert run(spark, hot) == {(100, 100 + i) for i in range(1, 600)}
+
+
+def test_batch_by_batch_is_like_all_at_once(spark, small, tmp_path):
+    f = spark.read.parquet(f"{small}/features.parquet")
+    history, got = D.FeatureHistory(str(tmp_path / "history")), set()
+    bounds = ((1, 8), (9, 16), (17, 24))
+    for lo, hi in bounds:
+        got |= {tuple(r) for r in history.accept(f.filter(f"batch_no BETWEEN {lo} AND {hi}")).collect()}
+    assert got == {tuple(r) for r in D.repeats(f).collect()} and got
+
+
+def greedy(shapes, kinds, tolerance=0.5):
+    accepted, out = [], {}
+    for i, s in enumerate(shapes):
+        hit = next((j for j in accepted if kinds[i] == kinds[j] and D.same_shapes(pa.array([shapes[j]], pa.binary()), pa.array([s], pa.binary()), np.array([kinds[i] == D.AREA]), tolerance)[0]), None)
+        if hit is None:
+            accepted.append(i)
+        else:
+            out[i] = hit
+    return out
+
+
+def test_against_brute_force(spark, small):
+    f = spark.read.parquet(f"{small}/features.parquet")
+    p = sorted(D.parse_features(f).select("ord", "kind", "shape").collect())
+    low = (1 << D.ROW_BITS) - 1
+    want = {(p[a]["ord"] & low, p[b]["ord"] & low) for b, a in greedy([bytes(r["shape"]) for r in p], [r["kind"] for r in p]).items()}
+    assert {tuple(r) for r in D.repeats(f).collect()} == want
+
+
+def test_long_outlines_and_large_shapes():
+    a = np.linspace(0, 2 * np.pi, 3000, endpoint=False)
+    x, y = 5e6 + 9e4 * np.cos(a), 1e6 + 9e4 * np.sin(a)
+    blob = D.pack(np.array([0]), np.array([3000]), np.zeros(3000, int), x, y)
+    back = D.Packed(blob)
+    assert np.abs(back.x - x).max() < 0.006 and np.abs(back.y - y).max() < 0.006
+    moved = D.pack(np.array([0]), np.array([3000]), np.zeros(3000, int), np.roll(x, 7)[::-1], np.roll(y, 7)[::-1] + 0.3)
+    off = D.pack(np.array([0]), np.array([3000]), np.zeros(3000, int), x, y + 1)
+    assert D.same_shapes(blob, moved, np.array([True]), 0.5)[0] and not D.same_shapes(blob, off, np.array([True]), 0.5)[0]
+
+
+@pytest.mark.parametrize("text", [b"[1,2]", b"[[1,2],[3,4]]", b"[[[1,2,9],[3,4,9]],[[5,6],[7,8]]]", b"[[[[1e1,-2],[3,4]]],[[[5,6],[7,8]]]]", b" [ [ 1 , 2 ] ,\n[3,4] ] "])
+def test_flat_reading_is_like_json(text):
+    s = D.read_coordinates([None, text, b"[9,9]"])
+    out: list = []
+    D._positions(json.loads(text), out, 0)
+    one = s.row == 1
+    assert one.sum() == len(out) and (s.row == 2).sum() == 1
+    assert (np.diff(s.ring[one]) != 0).tolist() == [a[0] != b[0] for a, b in zip(out, out[1:], strict=False)]
