@@ -41,8 +41,10 @@ def convex(ring: list[Point]) -> bool:
 
 
 def _visible(a: Point, b: Point, ring: list[Point]) -> bool:
-    """Whether the open segment a-b crosses no edge of ring properly."""
+    """Whether the open segment a-b meets neither an edge of ring nor a corner."""
     for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+        if p not in (a, b) and cross(a, b, p) == 0 and (p[0] - a[0]) * (p[0] - b[0]) + (p[1] - a[1]) * (p[1] - b[1]) < 0:
+            return False
         if p in (a, b) or q in (a, b):
             continue
         if cross(a, b, p) * cross(a, b, q) < 0 and cross(p, q, a) * cross(p, q, b) < 0:
@@ -54,16 +56,40 @@ def bridged(outer: list[Point], holes: list[list[Point]]) -> list[Point]:
     """One ring: each hole joined to what is there already by a cut to the nearest corner it can see."""
     ring = outer if signed_area(outer) > 0 else outer[::-1]
     todo = [h if signed_area(h) < 0 else h[::-1] for h in holes if len(h) >= 3]
-    for k, hole in enumerate(sorted(todo, key=lambda h: -max(p[0] for p in h))):
+    for hole in sorted(todo, key=lambda h: -max(p[0] for p in h)):
         start = max(range(len(hole)), key=lambda i: hole[i][0])
         h = hole[start:] + hole[:start]
-        others = [p for o in todo for p in [o] if o is not hole]
+        others = [o for o in todo if o is not hole]
         order = sorted(range(len(ring)), key=lambda i: math.dist(ring[i], h[0]))
         at = next((i for i in order if _visible(h[0], ring[i], ring) and _visible(h[0], ring[i], h) and all(_visible(h[0], ring[i], o) for o in others)), order[0])
         ring = ring[: at + 1] + h + [h[0]] + ring[at:]
     return ring
 
 
+def _blocked(ring: list[Point], at: list[int], a: Point, b: Point, c: Point) -> bool:
+    """Whether a corner lies within the ear a-b-c or on its cut c-a, or an edge crosses the cut."""
+    for n, i in enumerate(at):
+        p, q = ring[i], ring[at[(n + 1) % len(at)]]
+        if p not in (a, b, c):
+            side = cross(c, a, p)
+            if side > 0 and cross(a, b, p) > 0 and cross(b, c, p) > 0:
+                return True
+            if side == 0 and (p[0] - a[0]) * (p[0] - c[0]) + (p[1] - a[1]) * (p[1] - c[1]) < 0:
+                return True
+        if cross(a, c, p) * cross(a, c, q) < 0 and cross(p, q, a) * cross(p, q, c) < 0:
+            return True
+    return False
+
+
+def _opens_inward(ring: list[Point], at: list[int], k: int, to: Point, back: bool = False) -> bool:
+    """Whether the cut from the corner before k (back: from the corner k) to a point runs within the corner's angle."""
+    i = k if back else (k - 1) % len(at)
+    p, before, after = ring[at[i]], ring[at[i - 1]], ring[at[(i + 1) % len(at)]]
+    if cross(before, p, after) >= 0:
+        return cross(before, p, to) >= 0 and cross(p, after, to) >= 0
+    return cross(before, p, to) >= 0 or cross(p, after, to) >= 0
+
+
 def triangulate(rings: list[list[Point]]) -> list[tuple[Point, Point, Point]]:
     """Ear clipping of an area with holes; triangles turn left."""
     rings = [open_ring(r) for r in rings]
@@ -77,7 +103,10 @@ def triangulate(rings: list[list[Point]]) -> list[tuple[Point, Point, Point]]:
             a, b, c = ring[i], ring[j], ring[m]
             if cross(a, b, c) <= 0:
                 continue
-            if any(ring[q] not in (a, b, c) and cross(a, b, ring[q]) >= 0 and cross(b, c, ring[q]) >= 0 and cross(c, a, ring[q]) >= 0 for q in at if q not in (i, j, m)):
+            if _blocked(ring, at, a, b, c):
+                continue
+            # Where a cut to a hole ends, the ear must lie on the inner side of the outline.
+            if not _opens_inward(ring, at, k, c) or not _opens_inward(ring, at, (k + 1) % len(at), a, back=True):
                 continue
             out.append((a, b, c))
             at.pop(k)

@@ -106,6 +106,8 @@ def fields(b: bytes) -> Iterator[tuple[int, int, object]]:
             v, at = b[at : at + 8], at + 8
         elif kind == 2:
             n, at = varint(b, at)
+            if at + n > len(b):
+                raise ValueError("cut off")
             v, at = b[at : at + n], at + n
         elif kind == 5:
             v, at = b[at : at + 4], at + 4
