@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EPS = 1e-7
 Point = tuple[float, float]
@@ -243,4 +244,7 @@ def build(features: DataFrame, scale: float = 1.0) -> DataFrame:
                 rows.append((r["id"], wall, top is not None, len(m.indices) // 3, cap, float(p[:, 1].max()) if len(p) else 0.0, m.positions, m.indices))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.bool_(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32())))], names=[x.split()[0] for x in OUT.split(", ")])
 
-    return features.select("id", "rings", "height", "shape", "roof_height", "bearing").mapInArrow(run, OUT)
+    narrow = features.select("id", "rings", "height", "shape", "roof_height", "bearing")
+    # A mesh takes far longer to build than its footprint to move: rows are dealt out evenly first.
+    width = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return narrow.repartition(width, F.xxhash64("id")).mapInArrow(run, OUT)

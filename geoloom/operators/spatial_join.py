@@ -44,7 +44,8 @@ def duplicate_shapes(shapes: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """
     order = F.struct("seq", "id")
     own = shapes.filter("NOT contained AND points IS NOT NULL AND size(points) > 0").select("id", order.alias("at"), "points", F.to_json("points").alias("outline"))
-    first = own.groupBy("outline").agg(F.min("at").alias("at"), F.first("points").alias("points"))
+    # Text groups by hash; an array of corners would have to be sorted.
+    first = own.groupBy("outline").agg(F.min("at").alias("at"), F.any_value("points").alias("points"))
     cell = 1.0
     q = lambda c, d: F.floor((F.col("points")[0][c] + d) / cell).cast("bigint")
     base = first.select("at", "points", "outline", F.size("points").alias("n"))
@@ -54,7 +55,7 @@ def duplicate_shapes(shapes: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     # Distinct outlines that close are few: the earliest of them keeps.
     closest = near.groupBy("outline").agg(F.min("at_a").alias("keeper"))
     leader = first.join(closest, "outline", "left").select("outline", F.coalesce("keeper", "at").alias("keeper"))
-    return own.join(leader, "outline").filter("at <> keeper").select("id", F.col("keeper.id").alias("keeper"))
+    return own.drop("points").join(leader, "outline").filter("at <> keeper").select("id", F.col("keeper.id").alias("keeper"))
 
 
 def near_earlier(points: DataFrame, distance: float = 1.0) -> DataFrame:
