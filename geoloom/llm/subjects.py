@@ -29,13 +29,17 @@ from pyspark.sql import functions as F
 from geoloom.session import shared_dir
 
 #: Hashed terms, dimensions kept, centroids and rounds of refinement.
-TERMS, DIMS, CENTROIDS, ROUNDS, POWER = 1 << 15, 96, 400, 5, 2
+TERMS, DIMS, CENTROIDS, ROUNDS, POWER = 1 << 15, 256, 600, 5, 2
 #: Bounds of the samples: labelled documents the term weights and subjects are fitted on, segments seeds are drawn from.
 LABELLED, SEED_SAMPLE = 20_000, 20_000
 #: A centroid is of a subject if that share of its labelled documents has it; below LEAST documents they prove little.
-AGREE, LEAST = 0.4, 3.0
+AGREE, LEAST = 0.42, 3.0
+#: Power of the cosine by which neighbouring centroids share their votes.
+LENT = 3
+#: Least cosine between a segment and its centroid.
+NEAR = 0.4
 #: Segments of more words are cut into windows of WINDOW words that overlap by half.
-LONG, WINDOW = 28, 14
+LONG, WINDOW = 20, 10
 
 MARKUP = re.compile(r"<[^<>]{1,200}>|&[a-zA-Z]{2,8};|&#\d+;|https?://\S+")
 STOP = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|[\r\n]+|[\U0001F300-\U0001FAFF★☆✓•|]+")
@@ -276,9 +280,9 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
                 size = np.linalg.norm(y, axis=1)
                 good &= size > 1e-6
                 y = y[good] / size[good, None]
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(2).filter(pa.array(good)), pa.array([r.tobytes() for r in y], pa.binary())], names=["h", "n", "vec"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(2).filter(pa.array(good)), pa.array([r.tobytes() for r in y], pa.binary()), pa.array(size[good], pa.float32())], names=["h", "n", "vec", "held"])
 
-    placed = _written(distinct.select("h", "segment", "n").mapInArrow(embed, "h bigint, n bigint, vec binary"), folder, "placed")
+    placed = _written(distinct.select("h", "segment", "n").mapInArrow(embed, "h bigint, n bigint, vec binary, held float"), folder, "placed")
     total = placed.count()
     if not total:
         return spark.createDataFrame([], "doc_id bigint, subject string")
@@ -306,17 +310,23 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
         for b in batches:
             if b.num_rows:
                 x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, DIMS)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array((x @ sentc.value.T).argmax(1), pa.int32())], names=["h", "c"])
+                cos = x @ sentc.value.T
+                c = cos.argmax(1)
+                # The cosine of the whole vector: what the decomposition doesn't hold counts against it.
+                near = cos[np.arange(len(c)), c] * b.column(2).to_numpy() >= NEAR
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(near)), pa.array(c[near], pa.int32())], names=["h", "c"])
 
-    of = _written(placed.select("h", "vec").mapInArrow(nearest, "h bigint, c int"), folder, "of")
+    of = _written(placed.select("h", "vec", "held").mapInArrow(nearest, "h bigint, c int"), folder, "of")
     near = occurs.select("doc_id", "h").join(of, "h").select("doc_id", "c").distinct()
     votes = near.join(mix, "doc_id").groupBy("c").agg(F.count("*").alias("docs"), *(F.sum(F.col("mix")[i]).alias(f"m{i}") for i in range(n_mix))).collect()
-    subject_of = {}
+    docs, m = np.zeros(len(centres)), np.zeros((len(centres), n_mix))
     for r in votes:
-        m = np.array([r[f"m{i}"] for i in range(n_mix)])
-        s = ((m + LEAST * base) / (r["docs"] + LEAST))[:-1]
-        if s.max() >= AGREE:
-            subject_of[r["c"]] = listed[int(s.argmax())][1]
+        docs[r["c"]], m[r["c"]] = r["docs"], [r[f"m{i}"] for i in range(n_mix)]
+    # Neighbours lend their votes, the less the farther they are: of weight where a centroid has few of its own.
+    lent = np.maximum(centres @ centres.T, 0) ** LENT
+    np.fill_diagonal(lent, 1)
+    share = ((lent @ m + LEAST * base) / (lent @ docs + LEAST)[:, None])[:, :-1]
+    subject_of = {c: listed[int(share[c].argmax())][1] for c in range(len(centres)) if share[c].max() >= AGREE}
     if not subject_of:
         return spark.createDataFrame([], "doc_id bigint, subject string")
     meaning = spark.createDataFrame(sorted(subject_of.items()), "c int, subject string")
