@@ -18,6 +18,7 @@ from geoloom.functions import geometry as G
 from geoloom.functions import js
 from geoloom.operators import dem, mesh, spatial_join
 from geoloom.operators.grid import TileSet, best_tile, corners_inside, desired_diff, model_transform, parent_tiles, tile_box, tiles_box, window_shift, without_tiles
+from geoloom.plans import buildings
 from geoloom.session import shared_dir, table
 from geoloom.sources import urls
 from geoloom.streaming import requests as S
@@ -584,5 +585,35 @@ def viewport_stream(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, d, S.follow_windows, ["event_id", "user_id AS viewer", "event_id % 7 AS x", "event_id % 5 AS y", "3L AS nx", "2L AS ny"])
 
 
+_F = "json_extract(body, '$.features[' || i || ']')"
+_AT = "'^[\\[\\s]*(-?[0-9][0-9.eE+-]*)\\s*,\\s*(-?[0-9][0-9.eE+-]*)'"
+
+
+def _placed_sql() -> str:
+    cx, cy = WORLD.corner
+    lon = "CASE epsg WHEN 1 THEN px WHEN 0 THEN degrees(px/6378137.0) END"
+    lat = "CASE epsg WHEN 1 THEN py WHEN 0 THEN degrees(pi()/2 - 2.0*atan(exp(-py/6378137.0))) END"
+    crs = "json_extract(body, '$.crs')"
+    members = ", ".join(CODE_SQL.format(s=_up(f"json_extract_string(body, '$.crs.{k}')")) for k in ("properties.name", "properties.href", "properties.code", "type"))
+    cell = "greatest(least(ceil({v}/20.0) - 1, {n} - 1), 0)"
+    return f"""WITH b AS (SELECT page_id, body, CASE usual_epsg WHEN 4326 THEN 1 WHEN 3857 THEN 0 END AS explicit FROM geojson_pages LEFT JOIN providers USING (provider) WHERE json_valid(body)),
+    e AS (SELECT *, unnest(range(CAST(coalesce(json_array_length(body, '$.features'), 0) AS BIGINT))) AS i FROM b WHERE json_type(body, '$.features') = 'ARRAY'),
+    f AS (SELECT page_id, i, {_F} AS f, coalesce(explicit, CASE json_type({crs}) WHEN 'VARCHAR' THEN {CODE_SQL.format(s=_up("json_extract_string(body, '$.crs')"))} WHEN 'OBJECT' THEN coalesce({members}) END) AS epsg FROM e),
+    g AS (SELECT page_id, i, epsg, json_type(f, '$.properties') AS pt, CASE WHEN json_type(f, '$.properties') IN ('OBJECT') THEN json_extract(f, '$.properties') ELSE '{{}}'::JSON END AS properties, json_extract_string(f, '$.id') AS id, json_extract_string(f, '$.geometry.type') AS gt, json_extract_string(f, '$.geometry.coordinates') AS c FROM f),
+    h AS (SELECT *, {HEIGHT_SQL} AS height, CASE WHEN json_type(properties, '$.Name') IS NOT NULL THEN {_str('$.Name')} WHEN json_type(properties, '$.name') IS NOT NULL THEN {_str('$.name')} ELSE coalesce(id, 'Building') END AS name, try_cast(nullif(regexp_extract(c, {_AT}, 1), '') AS DOUBLE) AS px, try_cast(nullif(regexp_extract(c, {_AT}, 2), '') AS DOUBLE) AS py FROM g),
+    l AS (SELECT *, {lon} AS lon, {lat} AS lat FROM h),
+    t AS (SELECT *, CASE WHEN lat > -90 AND lat < 90 THEN {TX.format(lon="lon", n="64.0")} - {cx} END AS u, CASE WHEN lat > -90 AND lat < 90 THEN {cy} + 1 - {TY.format(lat="CASE WHEN lat > -90 AND lat < 90 THEN lat END", n="64.0")} END AS v FROM l)
+    SELECT page_id, CAST(i AS INTEGER) AS feature_no, name, height, epsg, CASE WHEN u IS NOT NULL AND v IS NOT NULL THEN CAST({cell.format(v="(v*20.0)", n=16)}*24 + {cell.format(v="(u*20.0)", n=24)} AS BIGINT) END AS tile,
+    CASE WHEN coalesce(pt, 'NULL') = 'NULL' THEN 'no properties' WHEN gt IN ('Polygon', 'Point', 'MultiPolygon', 'MultiLineString') THEN CASE WHEN epsg IS NULL THEN 'unknown projection' WHEN u IS NULL OR v IS NULL THEN 'no position' END ELSE 'unsupported: ' || coalesce(gt, 'none') END AS reason FROM t"""
+
+
+@query(_placed_sql())
+def placed_buildings(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "geojson_pages").join(table(spark, d, "providers").select("provider", "usual_epsg"), "provider", "left")
+    explicit = F.when(F.col("usual_epsg") == 4326, C.EPSG_4326).when(F.col("usual_epsg") == 3857, C.EPSG_3857)
+    b = p.select("page_id", explicit.alias("explicit"), F.try_parse_json("body").alias("v"))
+    return buildings.place(b, ["page_id", "explicit"], WORLD, F.col("explicit")).select("page_id", "feature_no", "name", "height", "epsg", "tile", "reason")
+
+
 # The flagship query goes by a shorter name.
 QUERIES["parent_tiles"], ORACLES["parent_tiles"] = QUERIES.pop("parent_tiles_count"), ORACLES.pop("parent_tiles_count")
