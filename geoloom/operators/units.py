@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,10 +232,12 @@ def bare_units(measured: DataFrame, providers: DataFrame) -> DataFrame:
     The median of a provider's bare numbers is set against the median of all heights with a stated unit: the unit
     whose scale comes nearest (as a ratio) is the one used. A declared unit holds unless it is off by more than half.
     """
-    stated = measured.filter("height_q.unit <> '' AND height_q.value > 0").agg(F.percentile_approx("height_q.value", 0.5, 2000).alias("typical"))
-    bare = measured.filter("height_q.unit = '' AND height_q.value > 0 AND NOT height_stand_in").groupBy("provider").agg(F.percentile_approx("height_q.value", 0.5, 2000).alias("mid"))
-    # One row a provider and a one-row table: sizes that don't grow with the features.
-    both = bare.crossJoin(stated).join(providers.select(F.col("provider"), F.col("height_unit")).dropDuplicates(["provider"]), "provider", "left")
+    value, unit = F.col("height_q.value"), F.col("height_q.unit")
+    middle = lambda which: F.percentile_approx(F.when(which & (value > 0), value), 0.5, 2000)
+    # One pass: the total's row has the typical stated height, the providers' rows their typical bare number.
+    r = measured.rollup("provider").agg(F.grouping("provider").alias("total"), middle(unit != "").alias("stated"), middle((unit == "") & ~F.col("height_stand_in")).alias("mid"))
+    r = r.withColumn("typical", F.max(F.when(F.col("total") == 1, F.col("stated"))).over(Window.partitionBy(F.lit(1))))
+    both = r.filter("total = 0 AND mid IS NOT NULL").join(providers.select("provider", "height_unit").dropDuplicates(["provider"]), "provider", "left")
     off = lambda s: F.abs(F.ln(F.col("typical") / (F.col("mid") * F.lit(s))))
     nearest = F.array_min(F.array(*[F.struct(off(s).alias("off"), F.lit(u).alias("unit"), F.lit(s).alias("scale")) for u, s in BARE]))
     declared = F.coalesce(*[F.when((F.lower("height_unit") == u) & (off(s) < math.log(1.5)), F.struct(off(s).alias("off"), F.lit(u).alias("unit"), F.lit(s).alias("scale"))) for u, s in (*BARE, ("yd", 0.9144))])
