@@ -32,6 +32,8 @@ from geoloom.session import shared_dir
 TERMS, DIMS, CENTROIDS, ROUNDS, POWER = 1 << 15, 256, 600, 5, 2
 #: Bounds of the samples: labelled documents the term weights and subjects are fitted on, segments seeds are drawn from.
 LABELLED, SEED_SAMPLE = 20_000, 20_000
+#: Most names to skip; a longer list is refused.
+NAMES = 100_000
 #: A centroid is of a subject if that share of its labelled documents has it; below LEAST documents they prove little.
 AGREE, LEAST = 0.42, 3.0
 #: Power of the cosine by which neighbouring centroids share their votes.
@@ -169,7 +171,10 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
     n_mix = len(names) + 1
     skip: frozenset[str] = frozenset()
     if names_to_skip is not None:
-        skip = frozenset(w for r in names_to_skip.filter("name IS NOT NULL").limit(100_000).collect() for w in WORD.findall(plain(r["name"])))
+        listed_names = names_to_skip.filter("name IS NOT NULL").select("name").limit(NAMES + 1).collect()
+        if len(listed_names) > NAMES:
+            raise ValueError(f"more than {NAMES} names to skip: they are sent to all workers")
+        skip = frozenset(w for r in listed_names for w in WORD.findall(plain(r["name"])))
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
