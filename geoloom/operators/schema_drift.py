@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.session import cut
+
 #: A new key may take over a gone one only if at least this share of the records that have both agree.
 AGREE = 0.7
 ID_KEYS = ("OBJECTID", "id")
@@ -109,13 +111,17 @@ def rename_evidence(ex: DataFrame, pairs: DataFrame) -> DataFrame:
     """For gone and new keys of each pair of files: records that have both, and those whose values agree."""
     names = lambda c: F.transform(c, lambda x: x["path"])
     diff = pairs.filter("prev_id IS NOT NULL").select("feed_id", "file_id", "prev_id", F.array_except(names(F.col("prev_fields")), names(F.col("fields"))).alias("gone"), F.array_except(names(F.col("fields")), names(F.col("prev_fields"))).alias("came")).filter("size(gone) > 0 AND size(came) > 0")
-    gone = diff.select("feed_id", F.col("prev_id").alias("of"), "file_id", F.explode("gone").alias("path"))
-    came = diff.select("feed_id", F.col("file_id").alias("of"), "file_id", F.explode("came").alias("path"))
+    side = lambda of, keys, new: diff.select("feed_id", F.col(of).alias("of"), F.col("file_id").alias("pair"), F.explode(keys).alias("path"), F.lit(new).alias("new"))
+    wanted = side("prev_id", "gone", False).unionByName(side("file_id", "came", True))
     have = ex.filter("rec IS NOT NULL AND vhash IS NOT NULL").select("feed_id", F.col("file_id").alias("of"), "rec", "path", "vhash")
-    # A record repeated in a file counts once, so no group of repeats meets another.
-    once = lambda d, v: have.join(d, ["feed_id", "of", "path"]).groupBy("feed_id", "file_id", "rec", F.col("path").alias(v)).agg(F.max("vhash").alias(f"{v}_hash"))
-    both = once(gone, "old").join(once(came, "new"), ["feed_id", "file_id", "rec"])
-    return both.groupBy("feed_id", "file_id", "old", "new").agg(F.count("*").alias("both"), F.sum((F.col("old_hash") == F.col("new_hash")).cast("long")).alias("same")).groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("old", "new", "both", "same")).alias("evidence"))
+    # A record repeated in a file counts once, so no group of repeats meets another; what a record lost and gained are
+    # a few keys.
+    once = have.join(wanted, ["feed_id", "of", "path"]).groupBy("feed_id", "pair", "rec", "path", "new").agg(F.max("vhash").alias("v"))
+    keys = lambda new: F.collect_list(F.when(F.col("new") == F.lit(new), F.struct("path", "v")))
+    both = once.groupBy("feed_id", "pair", "rec").agg(keys(False).alias("o"), keys(True).alias("n")).filter("size(o) > 0 AND size(n) > 0")
+    both = both.select("feed_id", F.col("pair").alias("file_id"), F.explode("o").alias("o"), "n").select("feed_id", "file_id", "o", F.explode("n").alias("n"))
+    met = both.groupBy("feed_id", "file_id", F.col("o.path").alias("old"), F.col("n.path").alias("new")).agg(F.count("*").alias("both"), F.sum((F.col("o.v") == F.col("n.v")).cast("long")).alias("same"))
+    return met.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("old", "new", "both", "same")).alias("evidence"))
 
 
 def least_cost(cost: np.ndarray) -> list[int]:
@@ -231,7 +237,7 @@ def schema_changes(rows: DataFrame) -> DataFrame:
     read, so their names cannot clash.
     """
     ex = explode_fields(rows)
-    pairs = file_pairs(file_schemas(ex))
+    pairs = cut(file_pairs(file_schemas(ex)))  # a row a file, read twice below
     known = pairs.filter("prev_id IS NOT NULL").join(rename_evidence(ex, pairs), ["feed_id", "file_id"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
