@@ -257,7 +257,7 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
 
     # Subspace iteration: the segments stay where they are, only terms x dimensions arrays travel.
     width = DIMS + 8
-    q = np.linalg.qr(np.random.default_rng(7).normal(size=(TERMS, width)))[0].astype(np.float32)
+    q = np.random.default_rng(7).standard_normal((TERMS, width), np.float32)
     for _ in range(POWER):
         basis = spark.sparkContext.broadcast(q)
 
@@ -274,8 +274,12 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
             yield from _partial(total)
 
         z = _slabs(distinct.select("segment", "n").mapInArrow(step, "slab int, vec binary"), TERMS, width)
-        q = np.linalg.qr(z + 1e-12)[0].astype(np.float32)
-    basis = spark.sparkContext.broadcast(np.ascontiguousarray(q[:, :DIMS]))
+        basis.destroy()  # all its readers are done
+        z += np.float32(1e-12)
+        q = np.linalg.qr(z)[0]
+        del z
+    basis = spark.sparkContext.broadcast(np.ascontiguousarray(q[:, :DIMS], np.float32))
+    del q
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,6 +311,7 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
             yield from _partial(acc)
 
         moved = _slabs(placed.select("n", "vec").mapInArrow(reassign, "slab int, vec binary"), len(centres), DIMS)
+        sentc.destroy()
         size = np.linalg.norm(moved, axis=1)
         centres = np.where(size[:, None] > 1e-6, moved / np.maximum(size, 1e-6)[:, None], centres).astype(np.float32)
     sentc = spark.sparkContext.broadcast(centres)
