@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if named:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(named)
         return named
     own = os.path.join(tempfile.gettempdir(), "geoloom-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
