@@ -108,4 +108,20 @@ SELECT 'near' AS kind, a.point_id AS key_a, b.point_id AS key_b FROM p a JOIN p
 WHERE 2*6371008.8*asin(sqrt(pow(sin(radians(b.y - a.y)/2), 2) + cos(radians(a.y))*cos(radians(b.y))*pow(sin(radians(b.x - a.x)/2), 2))) <= 30
 UNION ALL SELECT 'inside', point_id, zone_id FROM p JOIN e ON (ya > y) <> (yb > y) AND x < (xb - xa)*(y - ya)/(yb - ya) + xa GROUP BY point_id, zone_id HAVING count(*) % 2 = 1"""
 
-ORACLES: dict[str, str] = {"p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7}
+_P5 = """WITH r AS (SELECT row_id, feed_id, file_id, exported_at, properties, coalesce(json_extract_string(properties, '$.OBJECTID'), json_extract_string(properties, '$.id')) AS rec FROM feed_rows WHERE json_valid(properties)),
+k AS (SELECT row_id, feed_id, file_id, exported_at, rec, key, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT') THEN 'number' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'NULL' THEN NULL ELSE lower(type) END AS t,
+  CASE type WHEN 'ARRAY' THEN json_extract_string(value, '$[0]') WHEN 'OBJECT' THEN json_extract_string(value, '$.*')[1] ELSE json_extract_string(value, '$') END AS v FROM (SELECT r.*, e.key, e.type, e.value FROM r, json_each(r.properties) e)),
+n AS (SELECT *, coalesce(CAST(try_cast(trim(v) AS DOUBLE) AS VARCHAR), trim(v)) AS w FROM k),
+files AS (SELECT feed_id, file_id, lag(file_id) OVER (PARTITION BY feed_id ORDER BY min(exported_at), file_id) AS prev FROM n GROUP BY feed_id, file_id),
+kt AS (SELECT feed_id, file_id, key, arg_min(t, {'n': -c, 't': t}) FILTER (t IS NOT NULL) AS t FROM (SELECT feed_id, file_id, key, t, count(*) AS c FROM n GROUP BY ALL) GROUP BY ALL),
+gone AS (SELECT f.feed_id, f.file_id, f.prev, o.key FROM files f JOIN kt o ON o.feed_id = f.feed_id AND o.file_id = f.prev WHERE NOT EXISTS (SELECT 1 FROM kt x WHERE x.feed_id = f.feed_id AND x.file_id = f.file_id AND x.key = o.key)),
+came AS (SELECT f.feed_id, f.file_id, f.prev, o.key FROM files f JOIN kt o ON o.feed_id = f.feed_id AND o.file_id = f.file_id WHERE f.prev IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kt x WHERE x.feed_id = f.feed_id AND x.file_id = f.prev AND x.key = o.key)),
+gv AS (SELECT g.feed_id, g.file_id, n.rec, g.key, max(n.w) AS w FROM gone g JOIN n ON n.feed_id = g.feed_id AND n.file_id = g.prev AND n.key = g.key WHERE n.w IS NOT NULL AND n.rec IS NOT NULL GROUP BY ALL),
+cv AS (SELECT g.feed_id, g.file_id, n.rec, g.key, max(n.w) AS w FROM came g JOIN n ON n.feed_id = g.feed_id AND n.file_id = g.file_id AND n.key = g.key WHERE n.w IS NOT NULL AND n.rec IS NOT NULL GROUP BY ALL),
+ren AS (SELECT gv.feed_id, gv.file_id, gv.key AS o, cv.key AS c FROM gv JOIN cv USING (feed_id, file_id, rec) GROUP BY ALL HAVING avg(CASE WHEN gv.w = cv.w THEN 1.0 ELSE 0.0 END) >= 0.7)
+SELECT file_id, 'renamed' AS change, o AS old_field, c AS new_field FROM ren
+UNION ALL SELECT file_id, 'removed', key, '' FROM gone WHERE (feed_id, file_id, key) NOT IN (SELECT (feed_id, file_id, o) FROM ren)
+UNION ALL SELECT file_id, 'added', '', key FROM came WHERE (feed_id, file_id, key) NOT IN (SELECT (feed_id, file_id, c) FROM ren)
+UNION ALL SELECT f.file_id, 'retyped', a.key, a.key FROM files f JOIN kt a ON a.feed_id = f.feed_id AND a.file_id = f.file_id JOIN kt b ON b.feed_id = f.feed_id AND b.file_id = f.prev AND b.key = a.key WHERE a.t <> b.t"""
+
+ORACLES: dict[str, str] = {"p5_found": _P5, "p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7}
