@@ -124,4 +124,39 @@ UNION ALL SELECT file_id, 'removed', key, '' FROM gone WHERE (feed_id, file_id,
 UNION ALL SELECT file_id, 'added', '', key FROM came WHERE (feed_id, file_id, key) NOT IN (SELECT (feed_id, file_id, c) FROM ren)
 UNION ALL SELECT f.file_id, 'retyped', a.key, a.key FROM files f JOIN kt a ON a.feed_id = f.feed_id AND a.file_id = f.file_id JOIN kt b ON b.feed_id = f.feed_id AND b.file_id = f.prev AND b.key = a.key WHERE a.t <> b.t"""
 
-ORACLES: dict[str, str] = {"p5_found": _P5, "p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7}
+
+
+def _content(x: str) -> str:
+    """JSON given as text in a string, as JSON."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x}->>'$') THEN ({x}->>'$')::JSON ELSE {x} END"
+
+
+def _array(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN {x} WHEN 'OBJECT' THEN json_array({x}) ELSE '[]'::JSON END"
+
+
+def _each(x: str) -> str:
+    return f"unnest(range(CAST(json_array_length({x}) AS BIGINT)))"
+
+
+_P2 = f"""WITH b AS (SELECT page_id, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM geojson_pages),
+c AS (SELECT page_id, coalesce(json_extract(j, '$.features'), json_extract(j, '$.data.features')) AS fs FROM b),
+f0 AS (SELECT page_id, fs, {_each("fs")} AS no FROM c WHERE json_type(fs) = 'ARRAY'),
+f AS (SELECT page_id, no, {_content("json_extract(fs, '$[' || no || ']')")} AS f FROM f0),
+g AS (SELECT page_id, no, {_content("json_extract(f, '$.properties')")} AS p, {_content("json_extract(f, '$.geometry')")} AS g FROM f WHERE json_type(f) = 'OBJECT'),
+m0 AS (SELECT page_id, no, 0 AS m, g FROM g WHERE g->>'$.type' <> 'GeometryCollection' UNION ALL SELECT page_id, no, m, json_extract(gs, '$[' || m || ']') FROM (SELECT page_id, no, gs, {_each("gs")} AS m FROM (SELECT page_id, no, {_array("json_extract(g, '$.geometries')")} AS gs FROM g WHERE g->>'$.type' = 'GeometryCollection'))),
+m1 AS (SELECT page_id, no, m, g->>'$.type' AS t, {_content("json_extract(g, '$.coordinates')")} AS c FROM m0),
+m AS (SELECT *, coalesce(sum(CASE WHEN t LIKE 'Multi%' THEN json_array_length(c)::BIGINT ELSE 1 END) OVER (PARTITION BY page_id, no ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM m1),
+parts AS (SELECT page_id, no, t, off + k AS part, json_extract(c, '$[' || k || ']') AS c FROM (SELECT *, {_each("c")} AS k FROM m WHERE t LIKE 'Multi%' AND json_type(c) = 'ARRAY') UNION ALL SELECT page_id, no, t, off, c FROM m WHERE t NOT LIKE 'Multi%'),
+rings AS (SELECT page_id, no, part, i AS item, json_extract(c, '$[' || i || ']') AS c FROM (SELECT *, {_each("c")} AS i FROM parts WHERE t LIKE '%Polygon' AND json_type(c) = 'ARRAY') UNION ALL SELECT page_id, no, part, 0, c FROM parts WHERE t NOT LIKE '%Polygon'),
+o AS (SELECT page_id, no, p FROM g WHERE json_type(p) = 'OBJECT'),
+l AS (SELECT page_id, no, 'source' AS child, {_content("json_extract(p, '$.sources')")} AS v FROM o UNION ALL SELECT page_id, no, 'name', {_content("json_extract(p, '$.names.common')")} FROM o UNION ALL SELECT page_id, no, 'address', {_content("json_extract(p, '$.addresses')")} FROM o),
+i0 AS (SELECT page_id, no, child, v, {_each("v")} AS i FROM (SELECT page_id, no, child, {_array("v")} AS v FROM l)),
+i AS (SELECT page_id, no, child, i, json_extract(v, '$[' || i || ']') AS v FROM i0),
+u0 AS (SELECT page_id, no, i, {_content("json_extract(v, '$.units')")} AS u FROM i WHERE child = 'address'),
+u AS (SELECT page_id, no, i, u, {_each("u")} AS k FROM (SELECT page_id, no, i, {_array("u")} AS u FROM u0))
+SELECT page_id, no::INTEGER AS feature_no, 'ring' AS child, part::INTEGER AS part_no, item::INTEGER AS item_no FROM rings WHERE json_type(c) = 'ARRAY' AND json_array_length(c) > 0
+UNION ALL SELECT page_id, no::INTEGER, child, 0, i::INTEGER FROM i WHERE json_type(v) <> 'NULL'
+UNION ALL SELECT page_id, no::INTEGER, 'unit', i::INTEGER, k::INTEGER FROM u WHERE json_type(json_extract(u, '$[' || k || ']')) <> 'NULL'"""
+
+ORACLES: dict[str, str] = {"p2_found": _P2, "p5_found": _P5, "p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7}
