@@ -78,5 +78,4 @@ def merge_by_tile(features: DataFrame, keys: list[str], value: str) -> DataFrame
 
 def first_requests(requests: DataFrame, url: str, order: Column) -> DataFrame:
     """One request for each URL, the first; the others are answered from its result."""
-    kept = requests.filter(F.col(url).isNotNull()).groupBy(url).agg(F.min(order).alias("first"), F.count("*").alias("requests"))
-    return kept
+    return requests.filter(F.col(url).isNotNull()).groupBy(url).agg(F.min(order).alias("first"), F.count("*").alias("requests"))

@@ -486,10 +486,12 @@ def near_overlap(spark: SparkSession, d: str) -> DataFrame:
     return spatial_join.near_earlier(p, 1.0)
 
 
-@query("SELECT provider, tile_z, tile_x, tile_y, start_index, count(*) AS requests, min(page_id) AS first FROM geojson_pages GROUP BY ALL")
+URL = "provider || '/' || tile_z || '/' || tile_x || '/' || tile_y || '?startIndex=' || start_index"
+
+
+@query(f"SELECT {URL} AS url, min(page_id) AS first, count(*) AS requests FROM geojson_pages WHERE provider IS NOT NULL GROUP BY ALL")
 def request_cache(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "geojson_pages")
-    return p.groupBy("provider", "tile_z", "tile_x", "tile_y", "start_index").agg(F.count("*").alias("requests"), F.min("page_id").alias("first"))
+    return spatial_join.first_requests(table(spark, d, "geojson_pages").selectExpr("page_id", f"{URL} AS url"), "url", F.col("page_id"))
 
 
 R, GG, B = "l_orderkey % 4", "l_partkey % 256", "(l_suppkey*7 + l_linenumber) % 256"
