@@ -398,17 +398,25 @@ def chunk_table(parsed: DataFrame) -> DataFrame:
 
 
 def verified(candidates: DataFrame, shapes_a: DataFrame, shapes_b: DataFrame, tolerance: float) -> DataFrame:
-    """Those candidates (ord, m, shared) that are the same shape, by coverage and by the exact check."""
-    left = shapes_a.select("ord", F.col("shape").alias("shape_b"), "kind")
-    right = shapes_b.select(F.col("ord").alias("m"), F.col("shape").alias("shape_a"), F.col("kind").alias("kind_a"))
+    """Those candidates (ord, m, shared) that are the same shape.
+
+    Full coverage decides for: all bytes of either stream are shared, so the outlines agree to a few centimetres. The
+    others share a header at least and go to the exact check.
+    """
+    total = F.aggregate("sizes", F.lit(HEADER_BYTES), lambda s, x: s + x)
+    left = shapes_a.select("ord", F.col("shape").alias("shape_b"), "kind", total.alias("total_b"))
+    right = shapes_b.select(F.col("ord").alias("m"), F.col("shape").alias("shape_a"), F.col("kind").alias("kind_a"), total.alias("total_a"))
     both = candidates.join(left, "ord").join(right, "m").filter("kind = kind_a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = same_shapes(b.column(2), b.column(3), b.column(4).to_numpy() == AREA, tolerance)
+            ok = b.column(5).to_numpy(zero_copy_only=False).copy()
+            rest = np.flatnonzero(~ok)
+            a, c, k = (b.column(i).take(pa.array(rest)) for i in (2, 3, 4))
+            ok[rest] = same_shapes(a, c, k.to_numpy() == AREA, tolerance)
             yield b.select([0, 1]).filter(pa.array(ok))
 
-    return both.select("ord", "m", "shape_a", "shape_b", "kind").mapInArrow(run, "ord bigint, m bigint")
+    return both.select("ord", "m", "shape_a", "shape_b", "kind", F.expr("shared = total_a AND shared = total_b").alias("full")).mapInArrow(run, "ord bigint, m bigint")
 
 
 def shared_bytes(probes: DataFrame, firsts: DataFrame) -> DataFrame:
