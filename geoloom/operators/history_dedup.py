@@ -31,7 +31,7 @@ EARTH_A = 6378137.0
 CELL, GRAIN = 16.0, 0.05
 #: One corner in so many ends a chunk.
 MEAN_CHUNK = 4
-#: Bytes of a corner and of a header; a sum of shared bytes tells by its remainder whether the header is among them.
+#: Bytes of a corner and of a header; no chunk of corners has as few as a header.
 CORNER_BYTES, HEADER_BYTES = 16, 8
 AREA, LINE, POINT = 1, 2, 3
 CLASS = {"Polygon": AREA, "MultiPolygon": AREA, "LineString": LINE, "MultiLineString": LINE, "Point": POINT, "MultiPoint": POINT}
@@ -177,7 +177,7 @@ def canonical(s: Shapes) -> Shapes:
 
 
 def content_chunks(s: Shapes, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, bytes) of the corner chunks. kind: class of each row. Rings count as cyclic, lines don't matter."""
+    """(row, hash, bytes) of the corner chunks, each once a row. kind: class of each row. Rings count as cyclic, lines don't matter."""
     if not len(s.x):
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     qx, qy = (np.rint(v / GRAIN).astype(np.int64).astype(np.uint64) for v in (s.x, s.y))
@@ -207,7 +207,11 @@ def content_chunks(s: Shapes, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         np.add.at(h, code, roll)
     row = np.zeros(len(h), np.int64)
     row[code] = s.row
-    return row, mix(h), np.bincount(code) * CORNER_BYTES
+    h, size = mix(h), np.bincount(code) * CORNER_BYTES
+    # A ring given twice in a row has its chunks once, or they would stand for others the row lacks.
+    order = np.lexsort((h, row))
+    once = order[np.concatenate(([True], (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])))]
+    return row[once], h[once], size[once]
 
 
 def header_chunks(s: Shapes, kind: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -419,14 +423,24 @@ def verified(candidates: DataFrame, shapes_a: DataFrame, shapes_b: DataFrame, to
     return both.select("ord", "m", "shape_a", "shape_b", "kind", F.expr("shared = total_a AND shared = total_b").alias("full")).mapInArrow(run, "ord bigint, m bigint")
 
 
-def shared_bytes(probes: DataFrame, firsts: DataFrame) -> DataFrame:
-    """ord, m, shared: bytes of the chunks a record shares with an earlier record m.
+def shared_bytes(probes: DataFrame, firsts: DataFrame, which: str = "m < ord") -> DataFrame:
+    """ord, m, shared: bytes of the chunks a record shares with a record m (which: those that may be met).
 
     The coverage asked for is the header, which no two matching shapes fail to share; corners may all differ by a
     little, so their share decides nothing against a pair.
     """
-    met = probes.join(firsts, "hash").filter("m < ord")
-    return met.groupBy("ord", "m").agg(F.sum("nbytes").alias("shared")).filter(F.col("shared") % CORNER_BYTES == HEADER_BYTES)
+    met = probes.join(firsts, "hash").filter(which)
+    return met.groupBy("ord", "m").agg(F.sum("nbytes").alias("shared"), F.max(F.col("nbytes") == HEADER_BYTES).alias("header")).filter("header").drop("header")
+
+
+def each_once(parsed: DataFrame) -> DataFrame:
+    """parsed (stored, as it is read twice), a row that came twice once; one row_id with two shapes is refused."""
+    if parsed.groupBy("ord").count().filter("count > 1").isEmpty():
+        return parsed
+    once = cut(parsed.dropDuplicates(["ord", "kind", "shape"]))
+    if not once.groupBy("ord").count().filter("count > 1").isEmpty():
+        raise ValueError("a row_id stands for several shapes in one batch: its repeats can't be told apart")
+    return once
 
 
 def repeats_within(parsed: DataFrame, tolerance: float = 0.5) -> DataFrame:
@@ -473,43 +487,83 @@ def repeats(features: DataFrame, tolerance: float = 0.5) -> DataFrame:
     Rows are taken by (batch_no, row_id); a null batch comes last. A shape is its outline: how it is written (first
     corner, direction, closing point, further points on an edge, third coordinate, EPSG:3857 metres, a MultiPolygon
     of one polygon) doesn't matter, nor do id, crs or attributes. Null, empty or unreadable coordinates and unknown
-    kinds of geometry repeat nothing. Exact copies count like any repeat. Shapes of very many corners are compared in
+    kinds of geometry repeat nothing. Exact copies count like any repeat, but a row that comes twice (batch_no, row_id
+    and shape) is one row. Shapes of very many corners are compared in
     blocks. Only the named columns are read.
     """
     at = f"{shared_dir(features.sparkSession)}/features-{uuid.uuid4().hex}"
-    parsed = stored(parse_features(features, tolerance), at)
+    parsed = each_once(stored(parse_features(features, tolerance), at))
     got = repeats_within(parsed, tolerance).filter("of IS NOT NULL")
     low = (1 << ROW_BITS) - 1
     return got.select(F.col("of").bitwiseAND(F.lit(low)).alias("row_a"), F.col("ord").bitwiseAND(F.lit(low)).alias("row_b"))
 
 
 class FeatureHistory:
-    """Accepted features on disk, as records and chunk table; batches are checked one after another."""
+    """Accepted features on disk, as records and chunk table; batches are checked one after another.
+
+    Each batch's tables lie in a folder of their own and count once an empty file commits/<number>-<folder> names it,
+    the last thing written: what a job that died left behind is never read. One writer at a time; another one's commit
+    met meanwhile is an error.
+    """
 
     def __init__(self, path: str, tolerance: float = 0.5) -> None:
         self.path, self.tolerance = path, tolerance
 
-    def _read(self, spark, name: str, like: DataFrame) -> DataFrame:
-        try:
-            return spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
-        except Exception:  # noqa: BLE001 - the first batch finds no table
+    def _at(self, spark, name: str) -> tuple:
+        """The file system of a name under the history, and its place there."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+    def _commits(self, spark) -> list[str]:
+        """Folders of the accepted batches in order; none only where no history is, any other failure is raised."""
+        fs, at = self._at(spark, "commits")
+        if not fs.exists(at):
+            old_fs, old = self._at(spark, "records")
+            if old_fs.exists(old):
+                raise ValueError(f"{self.path} holds a history without commits, in which batches may stand twice: accept its batches anew")
+            return []
+        names = sorted((f.getPath().getName().split("-", 1) for f in fs.listStatus(at)), key=lambda n: int(n[0]))
+        if [int(n[0]) for n in names] != list(range(len(names))):
+            raise ValueError(f"the commits of {self.path} are not numbered through")
+        return [n[1] for n in names]
+
+    def _read(self, spark, commits: list[str], name: str, like: DataFrame) -> DataFrame:
+        if not commits:
             return spark.createDataFrame([], like.schema)
+        return spark.read.schema(like.schema).parquet(*(f"{self.path}/{c}/{name}" for c in commits))
 
     def accept(self, batch: DataFrame) -> DataFrame:
-        """row_a, row_b of the batch's repeats; what is new is appended. Only chunks the batch shares are read on."""
+        """row_a, row_b of the batch's repeats; what is new is appended. Only chunks the batch shares are read on.
+
+        Batches count in the order they are accepted, whatever their numbers: a late one is checked against all held.
+        A batch accepted again, whole or in part, adds nothing and gives the same pairs.
+        """
         spark = batch.sparkSession
-        parsed = cut(parse_features(batch, self.tolerance))
-        chunks = chunk_table(parsed)
-        known, shapes = self._read(spark, "chunks", chunks), self._read(spark, "records", parsed)
+        commits = self._commits(spark)
+        parsed = each_once(cut(parse_features(batch, self.tolerance))).withColumn("seq", F.lit(len(commits)))
+        chunks = chunk_table(parsed).withColumn("seq", F.lit(len(commits)))
+        known, shapes = self._read(spark, commits, "chunks", chunks), self._read(spark, commits, "records", parsed)
         # Accepted records of a chunk differ from one another, so these are few; copies were never added.
         old = known.filter("listed").select("hash", F.col("ord").alias("m"))
-        cand = shared_bytes(chunks.select("hash", "ord", "nbytes"), old)
-        seen = cut(verified(cand, parsed, shapes, self.tolerance).groupBy("ord").agg(F.min("m").alias("of")))
+        cand = shared_bytes(chunks.select("hash", "ord", "nbytes"), old, "true")
+        # A row already held meets itself and nothing else that is held. Others repeat what was accepted first.
+        held = verified(cand, parsed, shapes, self.tolerance).join(shapes.select(F.col("ord").alias("m"), "seq"), "m")
+        seen = cut(held.groupBy("ord").agg(F.min(F.struct("seq", "m")).alias("first")).select("ord", F.col("first.m").alias("of")))
         fresh = parsed.join(seen, "ord", "left_anti")
         inside = cut(repeats_within(fresh, self.tolerance))
         new = cut(fresh.join(inside.filter("of IS NULL"), "ord", "left_semi"))
-        new.write.mode("append").parquet(f"{self.path}/records")
-        chunk_table(new).write.mode("append").parquet(f"{self.path}/chunks")
+        if not new.isEmpty():
+            self._append(spark, len(commits), new)
         low = (1 << ROW_BITS) - 1
-        both = seen.unionByName(inside.filter("of IS NOT NULL"))
+        both = seen.filter("of <> ord").unionByName(inside.filter("of IS NOT NULL"))
         return both.select(F.col("of").bitwiseAND(F.lit(low)).alias("row_a"), F.col("ord").bitwiseAND(F.lit(low)).alias("row_b"))
+
+    def _append(self, spark, number: int, new: DataFrame) -> None:
+        folder = uuid.uuid4().hex
+        new.write.parquet(f"{self.path}/{folder}/records")
+        chunk_table(new).withColumn("seq", F.lit(number)).write.parquet(f"{self.path}/{folder}/chunks")
+        fs, at = self._at(spark, f"commits/{number}-{folder}")
+        fs.create(at, False).close()
+        if len([f for f in fs.listStatus(at.getParent()) if f.getPath().getName().split("-")[0] == str(number)]) > 1:
+            fs.delete(at, False)
+            raise RuntimeError(f"another job added a batch to {self.path} meanwhile: accept this one again")

@@ -74,6 +74,68 @@ def test_batch_by_batch_is_like_all_at_once(spark, small, tmp_path):
     assert got == {tuple(r) for r in D.repeats(f).collect()} and got
 
 
+def pairs(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_a_batch_accepted_again_adds_nothing(spark, tmp_path):
+    point = lambda i, b, x: (i, b, "Point", [x, 3])
+    one, two = frame(spark, [point(1, 1, 3), point(2, 1, 4), point(3, 1, 3)]), frame(spark, [point(4, 2, 4), point(5, 2, 5)])
+    history = D.FeatureHistory(str(tmp_path / "history"))
+    assert pairs(history.accept(one)) == pairs(history.accept(one)) == [(1, 3)]
+    assert pairs(history.accept(two)) == pairs(history.accept(two)) == [(2, 4)]
+    assert pairs(history.accept(one)) == [(1, 3)] and pairs(history.accept(frame(spark, []))) == []
+    assert pairs(history.accept(frame(spark, [point(6, 3, 3), point(7, 3, 5), point(8, 3, 5 + 0.3 * M)]))) == [(1, 6), (5, 7), (5, 8)]
+    # Three rows are held, each once, whatever a job that died left behind.
+    assert spark.read.parquet(*(str(p) for p in tmp_path.glob("history/*/records"))).count() == 3
+
+
+def test_a_batch_that_died_half_written(spark, tmp_path, monkeypatch):
+    history, one = D.FeatureHistory(str(tmp_path / "history")), frame(spark, [(1, 1, "Polygon", [ring(3, 3)]), (2, 1, "Polygon", [ring(4, 3)])])
+    whole, calls = D.chunk_table, []
+
+    def dies(parsed):
+        calls.append(1)
+        if "seq" in parsed.columns and len(calls) > 2:
+            raise OSError("died")
+        return whole(parsed)
+
+    monkeypatch.setattr(D, "chunk_table", dies)
+    with pytest.raises(OSError):
+        history.accept(one)
+    monkeypatch.setattr(D, "chunk_table", whole)
+    assert pairs(history.accept(one)) == []
+    assert pairs(history.accept(frame(spark, [(3, 2, "Polygon", [ring(3, 3, start=1)])]))) == [(1, 3)]
+
+
+def test_a_late_batch_is_checked_against_all_held(spark, tmp_path):
+    history = D.FeatureHistory(str(tmp_path / "history"))
+    assert pairs(history.accept(frame(spark, [(9, 5, "Polygon", [ring(3, 3)])]))) == []
+    assert pairs(history.accept(frame(spark, [(2, 1, "Polygon", [ring(3, 3, back=True)]), (3, 1, "Point", [1, 1])]))) == [(9, 2)]
+    assert pairs(history.accept(frame(spark, [(12, 6, "Point", [1, 1]), (13, 6, "Polygon", [ring(3, 3)])]))) == [(3, 12), (9, 13)]
+
+
+def test_only_a_missing_history_is_empty(spark, tmp_path):
+    history, one = D.FeatureHistory(str(tmp_path / "history")), frame(spark, [(1, 1, "Point", [3, 3])])
+    history.accept(one)
+    for f in tmp_path.glob("history/*/chunks/*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception, match=r"(?i)parquet"):
+        history.accept(one).collect()
+
+
+def test_a_row_that_comes_twice_is_one_row(spark):
+    rows = [(1, 1, "Polygon", [ring(3, 3)]), (1, 1, "Polygon", [ring(3, 3)]), (2, 1, "Polygon", [ring(3, 3, back=True)]), (2, 1, "Polygon", [ring(3, 3, back=True)]), (3, 1, "Polygon", [ring(3, 3, jitter=[(0.2, 0.1)] * 4)])]
+    assert pairs(D.repeats(frame(spark, rows))) == [(1, 2), (1, 3)]
+    with pytest.raises(ValueError, match="several shapes"):
+        D.repeats(frame(spark, [*rows, (1, 1, "Polygon", [ring(9, 3)])]))
+
+
+def test_a_ring_given_twice_does_not_stand_for_another(spark):
+    outer, inner = ring(3, 3), ring(3 + 5 * M, 3 + 2.5 * M, 10, 5)
+    assert run(spark, [(1, 1, "Polygon", [outer, inner]), (2, 1, "MultiPolygon", [[outer], [outer]]), (3, 1, "Polygon", [outer])]) == {(2, 3)}
+
+
 def greedy(shapes, kinds, tolerance=0.5):
     accepted, out = [], {}
     for i, s in enumerate(shapes):
