@@ -3,14 +3,17 @@
 Each file's fields form a tree of names and JSON types. Consecutive files of a feed are compared by a tree edit
 distance over unordered trees: at each level children are matched at the least cost, where a rename costs as much as
 the values of the same records disagree, and a deletion or insertion costs the size of its subtree. The minimum-cost
-script of add, delete, rename, move and retype steps is compiled into a projection of each file's keys.
+script of add, delete, rename, move and retype steps is compiled into a projection of each file's paths: renames and
+moves say which column a path belongs to, retypes which columns' values are taken out of their dress.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,7 @@ from geoloom.session import cut
 #: A new key may take over a gone one only if at least this share of the records that have both agree.
 AGREE = 0.7
 ID_KEYS = ("OBJECTID", "id")
+NUMBER = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,9})?")
 
 EX_SCHEMA = "feed_id int, file_id int, exported_at timestamp, rec string, path string, jtype string, vhash bigint"
 
@@ -92,13 +96,16 @@ def explode_fields(rows: DataFrame, properties: str = "properties") -> DataFrame
     return narrow.mapInArrow(run, EX_SCHEMA)
 
 
-def file_schemas(ex: DataFrame) -> DataFrame:
-    """feed_id, file_id, exported_at, fields: each file's paths with the type of most of their non-null values."""
+def file_schemas(ex: DataFrame, all_types: bool = False) -> DataFrame:
+    """feed_id, file_id, exported_at, fields: each file's paths with the type of most of their non-null values.
+
+    all_types: with the types of all their values, too.
+    """
     per_type = ex.groupBy("feed_id", "file_id", "path", "jtype").agg(F.count("*").alias("n"), F.min("exported_at").alias("at"))
     # Most first; a tie goes to the type that comes first by name.
     best = F.min(F.when(F.col("jtype").isNotNull(), F.struct((-F.col("n")).alias("n"), "jtype"))).alias("best")
-    per_path = per_type.groupBy("feed_id", "file_id", "path").agg(best, F.min("at").alias("at"))
-    return per_path.groupBy("feed_id", "file_id").agg(F.min("at").alias("exported_at"), F.collect_list(F.struct("path", F.col("best.jtype").alias("jtype"))).alias("fields"))
+    per_path = per_type.groupBy("feed_id", "file_id", "path").agg(best, F.min("at").alias("at"), *([F.collect_set("jtype").alias("types")] if all_types else []))
+    return per_path.groupBy("feed_id", "file_id").agg(F.min("at").alias("exported_at"), F.collect_list(F.struct("path", F.col("best.jtype").alias("jtype"), *(["types"] if all_types else []))).alias("fields"))
 
 
 def file_pairs(schemas: DataFrame) -> DataFrame:
@@ -225,12 +232,18 @@ def with_moves(steps: list[tuple[str, str, str]], agree: dict[tuple[str, str], f
     return steps
 
 
-CHANGES = "feed_id int, file_id int, seq int, level int, change string, old_field string, new_field string"
+def dotted(path: str) -> str:
+    return path.replace("\x1f", ".")
+
+
+CHANGES = "feed_id int, file_id int, seq int, level int, change string, old_field string, new_field string, old_path string, new_path string"
 
 
 def schema_changes(rows: DataFrame) -> DataFrame:
     """Every change of each file against the file of its feed exported just before, nested fields by dotted path.
 
+    old_path and new_path are the same with \\x1f between the names, as names may hold dots.
+
     change is renamed, removed (new_field ''), added (old_field ''), retyped or moved. Rows of a null feed or file
     form a feed or file of their own. A key with only null values has no type and is never retyped. Repeated rows
     count once as evidence. A feed's first file has no changes; an empty table none at all. Other columns are not
@@ -247,7 +260,7 @@ def schema_changes(rows: DataFrame) -> DataFrame:
                 agree = {(e["old"], e["new"]): e["same"] / e["both"] for e in (r.evidence if r.evidence is not None else [])}
                 side = lambda fs: tree([(f["path"], f["jtype"]) for f in fs])
                 _, steps = edit_script(side(r.prev_fields), side(r.fields), agree)
-                out += [(r.feed_id, r.file_id, r.seq, max(o.count("\x1f"), n.count("\x1f")), c, o.replace("\x1f", "."), n.replace("\x1f", ".")) for c, o, n in with_moves(steps, agree)]
+                out += [(r.feed_id, r.file_id, r.seq, max(o.count("\x1f"), n.count("\x1f")), c, dotted(o), dotted(n), o, n) for c, o, n in with_moves(steps, agree)]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in CHANGES.split(", ")])
 
     return known.select("feed_id", "file_id", "seq", "fields", "prev_fields", "evidence").mapInPandas(run, CHANGES)
@@ -258,39 +271,164 @@ def top_level(changes: DataFrame) -> DataFrame:
     return changes.filter("level = 0").select("file_id", "change", "old_field", "new_field")
 
 
+SCALAR = ("number", "string", "boolean")
+
+
+def assigned(files: list[tuple[object, list[dict], list[tuple[str, str, str]]]]) -> tuple[list[dict[str, str]], dict[str, str]]:
+    """For a feed's files in order (number, fields, steps): each one's map from path to stable column; and the type of
+    the columns whose values are taken out of their dress.
+
+    A column is called by the first path it had, dotted. Fields below a renamed or moved one go with it.
+    """
+    now: dict[str, str] = {}
+    ever: dict[str, str] = {}
+    used: set[str] = set()
+    names: list[dict[str, str]] = []
+    main: dict[str, str] = {}
+    seen: dict[str, set[str]] = {}
+    for number, fields, steps in files:
+        came_from = {n: o for change, o, n in steps if change in ("renamed", "moved")}
+        left = set(came_from.values())
+        source: dict[str, str] = {}
+        paths = sorted((f["path"] for f in fields), key=lambda p: (p.count("\x1f"), p))
+        for p in paths:
+            above, _, name = p.rpartition("\x1f")
+            source[p] = came_from[p] if p in came_from else f"{source[above]}\x1f{name}" if above else p
+        kept = {p: now[o] for p, o in source.items() if o in now and (p in came_from or o not in left)}
+        # What a file lacks keeps its column until another path has it.
+        for p in paths:
+            if p not in kept:
+                above, _, name = p.rpartition("\x1f")
+                column = ever.get(p) or (f"{kept[above]}.{name}" if above else p)
+                while column in (kept.values() if p in ever else used):
+                    column = f"{column}_{number}"
+                kept[p] = column
+            ever[p] = kept[p]
+            used.add(kept[p])
+        taken = set(kept.values())
+        now = {p: c for p, c in now.items() if p not in kept and c not in taken} | kept
+        names.append({p: now[p] for p in paths})
+        for f in fields:
+            column = now[f["path"]]
+            seen.setdefault(column, set()).update(f["types"])
+            if f["jtype"] in SCALAR:
+                main.setdefault(column, f["jtype"])
+    undress = {}
+    for column, types in seen.items():
+        if single := main.get(column) or min(types & set(SCALAR), default=None):
+            undress[column] = single
+        elif len(types) > 1:  # an array here, an object there
+            undress[column] = "string"
+    return names, undress
+
+
 def compile_projections(rows: DataFrame, changes: DataFrame) -> DataFrame:
-    """feed_id, file_id, names: for each file the map from its keys to the feed's stable columns.
+    """feed_id, file_id, names, types: for each file the map from its paths (\\x1f between names) to the feed's stable
+    columns, and the type of those whose values stand in another dress somewhere, or are plain.
 
-    A column bears the first name it had in its feed; a field that returns comes back to its column. Where a new
-    field takes a name that another column already bears, it gets the name with the file's number.
+    A column bears the first name it had in its feed (dotted below an object); a field that returns comes back to its
+    column. Where a new field takes a name that another column already bears, it gets the name with the file's number.
+    A column's type is the first plain type (number, string or boolean) that most values of a file have.
     """
-    schemas = file_pairs(file_schemas(explode_fields(rows))).select("feed_id", "file_id", "seq", F.transform("fields", lambda f: f["path"]).alias("paths"))
-    steps = changes.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("change", "old_field", "new_field")).alias("steps"))
-    files = schemas.join(steps, ["feed_id", "file_id"], "left")
+    schemas = file_pairs(file_schemas(explode_fields(rows), all_types=True)).select("feed_id", "file_id", "seq", "fields")
+    steps = changes.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("change", "old_path", "new_path")).alias("steps")).select(F.col("feed_id").alias("of_feed"), F.col("file_id").alias("of_file"), "steps")
+    files = schemas.join(steps, F.col("feed_id").eqNullSafe(F.col("of_feed")) & F.col("file_id").eqNullSafe(F.col("of_file")), "left").drop("of_feed", "of_file")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        now: dict[str, str] = {}
-        ever: dict[str, str] = {}
-        out = []
-        for r in f.sort_values("seq").itertuples(index=False):
-            for s in r.steps if r.steps is not None else []:
-                if s["change"] in ("renamed", "moved") and s["old_field"] in now:
-                    now[s["new_field"]] = ever[s["new_field"]] = now.pop(s["old_field"])
-            for p in (p for p in r.paths if "\x1f" not in p):
-                if p not in now:
-                    held = set(now.values())
-                    back = ever.get(p, p)
-                    now[p] = ever[p] = back if back not in held else f"{p}_{r.file_id}"
-            out.append((r.feed_id, r.file_id, {p: now[p] for p in r.paths if p in now}))
-        return pd.DataFrame({"feed_id": pd.array([o[0] for o in out], "Int32"), "file_id": pd.array([o[1] for o in out], "Int32"), "names": [o[2] for o in out]})
-
-    return files.groupBy("feed_id").applyInPandas(run, "feed_id int, file_id int, names map<string,string>")
+        f = f.sort_values("seq")
+        names, types = assigned([(r.file_id, list(r.fields), [(s["change"], s["old_path"], s["new_path"]) for s in (r.steps if r.steps is not None else [])]) for r in f.itertuples(index=False)])
+        return pd.DataFrame({"feed_id": f["feed_id"].astype("Int32").array, "file_id": f["file_id"].astype("Int32").array, "names": names, "types": [{c: types[c] for c in n.values() if c in types} for n in names]})
+
+    return files.groupBy("feed_id").applyInPandas(run, "feed_id int, file_id int, names map<string,string>, types map<string,string>")
+
+
+def spelled(v: object) -> str:
+    """JSON of a value whose fractions are decimals, digits as they came."""
+    if isinstance(v, list):
+        return f"[{','.join(spelled(x) for x in v)}]"
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{spelled(x)}" for k, x in v.items()) + "}"
+    return str(v) if isinstance(v, Decimal) else json.dumps(v, ensure_ascii=False)
+
+
+def as_text(v: object, kind: str) -> str | None:
+    """A value as its column's text: numbers in one spelling where the column's are numbers, exactly."""
+    if v is None:
+        return None
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (list, dict)):
+        return spelled(v)
+    s = str(v)
+    if kind == "boolean" and s.strip().lower() in ("true", "false"):
+        return s.strip().lower()
+    if kind == "number" and NUMBER.fullmatch(s.strip()):
+        d = Decimal(s.strip())
+        if d.is_zero():
+            return "0"
+        if -30 < d.adjusted() < 40:
+            s = format(d, "f")
+            return s.rstrip("0").rstrip(".") if "." in s else s
+    return s
+
+
+def unified(v: dict, names: dict[str, str], types: dict[str, str]) -> dict[str, str | None]:
+    """Stable column -> text of a row's object. Objects are taken apart, so a nested field is a column of its own."""
+    out: dict[str, str | None] = {}
+
+    def put(path: str, x: object) -> None:
+        column = names.get(path, dotted(path))
+        kind = types.get(column)
+        inner = x
+        if kind:
+            at = path
+            while isinstance(inner, (list, dict)) and len(inner) == 1:
+                if isinstance(inner, list):
+                    inner, at = inner[0], None
+                    continue
+                (k, below), = inner.items()
+                # A field that moved in here has a column of its own: this object is not its dress.
+                if at is not None and names.get(f"{at}\x1f{k}", f"{column}.{k}") != f"{names.get(at, dotted(at))}.{k}":
+                    break
+                inner, at = below, None if at is None else f"{at}\x1f{k}"
+            if isinstance(inner, (list, dict)):
+                inner = x
+        if isinstance(inner, dict) and inner:
+            for k, below in inner.items():
+                put(f"{path}\x1f{k}", below)
+        else:
+            out[column] = as_text(inner, kind or "")
+
+    for k, x in v.items():
+        put(k, x)
+    return out
 
 
 def unify(rows: DataFrame, projections: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """row_id, feed_id, file_id and fields (stable column -> value as text); or named columns instead of the map."""
-    props = F.from_json("properties", "map<string,string>")
-    got = rows.select("row_id", "feed_id", "file_id", props.alias("p")).join(projections, ["feed_id", "file_id"], "left")
-    stable = F.transform_keys(F.col("p"), lambda k, v: F.coalesce(F.col("names")[k], k))
-    got = got.select("row_id", "feed_id", "file_id", stable.alias("fields"))
+    """row_id, feed_id, file_id and fields (stable column -> value as text); or named columns instead of the map.
+
+    In a column that is plain anywhere in its feed, 4, "4", ["4"] and {"value": 4} are one text; lists and objects of
+    several values stay whole, objects as columns of their own (dotted). Null or invalid objects have null fields.
+    """
+    plan = projections.select(F.col("feed_id").alias("of_feed"), F.col("file_id").alias("of_file"), F.to_json(F.struct("names", "types")).alias("plan"))
+    narrow = rows.select(F.col("row_id").cast("bigint"), F.col("feed_id").cast("int"), F.col("file_id").cast("int"), F.col("properties").cast("string").alias("p"))
+    got = narrow.join(plan, F.col("feed_id").eqNullSafe(F.col("of_feed")) & F.col("file_id").eqNullSafe(F.col("of_file")), "left").drop("of_feed", "of_file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, types = None, {}, {}
+        sound = lambda s: s if s is None else s.encode("utf-8", "replace").decode()
+        for b in batches:
+            out: list = []
+            for p, plan in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                if plan != last:
+                    read = json.loads(plan or "{}")
+                    last, names, types = plan, read.get("names") or {}, read.get("types") or {}
+                try:
+                    v = json.loads(p or "null", parse_float=Decimal)
+                except (ValueError, RecursionError):
+                    v = None
+                out.append([(sound(k), sound(x)) for k, x in unified(v, names, types).items()] if isinstance(v, dict) else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.map_(pa.string(), pa.string()))], names=["row_id", "feed_id", "file_id", "fields"])
+
+    got = got.mapInArrow(run, "row_id bigint, feed_id int, file_id int, fields map<string,string>")
     return got if columns is None else got.select("row_id", "feed_id", "file_id", *(F.col("fields")[c].alias(c) for c in columns))

@@ -61,3 +61,28 @@ def test_one_table_of_stable_columns(spark):
     df = frame(spark, f)
     got = S.unify(df, S.compile_projections(df, S.schema_changes(df)), ["id", "height"]).orderBy("row_id").collect()
     assert [(r["id"], r["height"]) for r in got] == [("a", "3"), ("b", "4")] * 3
+
+
+def unified(df, feed_columns=None):
+    names = S.compile_projections(df, S.schema_changes(df))
+    return [r["fields"] for r in S.unify(df, names).orderBy("row_id").collect()]
+
+
+def test_retyped_values_come_out_in_one_dress(spark):
+    dress = [lambda i: i, lambda i: {"value": i}, lambda i: [str(i)], lambda i: f" {i}.0 ", lambda i: [{"value": i + 0.0}]]
+    df = frame(spark, [(1, k + 1, k + 1, [{"id": f"r{i}", "story": d(i), "tags": [i], "big": 12345678901234567890 + i, "x": 0.10} for i in range(4)]) for k, d in enumerate(dress)])
+    want = [{"id": f"r{i}", "story": str(i), "tags": f"[{i}]", "big": str(12345678901234567890 + i), "x": "0.1"} for i in range(4)] * 5
+    assert unified(df) == want
+
+
+def test_odd_single_values_and_several_values(spark):
+    df = frame(spark, [(1, 1, 1, [{"id": "a", "n": 4}, {"id": "b", "n": ["4"]}, {"id": "c", "n": 5}, {"id": "d", "n": [4, 5]}, {"id": "e", "n": {"lo": 4, "hi": 5}}, {"id": "f", "n": None}, None, "{"]), (None, None, 1, [{"id": "a", "n": {"value": 1}}, {"id": "b", "n": 1}])])
+    assert unified(df) == [{"id": "a", "n": "4"}, {"id": "b", "n": "4"}, {"id": "c", "n": "5"}, {"id": "d", "n": "[4,5]"}, {"id": "e", "n.lo": "4", "n.hi": "5"}, {"id": "f", "n": None}, None, None, {"id": "a", "n": "1"}, {"id": "b", "n": "1"}]
+
+
+def test_moved_and_nested_fields_keep_their_column(spark):
+    f = lambda make: [{"id": f"r{i}", **make(i)} for i in range(6)]
+    files = [f(lambda i: {"a": i * 3, "o": {"x": f"x{i}", "k": i % 2}}), f(lambda i: {"o": {"a": i * 3, "y": f"x{i}", "k": i % 2}}), f(lambda i: {"p": {"a": i * 3, "y": f"x{i}", "k": i % 2}}), f(lambda i: {"a": i * 3, "o": {"x": f"x{i}", "k": i % 2}})]
+    df = frame(spark, [(1, k + 1, k + 1, rows) for k, rows in enumerate(files)])
+    want = [{"id": f"r{i}", "a": str(i * 3), "o.x": f"x{i}", "o.k": str(i % 2)} for i in range(6)]
+    assert unified(df) == want * 4
