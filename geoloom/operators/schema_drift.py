@@ -267,8 +267,14 @@ def schema_changes(rows: DataFrame) -> DataFrame:
 
 
 def top_level(changes: DataFrame) -> DataFrame:
-    """Changes of the keys of the object itself, in the columns of the case table."""
-    return changes.filter("level = 0").select("file_id", "change", "old_field", "new_field")
+    """Changes of the keys of the object itself, in the columns of the case table.
+
+    A key that moved under an object is removed here, one that moved out of it is added.
+    """
+    inside = lambda c: F.instr(c, "\x1f") > 0
+    moved = F.col("change") == "moved"
+    out, into = moved & ~inside("old_path"), moved & ~inside("new_path")
+    return changes.filter((F.col("level") == 0) | out | into).select("file_id", F.when(out, "removed").when(into, "added").otherwise(F.col("change")).alias("change"), F.when(into, "").otherwise(F.col("old_field")).alias("old_field"), F.when(out, "").otherwise(F.col("new_field")).alias("new_field"))
 
 
 SCALAR = ("number", "string", "boolean")

@@ -86,3 +86,9 @@ def test_moved_and_nested_fields_keep_their_column(spark):
     df = frame(spark, [(1, k + 1, k + 1, rows) for k, rows in enumerate(files)])
     want = [{"id": f"r{i}", "a": str(i * 3), "o.x": f"x{i}", "o.k": str(i % 2)} for i in range(6)]
     assert unified(df) == want * 4
+
+
+def test_a_move_between_levels_is_a_change_of_the_top_level(spark):
+    f = lambda make: [{"id": f"r{i}", **make(i)} for i in range(6)]
+    df = frame(spark, [(1, 1, 1, f(lambda i: {"a": i * 3, "o": {"x": f"x{i}"}})), (1, 2, 2, f(lambda i: {"o": {"a": i * 3, "x": f"x{i}"}})), (1, 3, 3, f(lambda i: {"a": i * 3, "o": {"x": f"x{i}"}}))])
+    assert changes(df) == [(2, "removed", "a", ""), (3, "added", "", "a")]
