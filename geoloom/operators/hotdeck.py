@@ -8,13 +8,11 @@ time. Donors beyond a range's ends are carried over from a table with one row a
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import units as U
-from geoloom.session import shared_dir
+from geoloom.session import scratch
 
 
 def spread(df: DataFrame, keys: list[str], ranges: int) -> DataFrame:
@@ -23,7 +21,7 @@ def spread(df: DataFrame, keys: list[str], ranges: int) -> DataFrame:
     The order of the ranges has to be the same for all later readers, but a range partitioning is sampled anew by
     each execution; hence the table.
     """
-    at = f"{shared_dir(df.sparkSession)}/hotdeck-{uuid.uuid4().hex}"
+    at = f"{scratch(df.sparkSession, 'hotdeck')}/rows"
     df.repartitionByRange(ranges, *keys).withColumn("__pid", F.spark_partition_id()).write.parquet(at)
     return df.sparkSession.read.parquet(at)
 

@@ -6,7 +6,6 @@ integer arithmetic, alike in both engines. features, feed_rows, geojson_pages an
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +18,7 @@ from geoloom.functions import js
 from geoloom.operators import dem, mesh, spatial_join
 from geoloom.operators.grid import TileSet, best_tile, corners_inside, desired_diff, model_transform, parent_tiles, tile_box, tiles_box, window_shift, without_tiles
 from geoloom.plans import buildings
-from geoloom.session import shared_dir, table
+from geoloom.session import scratch, table
 from geoloom.sources import urls
 from geoloom.streaming import requests as S
 
@@ -555,7 +554,7 @@ EVENT = "event_id, user_id AS slot, CASE WHEN event_type = 'purchase' OR event_i
 
 def _stream(spark: SparkSession, d: str, run: Callable[[DataFrame], DataFrame], exprs: list[str]) -> DataFrame:
     schema = table(spark, d, "events").schema
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     # A file source wants a folder: the table's own, or its parent and the table's name.
     path = f"{d}/events.parquet"
     folder, name = (d, "events.parquet") if _is_file(spark, path) else (path, "*.parquet")
