@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.operators import bad_rows, history_dedup, hotdeck, nested, proximity, schema_drift, units
+from geoloom.operators import bad_rows, hotdeck, nested, proximity, schema_drift, units
 from geoloom.session import cut, table
 
 
@@ -27,10 +27,6 @@ def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nested.node_table(table(spark, d, "geojson_pages"))
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return history_dedup.repeats(table(spark, d, "features"))
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return units.foreign_units(p4_common(spark, d))
 
@@ -63,7 +59,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_nodes, p3_found, p4_found, p4_common, p5_found, p5_unified, p6_found, p7_found, p7_filled)
+    f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_nodes, p4_found, p4_common, p5_found, p5_unified, p6_found, p7_found, p7_filled)
 }
 
 
