@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.session import drop, hadoop_path, scratch, stored
@@ -39,7 +39,7 @@ MEAN_CHUNK = 4
 #: Bytes of a corner and of a header; no chunk of corners has as few as a header.
 CORNER_BYTES, HEADER_BYTES = 16, 8
 #: Rows of a cell that are settled in one task; a header more of a batch's rows share is probed in parts.
-LIMIT = 20_000
+LIMIT = 50_000
 AREA, LINE, POINT = 1, 2, 3
 CLASS = {"Polygon": AREA, "MultiPolygon": AREA, "LineString": LINE, "MultiLineString": LINE, "Point": POINT, "MultiPoint": POINT}
 #: Batch number of rows without one: they come last.
@@ -462,15 +462,17 @@ def settle_cells(cell: np.ndarray, mine: np.ndarray, held: np.ndarray, probe: np
 
 VERDICT = "b bigint, r bigint, tb bigint, tr bigint, verdict tinyint"
 ACCEPTED, REPEAT, OPEN = 1, 2, 0
+#: Place of a batch's own rows, after all that is held.
+NOW = (1 << 31) - 1
 
 
 def settle(members: DataFrame, tolerance: float) -> DataFrame:
     """VERDICT on the rows of members that are in their own cell: accepted, repeat of (tb, tr), or open yet.
 
-    members: hash, part, b, r, mine, held, probe, fb, fr, kind, shape. A cell is a hash and part. (fb, fr) is the
-    first open row of a split cell, before which nothing can change any more.
+    members: hash, part, seq, b, r, mine, held, probe, fb, fr, kind, shape. A cell is a hash and part. (fb, fr) is the
+    first open row of a split cell, before which nothing of the batch can change any more.
     """
-    columns = ["hash", "part", "b", "r", "mine", "held", "probe", "fb", "fr", "kind", "shape"]
+    columns = ["hash", "part", "seq", "b", "r", "mine", "held", "probe", "fb", "fr", "kind", "shape"]
 
     def verdicts(t: pa.Table) -> pa.RecordBatch:
         v = {c: t.column(c).to_numpy() for c in columns[:-1]}
@@ -478,7 +480,8 @@ def settle(members: DataFrame, tolerance: float) -> DataFrame:
         best, wait = settle_cells(cell, v["mine"], v["held"], v["probe"], Outlines(t.column("shape").combine_chunks(), v["kind"].astype(np.int64), tolerance))
         ask = v["mine"] & ~v["held"]
         tb, tr = v["b"][best], v["r"][best]
-        final = (best >= 0) & ~wait & (~v["probe"] | (tb < v["fb"]) | ((tb == v["fb"]) & (tr < v["fr"])))
+        fixed = ~v["probe"] | (v["seq"][best] < NOW) | (tb < v["fb"]) | ((tb == v["fb"]) & (tr < v["fr"]))
+        final = (best >= 0) & ~wait & fixed
         verdict = np.where(final, REPEAT, np.where((best < 0) & ~wait & ~v["probe"], ACCEPTED, OPEN))
         out = [v["b"], v["r"], np.where(final, tb, v["b"]), np.where(final, tr, v["r"]), verdict.astype(np.int8)]
         return pa.RecordBatch.from_arrays([pa.array(x[ask]) for x in out], names=[x.split()[0] for x in VERDICT.split(", ")])
@@ -499,7 +502,43 @@ def settle(members: DataFrame, tolerance: float) -> DataFrame:
         if held_back is not None and held_back.num_rows:
             yield verdicts(held_back)
 
-    return members.select(columns).repartition("hash", "part").sortWithinPartitions("hash", "part", "b", "r").mapInArrow(run, VERDICT)
+    return members.select(columns).repartition("hash", "part").sortWithinPartitions("hash", "part", "seq", "b", "r").mapInArrow(run, VERDICT)
+
+
+class Staged:
+    """Records of one or several batches, parsed once and written by batch, with the copies among them.
+
+    parsed: each record once. copies: b, r and the first record (lb, lr) that has the same stream, within the batch if
+    by_batch, else within all. counts: records by batch number.
+    """
+
+    def __init__(self, features: DataFrame, work: str, tolerance: float, by_batch: bool) -> None:
+        spark = features.sparkSession
+        rows = parse_features(features, tolerance)
+        rows.write.partitionBy("b").parquet(f"{work}/parsed")
+        parsed = spark.read.schema(rows.schema).parquet(f"{work}/parsed")
+        key = ["b", "fp"] if by_batch else ["fp"]
+        ids = parsed.groupBy("b", "r").agg(F.min("fp").alias("fp"), F.max("fp").alias("last_fp"), F.count("*").alias("n"))
+        lead = parsed.groupBy(key).agg(F.min(F.struct("b", "r")).alias("lead"), F.count("*").alias("all")).filter("all > 1").select(*key, "lead")
+        marked = ids.join(lead, key).filter((F.col("lead") != F.struct("b", "r")) | (F.col("n") > 1)).select("b", "r", F.col("lead.b").alias("lb"), F.col("lead.r").alias("lr"), "n")
+        copies = stored(marked, f"{work}/copies")
+        self.counts = {r["b"]: r["n"] for r in parsed.groupBy("b").agg(F.count("*").alias("n")).collect()}
+        if not ids.filter("fp <> last_fp").isEmpty():
+            raise ValueError("a row_id stands for several shapes in one batch: its repeats can't be told apart")
+        if not copies.filter("n > 1").isEmpty():
+            parsed = stored(parsed.dropDuplicates(["b", "r"]), f"{work}/once")
+        self.parsed, self.copies = parsed, copies.filter("b <> lb OR r <> lr").select("b", "r", "lb", "lr")
+
+    def firsts(self, number: int | None = None) -> DataFrame:
+        """Records that are no copies, of one batch or all."""
+        of = (lambda d: d) if number is None else (lambda d: d.filter(F.col("b") == number))
+        return of(self.parsed).join(of(self.copies).select("b", "r"), ["b", "r"], "left_anti")
+
+    def pairs(self, direct: DataFrame) -> DataFrame:
+        """row_a, row_b: of what repeats directly, and of copies, which repeat what their first one repeats, or that one."""
+        named = self.copies.join(direct.select(F.col("b").alias("lb"), F.col("r").alias("lr"), "tb", "tr"), ["lb", "lr"], "left")
+        named = named.select("b", "r", F.coalesce("tb", "lb").alias("tb"), F.coalesce("tr", "lr").alias("tr"))
+        return direct.unionByName(named).filter("NOT (b = tb AND r = tr)").select(F.col("tr").alias("row_a"), F.col("r").alias("row_b"))
 
 
 class FeatureHistory:
@@ -516,12 +555,13 @@ class FeatureHistory:
     def __init__(self, path: str, tolerance: float = 0.5, buckets: int | None = None, limit: int = LIMIT) -> None:
         self.path, self.tolerance, self.buckets, self.limit = path.rstrip("/"), tolerance, buckets, limit
 
+    def _names(self, spark: SparkSession, folder: str = "") -> list[str]:
+        fs, at = hadoop_path(spark, f"{self.path}/{folder}".rstrip("/"))
+        return [n for f in fs.listStatus(at) if not (n := f.getPath().getName()).startswith(".")] if fs.exists(at) else []
+
     def _commits(self, spark: SparkSession) -> list[str]:
         """Parts of the accepted batches in order; none only where no history is, any other failure is raised."""
-        fs, at = hadoop_path(spark, f"{self.path}/commits")
-        if not fs.exists(at):
-            return []
-        names = sorted((f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName()[0].isdigit()), key=lambda n: int(n.split("-")[0]))
+        names = sorted(self._names(spark, "commits"), key=lambda n: int(n.split("-")[0]))
         if [int(n.split("-")[0]) for n in names] != list(range(len(names))):
             raise ValueError(f"the commits of {self.path} are not numbered through")
         return names
@@ -530,13 +570,13 @@ class FeatureHistory:
         fs, at = hadoop_path(spark, f"{self.path}/{name}")
         fs.create(at, False).close()
 
-    def _table(self, spark: SparkSession) -> str:
+    def table(self, spark: SparkSession) -> str:
         """The index as a table of the session's catalog, which is what knows buckets."""
-        fs, at = hadoop_path(spark, self.path)
-        sizes = [f.getPath().getName().split("-")[1] for f in fs.listStatus(at) if f.getPath().getName().startswith("buckets-")] if fs.exists(at) else []
+        sizes = [int(n.split("-")[1]) for n in self._names(spark) if n.startswith("buckets-")]
         if not sizes:
-            sizes = [str(self.buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))]
+            sizes = [self.buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))]
             self._touch(spark, f"buckets-{sizes[0]}")
+        self.buckets = sizes[0]
         name = f"feature_history_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({self.COLUMNS}) USING parquet PARTITIONED BY (part) CLUSTERED BY (hash) INTO {sizes[0]} BUCKETS LOCATION '{self.path}/index'")
         if spark.conf.get("spark.sql.catalogImplementation") == "hive":
@@ -556,96 +596,89 @@ class FeatureHistory:
         is refused. Streams that share all bytes are the same shape. Only the named columns are read.
         """
         spark = batch.sparkSession
-        commits, index = self._commits(spark), self._table(spark)
-        part = f"{len(commits)}-{uuid.uuid4().hex}"
         work = scratch(spark, "batch")
-        parsed, copies = self._parsed(batch, work)
-        rows = parsed.join(copies.select("b", "r"), ["b", "r"], "left_anti")
-        seen = stored(self._held(parsed, rows, spark.table(index).filter(F.col("part").isin(commits)), work), f"{work}/seen") if commits else spark.createDataFrame([], "b bigint, r bigint, tb bigint, tr bigint")
-        fresh = rows.join(seen.select("b", "r"), ["b", "r"], "left_anti") if commits else rows
-        inside = self._within(fresh, work)
-        new = fresh.join(inside.select("b", "r"), ["b", "r"], "left_anti")
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if self.buckets is None else self.buckets
+        staged = Staged(batch, work, self.tolerance, by_batch=False)
+        direct = self.add(staged.firsts(), sum(staged.counts.values()), work)
+        pairs = stored(staged.pairs(direct), f"{self.path}/pairs/{uuid.uuid4().hex}")
+        drop(spark, work)
+        return pairs
+
+    def add(self, rows: DataFrame, size: int, work: str) -> DataFrame:
+        """b, r, tb, tr: those of rows (about size of them, no copies among them) that repeat a held or an earlier one; the others are added."""
+        spark = rows.sparkSession
+        commits, index = self._commits(spark), self.table(spark)
+        part = f"{len(commits)}-{uuid.uuid4().hex}"
+        cells, covered = rows, None
+        held = spark.table(index).filter(F.col("part").isin(commits))
+        if commits:
+            covered, rest = self._met(rows, held, size, f"{work}/met-{part}")
+            cells = rows.join(covered.select("b", "r"), ["b", "r"], "left_anti")
+        else:
+            rest = None
+        repeats = self._settled(cells, rest, held, size, f"{work}/{part}")
+        known = [*repeats, covered] if covered is not None else repeats
+        direct = known[0] if known else None
+        for x in known[1:]:
+            direct = direct.unionByName(x)
+        if direct is None:
+            direct, new = rows.select("b", "r", F.col("b").alias("tb"), F.col("r").alias("tr")).filter("false"), rows
+        else:
+            new = rows.join(direct.select("b", "r"), ["b", "r"], "left_anti")
         head = F.col("nbytes") == HEADER_BYTES
         entries = chunk_rows(new, "total", "kind", "shape").filter(~head | (F.col("hash") == F.col("own")))
         entries = entries.select("hash", "b", "r", "nbytes", "total", "kind", F.when(head, F.col("shape")).alias("shape"), F.lit(part).alias("part"))
-        entries.repartition(buckets, "hash").write.insertInto(index)
-        # A copy repeats what its first one repeats, or that one.
-        direct = seen.unionByName(inside)
-        named = copies.join(direct.select(F.col("b").alias("lb"), F.col("r").alias("lr"), "tb", "tr"), ["lb", "lr"], "left")
-        named = named.select("b", "r", F.coalesce("tb", "lb").alias("tb"), F.coalesce("tr", "lr").alias("tr"))
-        pairs = direct.unionByName(named).filter("NOT (b = tb AND r = tr)").select(F.col("tr").alias("row_a"), F.col("r").alias("row_b"))
-        pairs = stored(pairs, f"{self.path}/pairs/{part}")
+        entries.repartition(self.buckets, "hash").write.insertInto(index)
         self._touch(spark, f"commits/{part}")
-        if len(self._commits_numbered(spark, len(commits))) > 1:
+        if sum(n.split("-")[0] == str(len(commits)) for n in self._names(spark, "commits")) > 1:
             drop(spark, f"{self.path}/commits/{part}")
             raise RuntimeError(f"another job added a batch to {self.path} meanwhile: accept this one again")
-        drop(spark, work)
-        return pairs
-
-    def _commits_numbered(self, spark: SparkSession, number: int) -> list[str]:
-        fs, at = hadoop_path(spark, f"{self.path}/commits")
-        return [n for f in fs.listStatus(at) if (n := f.getPath().getName()).split("-")[0] == str(number)]
+        return direct
 
-    def _parsed(self, batch: DataFrame, work: str) -> tuple[DataFrame, DataFrame]:
-        """The batch's records, each once, and of those whose whole stream another one has: (b, r) and the first (lb, lr)."""
-        parsed = stored(parse_features(batch, self.tolerance), f"{work}/parsed")
-        ids = parsed.groupBy("b", "r").agg(F.min("fp").alias("fp"), F.max("fp").alias("last_fp"), F.count("*").alias("n"))
-        lead = parsed.groupBy("fp").agg(F.min(F.struct("b", "r")).alias("lead"), F.count("*").alias("all")).filter("all > 1").select("fp", "lead")
-        own = F.struct("b", "r")
-        copies = stored(ids.join(lead, "fp").filter((F.col("lead") != own) | (F.col("n") > 1) | (F.col("fp") != F.col("last_fp"))).select("b", "r", F.col("lead.b").alias("lb"), F.col("lead.r").alias("lr"), "n", (F.col("fp") != F.col("last_fp")).alias("torn")), f"{work}/copies")
-        if not copies.filter("n > 1").isEmpty():
-            if not copies.filter("torn").isEmpty():
-                raise ValueError("a row_id stands for several shapes in one batch: its repeats can't be told apart")
-            parsed = stored(parsed.dropDuplicates(["b", "r"]), f"{work}/once")
-        return parsed, copies.filter("b <> lb OR r <> lr").select("b", "r", "lb", "lr")
-
-    def _held(self, parsed: DataFrame, rows: DataFrame, held: DataFrame, work: str) -> DataFrame:
-        """b, r, tb, tr: records that are held already, with the record accepted first of those they match."""
+    def _met(self, rows: DataFrame, held: DataFrame, size: int, at: str) -> tuple[DataFrame, DataFrame]:
+        """What the chunk table tells: the rows that coverage decides (b, r, tb, tr), and for the others the held records they share a header with."""
         probe, known = chunk_rows(rows, "total"), held.select("hash", F.col("b").alias("mb"), F.col("r").alias("mr"), F.col("total").alias("total_m"), F.substring_index("part", "-", 1).cast("int").alias("seq"))
-        met = probe.join(known, "hash") if (hot := self._hot(parsed)) is None else in_parts(probe, known, hot)
-        of = ["b", "r", "mb", "mr", "seq"]
-        pairs = met.groupBy(of).agg(F.sum("nbytes").alias("shared"), F.max("total").alias("total"), F.max("total_m").alias("total_m"), F.max(F.when(F.col("nbytes") == HEADER_BYTES, F.col("hash"))).alias("hash")).filter("hash IS NOT NULL")
-        pairs = stored(pairs, f"{work}/pairs")
-        whole = F.expr("shared = total AND shared = total_m")
-        rest = pairs.filter(~whole).select("hash", *of)
-        shapes = held.filter(F.col("shape").isNotNull()).select("hash", F.col("b").alias("mb"), F.col("r").alias("mr"), F.col("kind").alias("kind_m"), F.col("shape").alias("shape_m"))
-        rest = rest.join(shapes, ["hash", "mb", "mr"]).join(rows.select("b", "r", "kind", "shape"), ["b", "r"]).filter("kind = kind_m").select(*of, "kind", "shape", "shape_m")
-        match = pairs.filter(whole).select(of).unionByName(same_pairs(rest, self.tolerance))
-        return match.groupBy("b", "r").agg(F.min(F.struct("seq", "mb", "mr")).alias("m")).select("b", "r", F.col("m.mb").alias("tb"), F.col("m.mr").alias("tr"))
+        hot = self._hot(rows) if size > self.limit else None
+        met = probe.join(known, "hash") if hot is None else in_parts(probe, known, hot)
+        head = F.when(F.col("nbytes") == HEADER_BYTES, F.col("hash"))
+        of = met.groupBy("b", "r", "mb", "mr", "seq").agg(F.sum("nbytes").alias("shared"), F.max("total").alias("total"), F.max("total_m").alias("total_m"), F.max("own").alias("own"), F.max(head).alias("hash"))
+        of = stored(of.filter("hash IS NOT NULL").withColumn("whole", F.expr("shared = total AND shared = total_m")), at)
+        # All bytes shared with the record accepted first of those met: nothing is left to decide.
+        m = F.struct("seq", "mb", "mr")
+        best = of.groupBy("b", "r").agg(F.min(m).alias("m"), F.min(F.when(F.col("whole"), m)).alias("w"))
+        covered = best.filter("m = w").select("b", "r", F.col("m.mb").alias("tb"), F.col("m.mr").alias("tr"))
+        return covered, of.join(covered.select("b", "r"), ["b", "r"], "left_anti")
 
     def _hot(self, rows: DataFrame) -> DataFrame | None:
-        """hash, parts of headers that more than limit rows share (copies, too); None if there are none. At most rows / limit of them."""
-        if rows.count() <= self.limit:
-            return None
+        """hash, parts of headers that more than limit rows share; None if there are none. At most rows / limit of them."""
         hot = rows.groupBy(F.col("own").alias("hash")).agg(F.count("*").alias("n")).filter(F.col("n") > self.limit).select("hash", F.ceil(F.col("n") / self.limit).cast("int").alias("parts"))
         return None if hot.isEmpty() else hot
 
-    def _within(self, fresh: DataFrame, work: str) -> DataFrame:
-        """b, r, tb, tr: of records that nothing held matches, those that repeat an earlier one of the batch."""
-        spark = fresh.sparkSession
-        cells = chunk_rows(fresh).filter(F.col("nbytes") == HEADER_BYTES).select("hash", "b", "r", (F.col("hash") == F.col("own")).alias("mine"))
+    def _settled(self, rows: DataFrame, rest: DataFrame | None, held: DataFrame, size: int, at: str) -> list[DataFrame]:
+        """b, r, tb, tr of the repeats among rows, as tables: of held records, or of earlier rows of the batch."""
+        cells = chunk_rows(rows).filter(F.col("nbytes") == HEADER_BYTES).select("hash", F.lit(NOW).alias("seq"), "b", "r", (F.col("hash") == F.col("own")).alias("mine"), F.col("hash").alias("listed"))
+        if rest is not None:
+            cells = cells.unionByName(rest.select(F.col("own").alias("hash"), "seq", F.col("mb").alias("b"), F.col("mr").alias("r"), F.lit(False).alias("mine"), F.col("hash").alias("listed")).distinct())
         crowd = cells.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
         # A row that is alone in its own cell is accepted; others may meet it all the same.
-        placed = cells.join(crowd, "hash").groupBy("b", "r").agg(F.collect_list(F.struct("hash", "mine")).alias("in"), F.max("mine").alias("open"))
-        left = stored(placed.select(F.explode("in").alias("c"), "b", "r", "open").select("c.hash", "b", "r", "c.mine", (~F.col("open")).alias("held")), f"{work}/cells-0")
+        placed = cells.join(crowd, "hash").groupBy("seq", "b", "r").agg(F.collect_list(F.struct("hash", "mine", "listed")).alias("in"), F.max("mine").alias("open"))
+        left = stored(placed.select(F.explode("in").alias("c"), "seq", "b", "r", "open").select("c.hash", "seq", "b", "r", "c.mine", "c.listed", (~F.col("open")).alias("held")), f"{at}-cells-0")
+        now, shapes = F.col("seq") == NOW, held.filter("shape IS NOT NULL").select(F.col("hash").alias("listed"), "b", "r", "kind", "shape")
         repeats, turn = [], 0
-        while size := left.count():
-            members = self._split(left, size).join(fresh.select("b", "r", "kind", "shape"), ["b", "r"])
-            said = stored(settle(members, self.tolerance), f"{work}/said-{turn}")
+        while True:
+            split = self._split(left, size)
+            members = split.filter(now).join(rows.select("b", "r", "kind", "shape"), ["b", "r"])
+            if rest is not None:
+                members = members.unionByName(split.filter(~now).join(shapes, ["listed", "b", "r"]))
+            said = stored(settle(members, self.tolerance), f"{at}-said-{turn}")
             repeats.append(said.filter(F.col("verdict") == REPEAT).drop("verdict"))
             if said.filter(F.col("verdict") == OPEN).isEmpty():
-                break
+                return repeats
             # What is open goes on, in the cells it lies in, with those that were accepted there.
             turn += 1
-            verdict = left.join(said.select("b", "r", "verdict"), ["b", "r"], "left").filter(F.col("held") | (F.col("verdict") != REPEAT))
-            verdict = verdict.select("hash", "b", "r", "mine", (F.col("held") | (F.col("verdict") == ACCEPTED)).alias("held"))
+            verdict = left.join(said.select(F.lit(NOW).alias("seq"), "b", "r", "verdict"), ["seq", "b", "r"], "left").filter(F.col("held") | (F.col("verdict") != REPEAT))
+            verdict = verdict.withColumn("held", F.col("held") | (F.col("verdict") == ACCEPTED)).drop("verdict")
             open_cells = verdict.filter("mine AND NOT held").select("hash").distinct()
-            left = stored(verdict.join(open_cells, "hash", "left_semi"), f"{work}/cells-{turn}")
-        out = spark.createDataFrame([], "b bigint, r bigint, tb bigint, tr bigint")
-        for x in repeats:
-            out = out.unionByName(x)
-        return out
+            left = stored(verdict.join(open_cells, "hash", "left_semi"), f"{at}-cells-{turn}")
 
     def _split(self, left: DataFrame, size: int) -> DataFrame:
         """left with part, probe and first open row: cells of more than limit open rows in parts.
@@ -679,22 +712,28 @@ def in_parts(probe: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
     return usual.unionByName(dealt.join(copied, ["hash", "part"]).drop("part"))
 
 
-def batches_of(features: DataFrame, number: Column | str = "batch_no") -> Iterator[DataFrame]:
-    """The rows of each batch, in the order of their numbers, rows without one last."""
-    numbers = [r[0] for r in features.select(number).distinct().collect()]
-    for n in sorted(numbers, key=lambda n: (n is None, n or 0)):
-        yield features.filter(F.col("batch_no").isNull() if n is None else F.col("batch_no") == n)
+#: Bytes of parsed records to a bucket, and most buckets, of the history that repeats() builds.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 4096
 
 
 def repeats(features: DataFrame, tolerance: float = 0.5, limit: int = LIMIT) -> DataFrame:
-    """row_a, row_b: each feature that repeats an accepted one, with the earliest it repeats; batch after batch through a history of its own."""
+    """row_a, row_b: each feature that repeats an accepted one, with the earliest it repeats.
+
+    Batch after batch, by batch_no, through a history of its own; all are parsed and written by batch beforehand. See
+    FeatureHistory.accept for what counts as a repeat.
+    """
     spark = features.sparkSession
     at = scratch(spark, "history")
-    history, got = FeatureHistory(at, tolerance, limit=limit), []
-    for batch in batches_of(features):
-        got.append(history.accept(batch))
-    out = spark.createDataFrame([], "row_a bigint, row_b bigint")
-    for g in got:
-        out = out.unionByName(g)
-    drop(spark, f"{at}/index")
-    return out
+    staged = Staged(features, at, tolerance, by_batch=True)
+    fs, parsed = hadoop_path(spark, f"{at}/parsed")
+    history = FeatureHistory(f"{at}/accepted", tolerance, max(1, min(MOST_BUCKETS, -(-fs.getContentSummary(parsed).getLength() // BUCKET_BYTES))), limit)
+    direct = None
+    for number in sorted(staged.counts):
+        got = history.add(staged.firsts(number), staged.counts[number], at)
+        direct = got if direct is None else direct.unionByName(got)
+    if direct is None:
+        return spark.createDataFrame([], "row_a bigint, row_b bigint")
+    pairs = stored(staged.pairs(direct), f"{at}/pairs")
+    for done in ("parsed", "accepted"):
+        drop(spark, f"{at}/{done}")
+    return pairs

@@ -125,7 +125,7 @@ def test_only_a_missing_history_is_empty(spark, tmp_path):
 def test_the_history_is_neither_shuffled_nor_read_whole(spark, tmp_path):
     history = D.FeatureHistory(str(tmp_path / "history"), buckets=4)
     history.accept(frame(spark, [(1, 1, "Point", [3, 3])]))
-    index = spark.table(history._table(spark)).select("hash", "b", "r")
+    index = spark.table(history.table(spark)).select("hash", "b", "r")
     batch = spark.range(10).select(D.F.col("id").alias("hash"), D.F.lit(1).alias("x"))
     p = spark._jvm.PythonSQLUtils.explainString(batch.hint("merge").join(index, "hash")._jdf.queryExecution(), "formatted")
     assert "Bucketed: true" in p and "SelectedBucketsCount: 4 out of 4" in p and p.count("hashpartitioning") == 1
