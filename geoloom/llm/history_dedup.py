@@ -598,32 +598,25 @@ class FeatureHistory:
         spark = batch.sparkSession
         work = scratch(spark, "batch")
         staged = Staged(batch, work, self.tolerance, by_batch=False)
-        direct = self.add(staged.firsts(), sum(staged.counts.values()), work)
+        direct = direct_repeats(spark, self.add(staged.firsts(), sum(staged.counts.values()), work))
         pairs = stored(staged.pairs(direct), f"{self.path}/pairs/{uuid.uuid4().hex}")
         drop(spark, work)
         return pairs
 
-    def add(self, rows: DataFrame, size: int, work: str) -> DataFrame:
-        """b, r, tb, tr: those of rows (about size of them, no copies among them) that repeat a held or an earlier one; the others are added."""
+    def add(self, rows: DataFrame, size: int, work: str) -> list[str]:
+        """Settles rows (about size of them, no copies among them) and adds those that repeat none; returns the folders that say which do."""
         spark = rows.sparkSession
         commits, index = self._commits(spark), self.table(spark)
         part = f"{len(commits)}-{uuid.uuid4().hex}"
-        cells, covered = rows, None
+        cells, rest, folders = rows, None, []
         held = spark.table(index).filter(F.col("part").isin(commits))
         if commits:
-            covered, rest = self._met(rows, held, size, f"{work}/met-{part}")
-            cells = rows.join(covered.select("b", "r"), ["b", "r"], "left_anti")
-        else:
-            rest = None
-        repeats = self._settled(cells, rest, held, size, f"{work}/{part}")
-        known = [*repeats, covered] if covered is not None else repeats
-        direct = known[0] if known else None
-        for x in known[1:]:
-            direct = direct.unionByName(x)
-        if direct is None:
-            direct, new = rows.select("b", "r", F.col("b").alias("tb"), F.col("r").alias("tr")).filter("false"), rows
-        else:
-            new = rows.join(direct.select("b", "r"), ["b", "r"], "left_anti")
+            folders.append(f"{work}/{part}-met")
+            rest = self._met(rows, held, size, folders[0])
+            cells = rows.join(covered(rest).select("b", "r"), ["b", "r"], "left_anti")
+            rest = rest.join(covered(rest).select("b", "r"), ["b", "r"], "left_anti")
+        folders += self._settled(cells, rest, held, size, f"{work}/{part}")
+        new = rows.join(direct_repeats(spark, folders).select("b", "r"), ["b", "r"], "left_anti")
         head = F.col("nbytes") == HEADER_BYTES
         entries = chunk_rows(new, "total", "kind", "shape").filter(~head | (F.col("hash") == F.col("own")))
         entries = entries.select("hash", "b", "r", "nbytes", "total", "kind", F.when(head, F.col("shape")).alias("shape"), F.lit(part).alias("part"))
@@ -632,29 +625,24 @@ class FeatureHistory:
         if sum(n.split("-")[0] == str(len(commits)) for n in self._names(spark, "commits")) > 1:
             drop(spark, f"{self.path}/commits/{part}")
             raise RuntimeError(f"another job added a batch to {self.path} meanwhile: accept this one again")
-        return direct
+        return folders
 
-    def _met(self, rows: DataFrame, held: DataFrame, size: int, at: str) -> tuple[DataFrame, DataFrame]:
-        """What the chunk table tells: the rows that coverage decides (b, r, tb, tr), and for the others the held records they share a header with."""
+    def _met(self, rows: DataFrame, held: DataFrame, size: int, at: str) -> DataFrame:
+        """What the chunk table tells: the held records each row shares a header with, and whether all bytes (MET)."""
         probe, known = chunk_rows(rows, "total"), held.select("hash", F.col("b").alias("mb"), F.col("r").alias("mr"), F.col("total").alias("total_m"), F.substring_index("part", "-", 1).cast("int").alias("seq"))
         hot = self._hot(rows) if size > self.limit else None
         met = probe.join(known, "hash") if hot is None else in_parts(probe, known, hot)
         head = F.when(F.col("nbytes") == HEADER_BYTES, F.col("hash"))
         of = met.groupBy("b", "r", "mb", "mr", "seq").agg(F.sum("nbytes").alias("shared"), F.max("total").alias("total"), F.max("total_m").alias("total_m"), F.max("own").alias("own"), F.max(head).alias("hash"))
-        of = stored(of.filter("hash IS NOT NULL").withColumn("whole", F.expr("shared = total AND shared = total_m")), at)
-        # All bytes shared with the record accepted first of those met: nothing is left to decide.
-        m = F.struct("seq", "mb", "mr")
-        best = of.groupBy("b", "r").agg(F.min(m).alias("m"), F.min(F.when(F.col("whole"), m)).alias("w"))
-        covered = best.filter("m = w").select("b", "r", F.col("m.mb").alias("tb"), F.col("m.mr").alias("tr"))
-        return covered, of.join(covered.select("b", "r"), ["b", "r"], "left_anti")
+        return stored(of.filter("hash IS NOT NULL").select(*("b", "r", "mb", "mr", "seq", "own", "hash"), F.expr("shared = total AND shared = total_m").alias("whole")), at)
 
     def _hot(self, rows: DataFrame) -> DataFrame | None:
         """hash, parts of headers that more than limit rows share; None if there are none. At most rows / limit of them."""
         hot = rows.groupBy(F.col("own").alias("hash")).agg(F.count("*").alias("n")).filter(F.col("n") > self.limit).select("hash", F.ceil(F.col("n") / self.limit).cast("int").alias("parts"))
         return None if hot.isEmpty() else hot
 
-    def _settled(self, rows: DataFrame, rest: DataFrame | None, held: DataFrame, size: int, at: str) -> list[DataFrame]:
-        """b, r, tb, tr of the repeats among rows, as tables: of held records, or of earlier rows of the batch."""
+    def _settled(self, rows: DataFrame, rest: DataFrame | None, held: DataFrame, size: int, at: str) -> list[str]:
+        """The folders of the verdicts on rows, which may repeat held records (those of rest) or earlier ones of the batch."""
         cells = chunk_rows(rows).filter(F.col("nbytes") == HEADER_BYTES).select("hash", F.lit(NOW).alias("seq"), "b", "r", (F.col("hash") == F.col("own")).alias("mine"), F.col("hash").alias("listed"))
         if rest is not None:
             cells = cells.unionByName(rest.select(F.col("own").alias("hash"), "seq", F.col("mb").alias("b"), F.col("mr").alias("r"), F.lit(False).alias("mine"), F.col("hash").alias("listed")).distinct())
@@ -663,22 +651,21 @@ class FeatureHistory:
         placed = cells.join(crowd, "hash").groupBy("seq", "b", "r").agg(F.collect_list(F.struct("hash", "mine", "listed")).alias("in"), F.max("mine").alias("open"))
         left = stored(placed.select(F.explode("in").alias("c"), "seq", "b", "r", "open").select("c.hash", "seq", "b", "r", "c.mine", "c.listed", (~F.col("open")).alias("held")), f"{at}-cells-0")
         now, shapes = F.col("seq") == NOW, held.filter("shape IS NOT NULL").select(F.col("hash").alias("listed"), "b", "r", "kind", "shape")
-        repeats, turn = [], 0
+        folders: list[str] = []
         while True:
             split = self._split(left, size)
             members = split.filter(now).join(rows.select("b", "r", "kind", "shape"), ["b", "r"])
             if rest is not None:
                 members = members.unionByName(split.filter(~now).join(shapes, ["listed", "b", "r"]))
-            said = stored(settle(members, self.tolerance), f"{at}-said-{turn}")
-            repeats.append(said.filter(F.col("verdict") == REPEAT).drop("verdict"))
+            folders.append(f"{at}-said-{len(folders)}")
+            said = stored(settle(members, self.tolerance), folders[-1])
             if said.filter(F.col("verdict") == OPEN).isEmpty():
-                return repeats
+                return folders
             # What is open goes on, in the cells it lies in, with those that were accepted there.
-            turn += 1
             verdict = left.join(said.select(F.lit(NOW).alias("seq"), "b", "r", "verdict"), ["seq", "b", "r"], "left").filter(F.col("held") | (F.col("verdict") != REPEAT))
             verdict = verdict.withColumn("held", F.col("held") | (F.col("verdict") == ACCEPTED)).drop("verdict")
             open_cells = verdict.filter("mine AND NOT held").select("hash").distinct()
-            left = stored(verdict.join(open_cells, "hash", "left_semi"), f"{at}-cells-{turn}")
+            left = stored(verdict.join(open_cells, "hash", "left_semi"), f"{at}-cells-{len(folders)}")
 
     def _split(self, left: DataFrame, size: int) -> DataFrame:
         """left with part, probe and first open row: cells of more than limit open rows in parts.
@@ -703,6 +690,23 @@ class FeatureHistory:
         return left.join(big.select("hash"), "hash", "left_anti").select("*", *whole).unionByName(cut)
 
 
+MET = "b bigint, r bigint, mb bigint, mr bigint, seq int, own bigint, hash bigint, whole boolean"
+
+
+def covered(met: DataFrame) -> DataFrame:
+    """b, r, tb, tr of the rows that coverage decides: all bytes shared with the record accepted first of those met."""
+    m = F.struct("seq", "mb", "mr")
+    best = met.groupBy("b", "r").agg(F.min(m).alias("m"), F.min(F.when(F.col("whole"), m)).alias("w"))
+    return best.filter("m = w").select("b", "r", F.col("m.mb").alias("tb"), F.col("m.mr").alias("tr"))
+
+
+def direct_repeats(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """b, r, tb, tr of what repeats a record, as the folders of one batch or several tell."""
+    said, met = ([f for f in folders if f.endswith("-met") == kind] for kind in (False, True))
+    out = spark.read.schema(VERDICT).parquet(*said).filter(F.col("verdict") == REPEAT).drop("verdict")
+    return out.unionByName(covered(spark.read.schema(MET).parquet(*met))) if met else out
+
+
 def in_parts(probe: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
     """probe joined with known by hash, the hot hashes' probes dealt to parts that each meet all of known."""
     hot = F.broadcast(hot)
@@ -727,13 +731,12 @@ def repeats(features: DataFrame, tolerance: float = 0.5, limit: int = LIMIT) ->
     staged = Staged(features, at, tolerance, by_batch=True)
     fs, parsed = hadoop_path(spark, f"{at}/parsed")
     history = FeatureHistory(f"{at}/accepted", tolerance, max(1, min(MOST_BUCKETS, -(-fs.getContentSummary(parsed).getLength() // BUCKET_BYTES))), limit)
-    direct = None
+    folders: list[str] = []
     for number in sorted(staged.counts):
-        got = history.add(staged.firsts(number), staged.counts[number], at)
-        direct = got if direct is None else direct.unionByName(got)
-    if direct is None:
+        folders += history.add(staged.firsts(number), staged.counts[number], at)
+    if not folders:
         return spark.createDataFrame([], "row_a bigint, row_b bigint")
-    pairs = stored(staged.pairs(direct), f"{at}/pairs")
+    pairs = stored(staged.pairs(direct_repeats(spark, folders)), f"{at}/pairs")
     for done in ("parsed", "accepted"):
         drop(spark, f"{at}/{done}")
     return pairs
