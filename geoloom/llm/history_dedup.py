@@ -506,33 +506,30 @@ def settle(members: DataFrame, tolerance: float) -> DataFrame:
 
 
 class Staged:
-    """Records of one or several batches, parsed once and written by batch, with the copies among them.
+    """Records of one or several batches, parsed once.
 
-    parsed: each record once. copies: b, r and the first record (lb, lr) that has the same stream, within the batch if
-    by_batch, else within all. counts: records by batch number.
+    copies: b, r and the first record (lb, lr) that has the same stream, within the batch if by_batch, else within all.
+    firsts: the others, each once, written by batch. counts: how many of them each batch number has.
     """
 
     def __init__(self, features: DataFrame, work: str, tolerance: float, by_batch: bool) -> None:
         spark = features.sparkSession
         rows = parse_features(features, tolerance)
-        rows.write.partitionBy("b").parquet(f"{work}/parsed")
-        parsed = spark.read.schema(rows.schema).parquet(f"{work}/parsed")
+        parsed = stored(rows, f"{work}/parsed")
         key = ["b", "fp"] if by_batch else ["fp"]
         ids = parsed.groupBy("b", "r").agg(F.min("fp").alias("fp"), F.max("fp").alias("last_fp"), F.count("*").alias("n"))
         lead = parsed.groupBy(key).agg(F.min(F.struct("b", "r")).alias("lead"), F.count("*").alias("all")).filter("all > 1").select(*key, "lead")
         marked = ids.join(lead, key).filter((F.col("lead") != F.struct("b", "r")) | (F.col("n") > 1)).select("b", "r", F.col("lead.b").alias("lb"), F.col("lead.r").alias("lr"), "n")
         copies = stored(marked, f"{work}/copies")
-        self.counts = {r["b"]: r["n"] for r in parsed.groupBy("b").agg(F.count("*").alias("n")).collect()}
         if not ids.filter("fp <> last_fp").isEmpty():
             raise ValueError("a row_id stands for several shapes in one batch: its repeats can't be told apart")
         if not copies.filter("n > 1").isEmpty():
-            parsed = stored(parsed.dropDuplicates(["b", "r"]), f"{work}/once")
-        self.parsed, self.copies = parsed, copies.filter("b <> lb OR r <> lr").select("b", "r", "lb", "lr")
-
-    def firsts(self, number: int | None = None) -> DataFrame:
-        """Records that are no copies, of one batch or all."""
-        of = (lambda d: d) if number is None else (lambda d: d.filter(F.col("b") == number))
-        return of(self.parsed).join(of(self.copies).select("b", "r"), ["b", "r"], "left_anti")
+            parsed = parsed.dropDuplicates(["b", "r"])
+        self.copies = copies.filter("b <> lb OR r <> lr").select("b", "r", "lb", "lr")
+        parsed.join(self.copies.select("b", "r"), ["b", "r"], "left_anti").select(rows.columns).write.partitionBy("b").parquet(f"{work}/firsts")
+        drop(spark, f"{work}/parsed")
+        self.firsts = spark.read.schema(rows.schema).parquet(f"{work}/firsts")
+        self.counts = {r["b"]: r["n"] for r in self.firsts.groupBy("b").agg(F.count("*").alias("n")).collect()}
 
     def pairs(self, direct: DataFrame) -> DataFrame:
         """row_a, row_b: of what repeats directly, and of copies, which repeat what their first one repeats, or that one."""
@@ -598,7 +595,7 @@ class FeatureHistory:
         spark = batch.sparkSession
         work = scratch(spark, "batch")
         staged = Staged(batch, work, self.tolerance, by_batch=False)
-        direct = direct_repeats(spark, self.add(staged.firsts(), sum(staged.counts.values()), work))
+        direct = direct_repeats(spark, self.add(staged.firsts, sum(staged.counts.values()), work))
         pairs = stored(staged.pairs(direct), f"{self.path}/pairs/{uuid.uuid4().hex}")
         drop(spark, work)
         return pairs
@@ -612,9 +609,9 @@ class FeatureHistory:
         held = spark.table(index).filter(F.col("part").isin(commits))
         if commits:
             folders.append(f"{work}/{part}-met")
-            rest = self._met(rows, held, size, folders[0])
-            cells = rows.join(covered(rest).select("b", "r"), ["b", "r"], "left_anti")
-            rest = rest.join(covered(rest).select("b", "r"), ["b", "r"], "left_anti")
+            met = self._met(rows, held, size, folders[0])
+            cells = rows.join(met.filter("tr IS NOT NULL").select("b", "r"), ["b", "r"], "left_anti")
+            rest = met.filter("tr IS NULL").select("own", F.explode("met").alias("m")).select("own", "m.*")
         folders += self._settled(cells, rest, held, size, f"{work}/{part}")
         new = rows.join(direct_repeats(spark, folders).select("b", "r"), ["b", "r"], "left_anti")
         head = F.col("nbytes") == HEADER_BYTES
@@ -628,13 +625,21 @@ class FeatureHistory:
         return folders
 
     def _met(self, rows: DataFrame, held: DataFrame, size: int, at: str) -> DataFrame:
-        """What the chunk table tells: the held records each row shares a header with, and whether all bytes (MET)."""
+        """What the chunk table tells of each row that shares a header with a held record (MET): with which ones, and the one it repeats if coverage decides.
+
+        It does if all bytes are shared with the record accepted first of those met. The records met differ from one
+        another and lie in a cell or four, which bounds their number, not that of the rows that meet them.
+        """
         probe, known = chunk_rows(rows, "total"), held.select("hash", F.col("b").alias("mb"), F.col("r").alias("mr"), F.col("total").alias("total_m"), F.substring_index("part", "-", 1).cast("int").alias("seq"))
         hot = self._hot(rows) if size > self.limit else None
         met = probe.join(known, "hash") if hot is None else in_parts(probe, known, hot)
         head = F.when(F.col("nbytes") == HEADER_BYTES, F.col("hash"))
         of = met.groupBy("b", "r", "mb", "mr", "seq").agg(F.sum("nbytes").alias("shared"), F.max("total").alias("total"), F.max("total_m").alias("total_m"), F.max("own").alias("own"), F.max(head).alias("hash"))
-        return stored(of.filter("hash IS NOT NULL").select(*("b", "r", "mb", "mr", "seq", "own", "hash"), F.expr("shared = total AND shared = total_m").alias("whole")), at)
+        m = F.struct("seq", "mb", "mr")
+        whole = F.expr("shared = total AND shared = total_m")
+        best = of.filter("hash IS NOT NULL").groupBy("b", "r").agg(F.max("own").alias("own"), F.collect_list(F.struct("hash", "seq", "mb", "mr")).alias("met"), F.min(m).alias("m"), F.min(F.when(whole, m)).alias("w"))
+        decided = lambda c: F.when(F.col("m") == F.col("w"), F.col(c))
+        return stored(best.select("b", "r", "own", decided("m.mb").alias("tb"), decided("m.mr").alias("tr"), F.when(F.col("w").isNull() | (F.col("m") != F.col("w")), F.col("met")).alias("met")), at)
 
     def _hot(self, rows: DataFrame) -> DataFrame | None:
         """hash, parts of headers that more than limit rows share; None if there are none. At most rows / limit of them."""
@@ -690,21 +695,14 @@ class FeatureHistory:
         return left.join(big.select("hash"), "hash", "left_anti").select("*", *whole).unionByName(cut)
 
 
-MET = "b bigint, r bigint, mb bigint, mr bigint, seq int, own bigint, hash bigint, whole boolean"
-
-
-def covered(met: DataFrame) -> DataFrame:
-    """b, r, tb, tr of the rows that coverage decides: all bytes shared with the record accepted first of those met."""
-    m = F.struct("seq", "mb", "mr")
-    best = met.groupBy("b", "r").agg(F.min(m).alias("m"), F.min(F.when(F.col("whole"), m)).alias("w"))
-    return best.filter("m = w").select("b", "r", F.col("m.mb").alias("tb"), F.col("m.mr").alias("tr"))
+MET = "b bigint, r bigint, own bigint, tb bigint, tr bigint, met array<struct<hash: bigint, seq: int, mb: bigint, mr: bigint>>"
 
 
 def direct_repeats(spark: SparkSession, folders: list[str]) -> DataFrame:
     """b, r, tb, tr of what repeats a record, as the folders of one batch or several tell."""
     said, met = ([f for f in folders if f.endswith("-met") == kind] for kind in (False, True))
     out = spark.read.schema(VERDICT).parquet(*said).filter(F.col("verdict") == REPEAT).drop("verdict")
-    return out.unionByName(covered(spark.read.schema(MET).parquet(*met))) if met else out
+    return out.unionByName(spark.read.schema(MET).parquet(*met).filter("tr IS NOT NULL").select("b", "r", "tb", "tr")) if met else out
 
 
 def in_parts(probe: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
@@ -729,14 +727,14 @@ def repeats(features: DataFrame, tolerance: float = 0.5, limit: int = LIMIT) ->
     spark = features.sparkSession
     at = scratch(spark, "history")
     staged = Staged(features, at, tolerance, by_batch=True)
-    fs, parsed = hadoop_path(spark, f"{at}/parsed")
-    history = FeatureHistory(f"{at}/accepted", tolerance, max(1, min(MOST_BUCKETS, -(-fs.getContentSummary(parsed).getLength() // BUCKET_BYTES))), limit)
+    fs, firsts = hadoop_path(spark, f"{at}/firsts")
+    history = FeatureHistory(f"{at}/accepted", tolerance, max(1, min(MOST_BUCKETS, -(-fs.getContentSummary(firsts).getLength() // BUCKET_BYTES))), limit)
     folders: list[str] = []
     for number in sorted(staged.counts):
-        folders += history.add(staged.firsts(number), staged.counts[number], at)
+        folders += history.add(staged.firsts.filter(F.col("b") == number), staged.counts[number], at)
     if not folders:
         return spark.createDataFrame([], "row_a bigint, row_b bigint")
     pairs = stored(staged.pairs(direct_repeats(spark, folders)), f"{at}/pairs")
-    for done in ("parsed", "accepted"):
+    for done in ("firsts", "accepted"):
         drop(spark, f"{at}/{done}")
     return pairs
