@@ -1,17 +1,27 @@
-"""Solid building geometry: walls, triangulated caps and roofs. Python by batch, as triangulation has no SQL form."""
+"""Solid building geometry over footprints: walls, caps and roofs as strips and height fields, a batch at a time.
+
+Every vertical or leaning surface is a strip between two closed lines of as many points: a wall between the outline on
+the ground and the outline at the eaves, a ridge roof between the eaves and the points of the ridge its corners lean
+on, a skirt between the eaves and a tilted plane. Every other surface is the footprint lifted to a height field. So
+corners of all features of a batch are worked on together; only outlines that are concave or have holes are cut into
+triangles one by one, and each only once.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-7
 Point = tuple[float, float]
+#: Roofs with a ridge, which need a convex footprint without holes, and how much of the ridge's reach is kept.
+RIDGED = ("gabled", "hipped", "pyramidal")
 
 
 def open_ring(ring: list[Point]) -> list[Point]:
@@ -28,19 +38,6 @@ def signed_area(ring: list[Point]) -> float:
     return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
 
 
-def convex(ring: list[Point]) -> bool:
-    turn = 0
-    for i, a in enumerate(ring):
-        b, c = ring[(i + 1) % len(ring)], ring[(i + 2) % len(ring)]
-        v = (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
-        if abs(v) > EPS * EPS:
-            s = 1 if v > 0 else -1
-            if turn and s != turn:
-                return False
-            turn = s
-    return turn != 0
-
-
 def _visible(a: Point, b: Point, ring: list[Point]) -> bool:
     """Whether the open segment a-b meets neither an edge of ring nor a corner."""
     for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
@@ -120,97 +117,130 @@ def triangulate(rings: list[list[Point]]) -> list[tuple[Point, Point, Point]]:
     return out
 
 
-class Mesh:
-    """Positions (x, y, z by vertex) and triangles."""
-
-    def __init__(self) -> None:
-        self.positions: list[float] = []
-        self.indices: list[int] = []
-
-    def triangle(self, *corners: tuple[float, float, float]) -> None:
-        """Faces up; a vertical one is laid both ways."""
-        a, b, c = (np.array(p) for p in corners)
-        up = np.cross(b - a, c - a)[1]
-        faces = [(corners[0], corners[2], corners[1]) if up < 0 else corners]
-        if abs(up) <= EPS * EPS:
-            faces.append(tuple(reversed(faces[0])))
-        for f in faces:
-            n = len(self.positions) // 3
-            for p in f:
-                self.positions += p
-            self.indices += (n, n + 1, n + 2)
-
-    def wall(self, a: Point, b: Point, low_a: float, low_b: float, high_a: float, high_b: float) -> None:
-        if high_a - low_a <= EPS and high_b - low_b <= EPS:
-            return
-        pa_, pb = (a[0], low_a, a[1]), (b[0], low_b, b[1])
-        ta, tb = (a[0], high_a, a[1]), (b[0], high_b, b[1])
-        self.triangle(pa_, pb, tb)
-        self.triangle(pa_, tb, ta)
-
-
-def _axes(ring: list[Point], bearing: float | None) -> tuple[Point, Point]:
-    if bearing is not None:
-        r = math.radians(bearing)
-        slope = (math.sin(r), -math.cos(r))
-        return slope, (-slope[1], slope[0])
-    xs, zs = zip(*ring, strict=True)
-    ridge = (1.0, 0.0) if max(xs) - min(xs) >= max(zs) - min(zs) else (0.0, 1.0)
-    return (-ridge[1], ridge[0]), ridge
-
-
-def roof(rings: list[list[Point]], shape: str, height: float, bearing: float | None, base: float) -> Mesh | None:
-    """The roof on walls that end at base; None where the footprint can't carry that shape."""
-    outer = open_ring(rings[0]) if rings else []
-    if len(outer) < 3:
-        return None
-    xs, zs = zip(*outer, strict=True)
-    centre = ((min(xs) + max(xs)) / 2, (min(zs) + max(zs)) / 2)
-    slope, ridge = _axes(outer, bearing)
-    along = lambda p, axis: (p[0] - centre[0]) * axis[0] + (p[1] - centre[1]) * axis[1]
-    extent = lambda axis: max(*(abs(along(p, axis)) for p in outer), EPS)
-    m = Mesh()
-    if shape == "skillion":
-        reach = extent(slope)
-        top = lambda p: base + (along(p, slope) / reach + 1) / 2 * height
-        for t in triangulate(rings):
-            m.triangle(*((p[0], top(p), p[1]) for p in t))
-        for r in map(open_ring, rings):
-            for a, b in zip(r, r[1:] + r[:1], strict=True):
-                m.wall(a, b, base, base, top(a), top(b))
-    else:
-        if len(rings) > 1 or not convex(outer):
-            return None
-        half = 0.0 if shape == "pyramidal" else extent(ridge) if shape == "gabled" else max(extent(ridge) - extent(slope), 0.0)
-        apex: Callable[[Point], tuple[float, float, float]]
-        if half <= EPS:
-            apex = lambda p: (centre[0], base + height, centre[1])
-        else:
-
-            def apex(p: Point) -> tuple[float, float, float]:
-                d = max(-half, min(half, along(p, ridge)))
-                return centre[0] + ridge[0] * d, base + height, centre[1] + ridge[1] * d
-
-        for a, b in zip(outer, outer[1:] + outer[:1], strict=True):
-            ra, rb = apex(a), apex(b)
-            ea, eb = (a[0], base, a[1]), (b[0], base, b[1])
-            if math.dist(ra, rb) <= EPS:
-                m.triangle(ea, eb, ra)
-            else:
-                m.triangle(ea, eb, rb)
-                m.triangle(ea, rb, ra)
-    return m if m.indices else None
-
-
-def extrude(rings: list[list[Point]], top: float) -> Mesh:
-    """Walls from the ground to top and a flat cap; holes are walled too."""
-    m = Mesh()
-    for r in map(open_ring, rings):
-        for a, b in zip(r, r[1:] + r[:1], strict=True):
-            m.wall(a, b, 0.0, 0.0, top, top)
-    for t in triangulate(rings):
-        m.triangle(*((p[0], top, p[1]) for p in t))
-    return m
+class Footprints:
+    """Corners of a batch's footprints as flat arrays, with each one's feature, ring and following corner.
+
+    Closing points are dropped; so are rings of fewer than three corners, with their holes where it is the outline.
+    """
+
+    def __init__(self, rings: pa.Array, n: int) -> None:
+        lists = rings.flatten()
+        points = lists.flatten()
+        owner = pc.list_parent_indices(rings).to_numpy().astype(np.int64)
+        ring = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        x, z = (points.field(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
+        ordinal = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        ok = np.isfinite(x) & np.isfinite(z)
+        ring, x, z = ring[ok], x[ok], z[ok]
+        first = np.searchsorted(ring, ring)
+        last = np.searchsorted(ring, ring, side="right") - 1
+        k = np.arange(len(ring))
+        keep = ~((k == last) & (last > first) & (np.abs(x - x[first]) <= EPS) & (np.abs(z - z[first]) <= EPS))
+        ring, x, z = ring[keep], x[keep], z[keep]
+        fit = np.bincount(ring, minlength=len(owner)) >= 3
+        outlined = np.zeros(n, bool)
+        outlined[owner[fit & (ordinal == 0)]] = True
+        keep = fit[ring] & outlined[owner[ring]]
+        self.n, self.ring, self.x, self.z = n, ring[keep], x[keep], z[keep]
+        self.of, self.outer = owner[self.ring], ordinal[self.ring] == 0
+        end = np.append(self.ring[1:] != self.ring[:-1], True) if len(self.ring) else np.empty(0, bool)
+        self.next = np.arange(len(self.ring)) + 1
+        self.next[end] = np.searchsorted(self.ring, self.ring[end])
+        self.rings = np.bincount(owner[np.unique(self.ring)], minlength=n)
+        self.convex = self._convex() & (self.rings == 1)
+
+    def _convex(self) -> np.ndarray:
+        """Features whose outline turns one way only, straight corners aside."""
+        dx, dz = self.x[self.next] - self.x, self.z[self.next] - self.z
+        turn = dx * dz[self.next] - dz * dx[self.next]
+        some = lambda which: np.bincount(self.of[self.outer & which], minlength=self.n) > 0
+        return some(turn > EPS * EPS) != some(turn < -EPS * EPS)
+
+    def most(self, values: np.ndarray, none: float) -> np.ndarray:
+        """Greatest value among the outline's corners of each feature."""
+        out = np.full(self.n, none)
+        np.maximum.at(out, self.of[self.outer], values[self.outer])
+        return out
+
+    def triangles(self) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, corner numbers) of triangles that cover the footprints: fans of convex ones, ears of the others."""
+        start = np.searchsorted(self.of, self.of)
+        k = np.arange(len(self.of))
+        fan = self.convex[self.of] & (k > start) & (self.next != start)
+        of, corners = [self.of[fan]], [np.stack([start[fan], k[fan], self.next[fan]], 1)]
+        for f in np.unique(self.of[~self.convex[self.of]]):
+            lo, hi = np.searchsorted(self.of, [f, f + 1])
+            parts = np.split(np.arange(lo, hi), np.flatnonzero(np.diff(self.ring[lo:hi])) + 1)
+            number: dict[Point, int] = {}
+            rings = [[(float(self.x[i]), float(self.z[i])) for i in p] for p in parts]
+            for p, r in zip(parts, rings, strict=True):
+                number |= dict(zip(r, p.tolist(), strict=True))
+            cut = triangulate(rings)
+            of.append(np.full(len(cut), f))
+            corners.append(np.array([[number[p] for p in t] for t in cut], np.int64).reshape(-1, 3))
+        return np.concatenate(of), np.concatenate(corners)
+
+
+def facing_up(of: np.ndarray, faces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Faces (m, 3 corners, x y z) without those of no area; all look up, upright ones lie there both ways."""
+    normal = np.cross(faces[:, 1] - faces[:, 0], faces[:, 2] - faces[:, 0])
+    real = np.abs(normal).max(axis=1, initial=0) > EPS * EPS
+    of, faces, up = of[real], faces[real], normal[real, 1]
+    faces = np.where((up < 0)[:, None, None], faces[:, ::-1], faces)
+    upright = np.abs(up) <= EPS * EPS
+    return np.concatenate([of, of[upright]]), np.concatenate([faces, faces[upright][:, ::-1]])
+
+
+def strip(p: Footprints, which: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two faces to each edge between the lines low and high, both (corners, x y z). Where they all but meet they do."""
+    high = np.where(np.abs(high - low).max(axis=1, initial=0, keepdims=True) <= EPS, low, high)
+    i = np.flatnonzero(which)
+    j = p.next[i]
+    return np.tile(p.of[i], 2), np.concatenate([np.stack([low[i], low[j], high[j]], 1), np.stack([low[i], high[j], high[i]], 1)])
+
+
+def solids(p: Footprints, height: np.ndarray, shape: np.ndarray, rise: np.ndarray, bearing: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(wall height, roof built, cap area of each feature; feature and corners of all faces).
+
+    shape: '' for a flat roof. bearing in degrees, NaN where the longer side of the box gives the ridge (ties: x).
+    """
+    n = p.n
+    some = np.bincount(p.of, minlength=n) > 0
+    built = some & (rise > 0) & ((np.isin(shape, RIDGED) & p.convex) | (shape == "skillion"))
+    wall = np.where(built, height - rise, height)
+    lo_hi = [(-p.most(-v, -np.inf), p.most(v, -np.inf)) for v in (p.x, p.z)]
+    with np.errstate(invalid="ignore"):
+        (cx, wx), (cz, wz) = (((lo + hi) / 2, hi - lo) for lo, hi in lo_hi)
+        lies = np.where(wx >= wz, 0.0, 90.0)
+    given = np.isfinite(bearing)
+    ridge = np.radians(np.where(given, bearing, lies))
+    fall = np.radians(np.where(given, bearing - 90, lies + 90))
+    dx, dz = p.x - cx[p.of], p.z - cz[p.of]
+    on = lambda angle: dx * np.cos(angle)[p.of] + dz * np.sin(angle)[p.of]
+    along, down = on(ridge), on(fall)
+    reach, depth = (np.maximum(p.most(np.abs(v), EPS), EPS) for v in (along, down))
+
+    at = lambda h: np.stack([p.x, h, p.z], 1)
+    base = wall[p.of]
+    parts = [strip(p, base > EPS, at(np.zeros(len(p.x))), at(base))]
+    # A tilted roof lifts each corner; a flat one is lifted by nothing. Both are the footprint's own triangles.
+    tilted = built & (shape == "skillion")
+    lift = base + np.where(tilted[p.of], (down / depth[p.of] + 1) / 2 * rise[p.of], 0.0)
+    parts.append(strip(p, tilted[p.of], at(base), at(lift)))
+    of, corners = p.triangles()
+    area = np.zeros(n)
+    a, b, c = (corners[:, i] for i in range(3))
+    np.add.at(area, of, np.abs((p.x[b] - p.x[a]) * (p.z[c] - p.z[a]) - (p.z[b] - p.z[a]) * (p.x[c] - p.x[a])) / 2)
+    parts.append((of, at(lift)[corners]))
+    # Ridge roofs: each corner leans on the nearest point of the ridge, which may be a single one.
+    ridged = built & ~tilted
+    half = np.select([shape == "gabled", shape == "hipped"], [reach, np.maximum(reach - depth, 0.0)], 0.0)
+    half = np.where(half <= EPS, 0.0, half)
+    lean = np.clip(along, -half[p.of], half[p.of])
+    top = np.stack([cx[p.of] + lean * np.cos(ridge)[p.of], base + rise[p.of], cz[p.of] + lean * np.sin(ridge)[p.of]], 1)
+    parts.append(strip(p, ridged[p.of], at(base), top))
+    of, faces = facing_up(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
+    return wall, built, area, of, faces
 
 
 OUT = "id bigint, wall_height double, roof_built boolean, n_triangles int, cap_area double, top double, positions array<double>, indices array<int>"
@@ -220,31 +250,33 @@ def build(features: DataFrame, scale: float = 1.0) -> DataFrame:
     """Meshes of features (id, rings ARRAY<ARRAY<STRUCT x, z>>, height, shape, roof_height, bearing).
 
     Null or empty rings give a mesh without triangles; a null height counts as 0; a null shape is a flat roof. Where
-    the roof can't be built the walls go up to the full height.
+    the roof can't be built the walls go up to the full height. positions are x, y, z of each triangle's corners in
+    turn. Every footprint has its cap at the eaves, under a ridge roof too.
     """
 
+    def meshes(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = b.num_rows
+        number = lambda i: np.nan_to_num(b.column(i).to_numpy(zero_copy_only=False).astype(float))
+        height = np.maximum(number(2), 0.0)
+        shape = np.array([s or "" for s in b.column(3).to_pylist()])
+        rise = np.clip(number(4), 0.0, height)
+        bearing = b.column(5).to_numpy(zero_copy_only=False).astype(float)
+        p = Footprints(b.column(1), n)
+        wall, built, area, of, faces = solids(p, height * scale, shape, rise * scale, bearing)
+        order = np.argsort(of, kind="stable")
+        of, faces = of[order], faces[order]
+        count = np.bincount(of, minlength=n)
+        begin = np.append(0, np.cumsum(count))
+        top = np.zeros(n)
+        np.maximum.at(top, of, faces[:, :, 1].max(axis=1, initial=0))
+        lists = lambda per, v: pa.ListArray.from_arrays(pa.array((begin * per).astype(np.int32)), pa.array(v))
+        within = np.arange(len(of) * 3) - np.repeat(begin[:-1][of] * 3, 3)
+        columns = [b.column(0), pa.array(wall / scale), pa.array(built), pa.array(count, pa.int32()), pa.array(area), pa.array(top), lists(9, faces.reshape(-1)), lists(3, within.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in OUT.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                rings = [[(p["x"], p["z"]) for p in ring] for ring in (r["rings"] or []) if ring]
-                h = max(r["height"] or 0.0, 0.0)
-                rh = min(max(r["roof_height"] or 0.0, 0.0), h)
-                wall = h - rh if r["shape"] else h
-                top = roof(rings, r["shape"], rh * scale, r["bearing"], wall * scale) if r["shape"] and rh > 0 else None
-                if top is None:
-                    wall = h
-                m = extrude(rings, wall * scale)
-                if top is not None:
-                    n = len(m.positions) // 3
-                    m.positions += top.positions
-                    m.indices += [i + n for i in top.indices]
-                p = np.array(m.positions).reshape(-1, 3)
-                cap = sum(abs(cross(*t)) / 2 for t in triangulate(rings))
-                rows.append((r["id"], wall, top is not None, len(m.indices) // 3, cap, float(p[:, 1].max()) if len(p) else 0.0, m.positions, m.indices))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.bool_(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32())))], names=[x.split()[0] for x in OUT.split(", ")])
-
-    narrow = features.select("id", "rings", "height", "shape", "roof_height", "bearing")
-    # A mesh takes far longer to build than its footprint to move: rows are dealt out evenly first.
-    width = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return narrow.repartition(width, F.xxhash64("id")).mapInArrow(run, OUT)
+            for lo in range(0, b.num_rows, 4096):
+                yield meshes(b.slice(lo, 4096))
+
+    return features.select(F.col("id").cast("bigint"), "rings", F.col("height").cast("double"), "shape", F.col("roof_height").cast("double"), F.col("bearing").cast("double")).mapInArrow(run, OUT)
