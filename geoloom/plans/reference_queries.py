@@ -601,33 +601,53 @@ def viewport_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 _F = "json_extract(body, '$.features[' || i || ']')"
-_AT = "'^[\\[\\s]*(-?[0-9][0-9.eE+-]*)\\s*,\\s*(-?[0-9][0-9.eE+-]*)'"
+_XY = "'\\[\\s*(-?[0-9][0-9.eE+-]*)\\s*,\\s*(-?[0-9][0-9.eE+-]*)'"
 
 
-def _placed_sql() -> str:
-    cx, cy = WORLD.corner
-    lon = "CASE epsg WHEN 1 THEN px WHEN 0 THEN degrees(px/6378137.0) END"
-    lat = "CASE epsg WHEN 1 THEN py WHEN 0 THEN degrees(pi()/2 - 2.0*atan(exp(-py/6378137.0))) END"
+def _features_sql() -> str:
+    """Features of the pages, with projection, properties and coordinates as text."""
     crs = "json_extract(body, '$.crs')"
     members = ", ".join(CODE_SQL.format(s=_up(f"json_extract_string(body, '$.crs.{k}')")) for k in ("properties.name", "properties.href", "properties.code", "type"))
-    cell = "greatest(least(ceil({v}/20.0) - 1, {n} - 1), 0)"
-    return f"""WITH b AS (SELECT page_id, body, CASE usual_epsg WHEN 4326 THEN 1 WHEN 3857 THEN 0 END AS explicit FROM geojson_pages LEFT JOIN providers USING (provider) WHERE json_valid(body)),
+    return f"""b AS (SELECT page_id, tile_z, tile_x, tile_y, body, CASE usual_epsg WHEN 4326 THEN 1 WHEN 3857 THEN 0 END AS explicit FROM geojson_pages LEFT JOIN providers USING (provider) WHERE json_valid(body)),
     e AS (SELECT *, unnest(range(CAST(coalesce(json_array_length(body, '$.features'), 0) AS BIGINT))) AS i FROM b WHERE json_type(body, '$.features') = 'ARRAY'),
-    f AS (SELECT page_id, i, {_F} AS f, coalesce(explicit, CASE json_type({crs}) WHEN 'VARCHAR' THEN {CODE_SQL.format(s=_up("json_extract_string(body, '$.crs')"))} WHEN 'OBJECT' THEN coalesce({members}) END) AS epsg FROM e),
-    g AS (SELECT page_id, i, epsg, json_type(f, '$.properties') AS pt, CASE WHEN json_type(f, '$.properties') IN ('OBJECT') THEN json_extract(f, '$.properties') ELSE '{{}}'::JSON END AS properties, json_extract_string(f, '$.id') AS id, json_extract_string(f, '$.geometry.type') AS gt, json_extract_string(f, '$.geometry.coordinates') AS c FROM f),
-    h AS (SELECT *, {HEIGHT_SQL} AS height, CASE WHEN json_type(properties, '$.Name') IS NOT NULL THEN {_str('$.Name')} WHEN json_type(properties, '$.name') IS NOT NULL THEN {_str('$.name')} ELSE coalesce(id, 'Building') END AS name, try_cast(nullif(regexp_extract(c, {_AT}, 1), '') AS DOUBLE) AS px, try_cast(nullif(regexp_extract(c, {_AT}, 2), '') AS DOUBLE) AS py FROM g),
-    l AS (SELECT *, {lon} AS lon, {lat} AS lat FROM h),
-    t AS (SELECT *, CASE WHEN lat > -90 AND lat < 90 THEN {TX.format(lon="lon", n="64.0")} - {cx} END AS u, CASE WHEN lat > -90 AND lat < 90 THEN {cy} + 1 - {TY.format(lat="CASE WHEN lat > -90 AND lat < 90 THEN lat END", n="64.0")} END AS v FROM l)
-    SELECT page_id, CAST(i AS INTEGER) AS feature_no, name, height, epsg, CASE WHEN u IS NOT NULL AND v IS NOT NULL THEN CAST({cell.format(v="(v*20.0)", n=16)}*24 + {cell.format(v="(u*20.0)", n=24)} AS BIGINT) END AS tile,
-    CASE WHEN coalesce(pt, 'NULL') = 'NULL' THEN 'no properties' WHEN gt IN ('Polygon', 'Point', 'MultiPolygon', 'MultiLineString') THEN CASE WHEN epsg IS NULL THEN 'unknown projection' WHEN u IS NULL OR v IS NULL THEN 'no position' END ELSE 'unsupported: ' || coalesce(gt, 'none') END AS reason FROM t"""
+    f AS (SELECT page_id, tile_z, tile_x, tile_y, i, {_F} AS f, coalesce(explicit, CASE json_type({crs}) WHEN 'VARCHAR' THEN {CODE_SQL.format(s=_up("json_extract_string(body, '$.crs')"))} WHEN 'OBJECT' THEN coalesce({members}) END) AS epsg FROM e),
+    g AS (SELECT page_id, tile_z, tile_x, tile_y, i, epsg, json_type(f, '$.properties') AS pt, CASE WHEN json_type(f, '$.properties') IN ('OBJECT') THEN json_extract(f, '$.properties') ELSE '{{}}'::JSON END AS properties, json_extract_string(f, '$.id') AS id, json_extract_string(f, '$.geometry.type') AS gt, json_extract_string(f, '$.geometry.coordinates') AS c FROM f)"""
 
 
-@query(_placed_sql())
-def placed_buildings(spark: SparkSession, d: str) -> DataFrame:
+def _box_sql() -> str:
+    """Box of each feature in the plane of WORLD: of all positions, and of both sides of lines 2 wide. Its corner tile is (23, 38)."""
+    lon = "CASE epsg WHEN 1 THEN px WHEN 0 THEN degrees(px/6378137.0) END"
+    lat = "CASE epsg WHEN 1 THEN py WHEN 0 THEN degrees(pi()/2 - 2.0*atan(exp(-py/6378137.0))) END"
+    return f"""p0 AS (SELECT page_id, i, epsg, gt, 0 AS line, unnest(range(len(regexp_extract_all(c, {_XY}, 1)))) AS k, unnest(regexp_extract_all(c, {_XY}, 1)) AS px, unnest(regexp_extract_all(c, {_XY}, 2)) AS py FROM g WHERE gt IN ('Polygon', 'MultiPolygon', 'Point')
+      UNION ALL SELECT page_id, i, epsg, gt, line, unnest(range(len(ps))), CAST(unnest([p[1] FOR p IN ps]) AS VARCHAR), CAST(unnest([p[2] FOR p IN ps]) AS VARCHAR) FROM (SELECT page_id, i, epsg, gt, unnest(range(len(ls))) AS line, unnest(ls) AS ps FROM (SELECT *, try_cast(c::JSON AS DOUBLE[][][]) AS ls FROM g WHERE gt = 'MultiLineString'))),
+    p1 AS (SELECT page_id, i, gt, line, k, {lon} AS lon, {lat} AS lat FROM (SELECT * REPLACE (try_cast(px AS DOUBLE) AS px, try_cast(py AS DOUBLE) AS py) FROM p0)),
+    p2 AS (SELECT page_id, i, gt, line, k, ({TX.format(lon="lon", n="64.0")} - 23)*20.0 - 240.0 AS x, (39 - {TY.format(lat="lat", n="64.0")})*20.0 - 160.0 AS z FROM p1 WHERE lat > -90 AND lat < 90 AND lon IS NOT NULL),
+    w AS (SELECT *, lead(x) OVER o AS bx, lead(z) OVER o AS bz FROM p2 WINDOW o AS (PARTITION BY page_id, i, line ORDER BY k)),
+    sides AS (SELECT *, CASE WHEN x <> bx OR z <> bz THEN (z - bz)/sqrt((bx - x)*(bx - x) + (bz - z)*(bz - z)) ELSE 0 END AS ox, CASE WHEN x <> bx OR z <> bz THEN (bx - x)/sqrt((bx - x)*(bx - x) + (bz - z)*(bz - z)) ELSE 0 END AS oz FROM w WHERE gt = 'MultiLineString' AND bx IS NOT NULL),
+    pts AS (SELECT page_id, i, x, z FROM p2 WHERE gt <> 'MultiLineString' UNION ALL SELECT page_id, i, unnest([x + ox, x - ox, bx + ox, bx - ox]), unnest([z + oz, z - oz, bz + oz, bz - oz]) FROM sides),
+    box AS (SELECT page_id, i, min(x) AS x0, max(x) AS x1, min(z) AS z0, max(z) AS z1 FROM pts GROUP BY ALL)"""
+
+
+def _placed_sql() -> str:
+    cell = "greatest(least(ceil({v}/20.0) - 1, {n} - 1), 0)"
+    name = f"CASE WHEN json_type(properties, '$.Name') IS NOT NULL THEN {_str('$.Name')} WHEN json_type(properties, '$.name') IS NOT NULL THEN {_str('$.name')} ELSE coalesce(id, 'Building') END"
+    return f"""WITH {_features_sql()}, {_box_sql()}
+    SELECT page_id, CAST(i AS INTEGER) AS feature_no, {name} AS name, {HEIGHT_SQL} AS height, epsg, round(x0, 3) AS min_x, round(z1, 3) AS max_z,
+    CASE WHEN x0 IS NOT NULL THEN CAST({cell.format(v="((z0 + z1)/2 + 160.0)", n=16)}*24 + {cell.format(v="((x0 + x1)/2 + 240.0)", n=24)} AS BIGINT) END AS tile,
+    CASE WHEN coalesce(pt, 'NULL') = 'NULL' THEN 'no properties' WHEN gt IN ('Polygon', 'Point', 'MultiPolygon', 'MultiLineString') THEN CASE WHEN epsg IS NULL THEN 'unknown projection' WHEN x0 IS NULL THEN 'no position' END ELSE 'unsupported: ' || coalesce(gt, 'none') END AS reason FROM g LEFT JOIN box USING (page_id, i)"""
+
+
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "geojson_pages").join(table(spark, d, "providers").select("provider", "usual_epsg"), "provider", "left")
     explicit = F.when(F.col("usual_epsg") == 4326, C.EPSG_4326).when(F.col("usual_epsg") == 3857, C.EPSG_3857)
-    b = p.select("page_id", explicit.alias("explicit"), F.try_parse_json("body").alias("v"))
-    return buildings.place(b, ["page_id", "explicit"], WORLD, F.col("explicit")).select("page_id", "feature_no", "name", "height", "epsg", "tile", "reason")
+    return p.select("page_id", "tile_z", "tile_x", "tile_y", explicit.alias("explicit"), F.try_parse_json("body").alias("v"))
+
+
+@query(_placed_sql())
+def placed_buildings(spark: SparkSession, d: str) -> DataFrame:
+    """All data at once: each feature goes to the tile of the middle of its box."""
+    p = buildings.place(_bodies(spark, d), ["page_id", "explicit"], WORLD, F.col("explicit"))
+    return p.select("page_id", "feature_no", "name", "height", "epsg", F.round("box.min_x", 3).alias("min_x"), F.round("box.max_z", 3).alias("max_z"), "tile", "reason")
 
 
 # The flagship query goes by a shorter name.
