@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from geoloom.session import cut
 
-#: A new key may take over a gone one only if at least this share of the records that have both agree.
-AGREE = 0.7
+#: A new key may take over a gone one only if at least this share of the records that have both agree, and if that is
+#: well above what chance gives: of the agreement that two keys with these values would miss by chance, half at least.
+AGREE, BEYOND_CHANCE = 0.7, 0.5
 ID_KEYS = ("OBJECTID", "id")
 NUMBER = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,9})?")
 

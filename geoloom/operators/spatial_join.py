@@ -6,27 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.session import cut
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size).cast("bigint"), F.floor(hi / size).cast("bigint"))
 
 
+def _visited(segments: DataFrame, cell: float) -> DataFrame:
+    """segments in each cell they run through, cx and cz: column by column, so that a long diagonal has no more cells than a long street."""
+    slack = cell * 1e-9  # a hair, so that a point on a border is in the cell it is computed to be in
+    e = segments.withColumn("cx", F.explode(_cells(F.col("lx") - slack, F.col("hx") + slack, cell)))
+    rise = F.try_divide(F.col("z2") - F.col("z1"), F.col("x2") - F.col("x1"))
+    # Between the column's edges; all of an upright one.
+    at = lambda x, upright: F.when(rise.isNull(), upright).otherwise(F.least(F.greatest(F.col("z1") + (x - F.col("x1")) * rise, F.col("lz")), F.col("hz")))
+    a = at(F.greatest(F.col("lx"), F.col("cx") * cell - slack), F.col("lz"))
+    b = at(F.least(F.col("hx"), (F.col("cx") + 1) * cell + slack), F.col("hz"))
+    return e.withColumn("cz", F.explode(_cells(F.least(a, b) - slack, F.greatest(a, b) + slack, cell)))
+
+
 def street_intersections(segments: DataFrame, cell: float, all_hits: bool = False) -> DataFrame:
     """Where streets meet: street_a < street_b, x, y and the directions of the two segments.
 
-    segments has street, seq, x1, z1, x2, z2. Each is put into the cells its box touches; two meet in the cell that
-    holds the lower corner of their boxes' overlap, so that no pair comes twice. Only the first hit of a pair (by seq
-    of a, then of b) is reported, unless all_hits. Segments of no length and null ends meet nothing.
+    segments has street, seq, x1, z1, x2, z2. Each is put into the cells it runs through; two meet in the cell of
+    their common point, so that no pair comes twice. Only the first hit of a pair (by seq of a, then of b) is
+    reported, unless all_hits. Segments of no length and null ends meet nothing.
     """
     s = segments.filter("x1 IS NOT NULL AND z1 IS NOT NULL AND x2 IS NOT NULL AND z2 IS NOT NULL AND street IS NOT NULL").select("street", "seq", "x1", "z1", "x2", "z2", F.least("x1", "x2").alias("lx"), F.greatest("x1", "x2").alias("hx"), F.least("z1", "z2").alias("lz"), F.greatest("z1", "z2").alias("hz"))
-    e = s.withColumn("cx", F.explode(_cells(F.col("lx"), F.col("hx"), cell))).withColumn("cz", F.explode(_cells(F.col("lz"), F.col("hz"), cell)))
-    names = [c for c in s.columns]
-    a, b = (e.select("cx", "cz", *(F.col(c).alias(f"{c}_{k}") for c in names)) for k in "ab")
+    e = _visited(s, cell)
+    a, b = (e.select("cx", "cz", *(F.col(c).alias(f"{c}_{k}") for c in s.columns)) for k in "ab")
     j = a.join(b, ["cx", "cz"]).filter("street_a < street_b AND lx_a <= hx_b AND lx_b <= hx_a AND lz_a <= hz_b AND lz_b <= hz_a")
-    j = j.filter((F.floor(F.greatest("lx_a", "lx_b") / cell) == F.col("cx")) & (F.floor(F.greatest("lz_a", "lz_b") / cell) == F.col("cz")))
     col = lambda k: tuple(F.col(f"{c}_{k}") for c in ("x1", "z1", "x2", "z2"))
-    hit = j.withColumn("p", G.intersection(col("a"), col("b"))).filter("p IS NOT NULL")
+    hit = j.withColumn("p", G.intersection(col("a"), col("b"))).filter((F.floor(F.col("p.x") / cell) == F.col("cx")) & (F.floor(F.col("p.y") / cell) == F.col("cz")))
     hit = hit.select("street_a", "street_b", "seq_a", "seq_b", F.col("p.x").alias("x"), F.col("p.y").alias("y"), G.direction(*col("a")).alias("dir_a"), G.direction(*col("b")).alias("dir_b"))
     if all_hits:
         return hit
@@ -34,28 +45,41 @@ def street_intersections(segments: DataFrame, cell: float, all_hits: bool = Fals
     return first.select("street_a", "street_b", "h.*")
 
 
+def keepers(edges: DataFrame) -> DataFrame:
+    """at and keeper (the earliest kept one it touches) of what is dropped, taken in order: only kept ones drop others.
+
+    edges: at touches earlier. Each round keeps what touches nothing earlier any more and drops what touches it.
+    """
+    left, done = cut(edges), None
+    while not left.isEmpty():
+        kept = left.select(F.col("earlier").alias("k")).join(left.select(F.col("at").alias("k")), "k", "left_anti").distinct()
+        hit = cut(left.join(kept.withColumnRenamed("k", "earlier"), "earlier").groupBy("at").agg(F.min("earlier").alias("keeper")))
+        done = hit if done is None else done.unionByName(hit)
+        gone = hit.select("at").unionByName(kept.select(F.col("k").alias("at"))).distinct()
+        left = cut(left.join(gone, "at", "left_anti").join(gone.withColumnRenamed("at", "earlier"), "earlier", "left_anti"))
+    return left.select("at", F.col("earlier").alias("keeper")) if done is None else done
+
+
 def duplicate_shapes(shapes: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """id and keeper of shapes whose corners, in order, lie within tolerance in sum of an earlier kept one.
 
     shapes has id, seq (arrival; ties by id), points ARRAY<STRUCT x, z> and contained: shapes wholly on their tile
-    are neither compared nor compared against. Blocks are the number of corners and the cell of the first corner,
-    probed with its neighbours within tolerance. Of each block only the earliest shape of each exact outline is
-    compared, so copies never meet one another.
+    are neither compared nor compared against. Of one outline only the earliest shape is compared, so copies never
+    meet; outlines are told apart by two hashes (96 bits). Blocks are the number of corners and a cell of the first
+    corner a few times the tolerance wide, so that what meets in one is nearly alike, too.
     """
-    order = F.struct("seq", "id")
-    own = shapes.filter("NOT contained AND points IS NOT NULL AND size(points) > 0").select("id", order.alias("at"), "points", F.to_json("points").alias("outline"))
-    # Text groups by hash; an array of corners would have to be sorted.
-    first = own.groupBy("outline").agg(F.min("at").alias("at"), F.any_value("points").alias("points"))
-    cell = 1.0
+    outline = [F.xxhash64("points").alias("h1"), F.hash("points").alias("h2")]
+    own = shapes.filter("NOT contained AND points IS NOT NULL AND size(points) > 0").select("id", F.struct("seq", "id").alias("at"), *outline, "points")
+    first = own.groupBy("h1", "h2").agg(F.min_by(F.struct("at", "points"), "at").alias("f")).select("h1", "h2", "f.*")
+    cell = 16 * tolerance
     q = lambda c, d: F.floor((F.col("points")[0][c] + d) / cell).cast("bigint")
-    base = first.select("at", "points", "outline", F.size("points").alias("n"))
-    listed = base.select("n", q("x", 0.0).alias("cx"), q("z", 0.0).alias("cz"), F.col("at").alias("at_a"), F.col("points").alias("points_a"))
-    probe = base.withColumn("cx", F.explode(F.array_distinct(F.array(q("x", -tolerance), q("x", tolerance))))).withColumn("cz", F.explode(F.array_distinct(F.array(q("z", -tolerance), q("z", tolerance)))))
-    near = probe.join(listed, ["n", "cx", "cz"]).filter((F.col("at_a") < F.col("at")) & (G.vertex_error(F.col("points_a"), F.col("points")) < tolerance))
-    # Distinct outlines that close are few: the earliest of them keeps.
-    closest = near.groupBy("outline").agg(F.min("at_a").alias("keeper"))
-    leader = first.join(closest, "outline", "left").select("outline", F.coalesce("keeper", "at").alias("keeper"))
-    return own.drop("points").join(leader, "outline").filter("at <> keeper").select("id", F.col("keeper.id").alias("keeper"))
+    base = first.select("at", "points", F.size("points").alias("n"))
+    listed = base.select("n", q("x", 0.0).alias("cx"), q("z", 0.0).alias("cz"), F.col("at").alias("earlier"), F.col("points").alias("points_a"))
+    both = lambda c: F.explode(F.array_distinct(F.array(q(c, -tolerance), q(c, tolerance))))
+    probe = base.withColumn("cx", both("x")).withColumn("cz", both("z"))
+    near = probe.join(listed, ["n", "cx", "cz"]).filter((F.col("earlier") < F.col("at")) & (G.vertex_error(F.col("points_a"), F.col("points")) < tolerance))
+    leader = first.select("h1", "h2", "at").join(keepers(near.select("at", "earlier")), "at", "left").select("h1", "h2", F.coalesce("keeper", "at").alias("keeper"))
+    return own.drop("points").join(leader, ["h1", "h2"]).filter("at <> keeper").select("id", F.col("keeper.id").alias("keeper"))
 
 
 def near_earlier(points: DataFrame, distance: float = 1.0) -> DataFrame:

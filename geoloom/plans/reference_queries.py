@@ -129,17 +129,13 @@ def tile_scale(spark: SparkSession, d: str) -> DataFrame:
     return placed_orders(spark, d).select("o_orderkey", F.round(C.tile_width_m(lat, z16()), 3).alias("width_m"), F.round(C.tile_scale(F.lit(25.0), lat, z16()), 3).alias("scale"))
 
 
-#: A window of 4 x 4 tiles at zoom 12; its corner tile is (1126, 1618).
+#: A window of 4 x 4 tiles at zoom 12 around a place; its corner tile in SQL follows from the place, too.
 TOWN = TileSet(4, 4, 25.0, 2).at(35.2258461, -80.8400777, 12)
-GX, GZ = f"(-50.0 + ({TX.format(lon=LON, n='4096.0')} - 1126)*25.0)", f"(-25.0 - ({TY.format(lat=LAT, n='4096.0')} - 1621)*25.0)"
+TOWN_X, TOWN_Y = f"(floor({TX.format(lon='-80.8400777', n='4096.0')}) - 2)", f"(floor({TY.format(lat='35.2258461', n='4096.0')}) + 2)"
+GX, GZ = f"(-50.0 + ({TX.format(lon=LON, n='4096.0')} - {TOWN_X})*25.0)", f"(-25.0 - ({TY.format(lat=LAT, n='4096.0')} - {TOWN_Y})*25.0)"
 
 
-def _town_sql(sql: str) -> str:
-    cx, cy = TOWN.corner
-    return sql.replace("1126", str(cx)).replace("1621", str(cy))
-
-
-@query(_town_sql(f"SELECT o_orderkey, round({GX}, 3) AS gx, round({GZ}, 3) AS gz, round({LON}, 6) AS lon, round({LAT}, 6) AS lat FROM orders"))
+@query(f"SELECT o_orderkey, round({GX}, 3) AS gx, round({GZ}, 3) AS gz, round({LON}, 6) AS lon, round({LAT}, 6) AS lat FROM orders")
 def game_coords(spark: SparkSession, d: str) -> DataFrame:
     o = placed_orders(spark, d).withColumn("p", TOWN.source_to_plane(F.col("lon"), F.col("lat"), F.lit(C.EPSG_4326)))
     back = TOWN.plane_to_lonlat(F.col("p.x"), F.col("p.z"))
@@ -149,17 +145,16 @@ def game_coords(spark: SparkSession, d: str) -> DataFrame:
 WORLD = TileSet(24, 16, 20.0).at(10.5, 20.25, 6)
 
 
-def _grid_sql(spec: TileSet) -> str:
-    cx, cy = spec.corner
-    n = 2**spec.zoom
-    return f"SELECT CAST(k AS BIGINT) AS idx, CAST({cx} + k % {spec.nx} AS BIGINT) AS x, CAST({cy} - k // {spec.nx} AS BIGINT) AS y, {spec.xmin} + (k % {spec.nx} + 0.5)*{spec.width} AS centre_x, {spec.zmin} + (k // {spec.nx} + 0.5)*{spec.width} AS centre_z, ({cx} + k % {spec.nx} BETWEEN 0 AND {n - 1}) AND ({cy} - k // {spec.nx} BETWEEN 0 AND {n - 1}) AS valid FROM range({spec.nx * spec.ny}) t(k)"
+def _grid_sql() -> str:
+    """Tiles of WORLD: its corner tile is (23, 38), its south-west corner (-240, -160)."""
+    return "SELECT CAST(k AS BIGINT) AS idx, CAST(23 + k % 24 AS BIGINT) AS x, CAST(38 - k // 24 AS BIGINT) AS y, -240.0 + (k % 24 + 0.5)*20.0 AS centre_x, -160.0 + (k // 24 + 0.5)*20.0 AS centre_z, (23 + k % 24 BETWEEN 0 AND 63) AND (38 - k // 24 BETWEEN 0 AND 63) AS valid FROM range(384) t(k)"
 
 
 def _grid_cols(g: str) -> str:
     return f"SELECT idx, x, y, CAST(centre_x AS DOUBLE) AS centre_x, CAST(centre_z AS DOUBLE) AS centre_z, valid FROM ({g})"
 
 
-@query(_grid_cols(_grid_sql(WORLD)))
+@query(_grid_cols(_grid_sql()))
 def viewport_grid(spark: SparkSession, d: str) -> DataFrame:
     return WORLD.grid(spark).select("idx", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "centre_x", "centre_z", "valid")
 
@@ -168,7 +163,7 @@ N6 = "64.0"
 TILE6 = f"CAST(floor({TX.format(lon=LON, n=N6)}) AS BIGINT) AS x, CAST(floor({TY.format(lat=LAT, n=N6)}) AS BIGINT) AS y"
 
 
-@query(f"SELECT g.idx, count(*) AS n FROM (SELECT {TILE6} FROM orders) p JOIN ({_grid_sql(WORLD)}) g USING (x, y) GROUP BY g.idx")
+@query(f"SELECT g.idx, count(*) AS n FROM (SELECT {TILE6} FROM orders) p JOIN ({_grid_sql()}) g USING (x, y) GROUP BY g.idx")
 def viewport_points(spark: SparkSession, d: str) -> DataFrame:
     z = F.lit(6)
     p = placed_orders(spark, d).select(C.lon_to_tile(F.col("lon"), z).alias("x"), C.lat_to_tile(F.col("lat"), z).alias("y"))
@@ -190,7 +185,7 @@ def best_tile_of_point(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH g AS ({_grid_sql(WORLD)}), m AS (SELECT *, centre_x + 45.0 AS ax, centre_z - 70.0 AS az FROM g),
+    f"""WITH g AS ({_grid_sql()}), m AS (SELECT *, centre_x + 45.0 AS ax, centre_z - 70.0 AS az FROM g),
     s AS (SELECT *, CASE WHEN ax < -240 THEN 1 WHEN ax > 240 THEN -1 ELSE 0 END AS sx, CASE WHEN az < -160 THEN 1 WHEN az > 160 THEN -1 ELSE 0 END AS sz FROM m)
     SELECT idx, CAST(x + sx*24 AS BIGINT) AS x, CAST(y - sz*16 AS BIGINT) AS y, CAST(ax + sx*480.0 AS DOUBLE) AS centre_x, CAST(az + sz*320.0 AS DOUBLE) AS centre_z, (sx <> 0 OR sz <> 0) AS reloaded FROM s"""
 )
@@ -220,7 +215,7 @@ def tiles_excluded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH t AS (SELECT DISTINCT {TILE6} FROM orders), p AS (SELECT x, y, {LONS.format(x='x', n='64.0')} AS lon, {LATS.format(y='y', n='64.0')} AS lat FROM t)
-    SELECT x, y, round(-240.0 + ({TX.format(lon='lon', n='64.0')} - {WORLD.corner[0]})*20.0, 3) AS px, round(-140.0 - ({TY.format(lat='lat', n='64.0')} - {WORLD.corner[1]})*20.0, 3) AS pz, -20.0/8192 AS scale_x FROM p"""
+    SELECT x, y, round(-240.0 + ({TX.format(lon='lon', n='64.0')} - 23)*20.0, 3) AS px, round(-140.0 - ({TY.format(lat='lat', n='64.0')} - 38)*20.0, 3) AS pz, -20.0/8192 AS scale_x FROM p"""
 )
 def model_tile_roots(spark: SparkSession, d: str) -> DataFrame:
     z = F.lit(6)
@@ -236,7 +231,7 @@ HOSTS = ["https://a.example/tiles/", "https://b.example/tiles/", "https://c.exam
     f"""SELECT idx, CASE CAST(idx % 4 AS INTEGER) WHEN 0 THEN '{HOSTS[0]}' WHEN 1 THEN '{HOSTS[1]}' WHEN 2 THEN '{HOSTS[2]}' ELSE '{HOSTS[3]}' END || '6/' || x || '/' || y || '.json?token=t' AS building,
     'https://img.example/6/' || x || '/' || y || '.png' AS raster,
     'https://sat.example/v4/sat/6/' || x || '/' || y || '@2x.jpg90?sku=101&access_token=a%26b' AS satellite,
-    'https://w.example/tile/1.0.0/top/default/GoogleMapsCompatible/6/' || y || '/' || x || '.png' AS wmts, 'cache/map_cache/6_' || y || '_' || x || '.png' AS wmts_local FROM ({_grid_sql(WORLD)})"""
+    'https://w.example/tile/1.0.0/top/default/GoogleMapsCompatible/6/' || y || '/' || x || '.png' AS wmts, 'cache/map_cache/6_' || y || '_' || x || '.png' AS wmts_local FROM ({_grid_sql()})"""
 )
 def raster_urls(spark: SparkSession, d: str) -> DataFrame:
     z, x, y = F.lit(6), F.col("x").cast("bigint"), F.col("y").cast("bigint")

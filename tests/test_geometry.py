@@ -88,6 +88,21 @@ def test_duplicates_keep_the_first(spark):
     assert {tuple(r) for r in spatial_join.duplicate_shapes(df).collect()} == {(5, 4), (2, 4)}
 
 
+def test_only_kept_shapes_drop_others(spark):
+    at = lambda e: [(3.0 + e, 0.0), (4.0, 0.0), (4.0, 1.0)]
+    rows = [(i, i, False, at(8e-6 * i)) for i in range(6)] + [(9, 9, False, at(8e-6 * 5))]
+    df = spark.createDataFrame(rows, f"id long, seq int, contained boolean, points {PTS}")
+    # Each lies within the tolerance of its neighbours only: every other one stays.
+    assert {tuple(r) for r in spatial_join.duplicate_shapes(df).collect()} == {(1, 0), (3, 2), (5, 4), (9, 4)}
+
+
+def test_a_long_diagonal_has_few_cells(spark):
+    s = spark.createDataFrame([(1, 0, 0.0, 0.0, 1000.0, 1000.0), (2, 0, 0.0, 900.0, 900.0, 0.0), (3, 0, 500.0, 0.0, 500.0, 900.0)], "street long, seq int, x1 double, z1 double, x2 double, z2 double")
+    boxed = s.selectExpr("*", "least(x1, x2) AS lx", "greatest(x1, x2) AS hx", "least(z1, z2) AS lz", "greatest(z1, z2) AS hz")
+    assert spatial_join._visited(boxed.filter("street = 1"), 10.0).count() < 400
+    assert {(r["street_a"], r["street_b"], r["x"], r["y"]) for r in spatial_join.street_intersections(s, 10.0).collect()} == {(1, 2, 450.0, 450.0), (1, 3, 500.0, 500.0), (2, 3, 500.0, 400.0)}
+
+
 def test_near_points(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.9, 0.0), (3, 2.0, 0.0), (4, -0.5, -0.5), (5, None, 0.0), (6, 0.0, 0.0)], "id long, x double, z double")
     assert {(r["id"], r["earlier"]) for r in spatial_join.near_earlier(df).collect()} == {(2, 1), (4, 1), (6, 1), (6, 2), (6, 4)}
