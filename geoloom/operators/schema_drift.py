@@ -9,23 +9,25 @@ moves say which column a path belongs to, retypes which columns' values are take
 
 from __future__ import annotations
 
-import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.session import cut
+from geoloom.session import cut, scratch, stored
 
-#: A new key may take over a gone one only if at least this share of the records that have both agree, and if that is
-#: well above what chance gives: of the agreement that two keys with these values would miss by chance, half at least.
-AGREE, BEYOND_CHANCE = 0.7, 0.5
+#: A new key may take over a gone one only if at least this share of the records that have both agree, and if keys that
+#: have nothing to do with each other, of values as frequent, agree as often less than once in so many cases.
+AGREE, CHANCE = 0.7, 100.0
 ID_KEYS = ("OBJECTID", "id")
 NUMBER = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]{1,9})?")
 
@@ -40,6 +42,10 @@ def json_type(v: object) -> str | None:
     return {str: "string", int: "number", float: "number", list: "array", dict: "object"}[type(v)]
 
 
+#: What a number can begin with.
+NUMERIC = frozenset("0123456789+-.")
+
+
 def plain(v: object) -> str | None:
     """The value without its dress: 4, 4.0, "4", ["4"] and {"value": 4} are one value."""
     while isinstance(v, (list, dict)) and len(v) == 1:
@@ -51,6 +57,8 @@ def plain(v: object) -> str | None:
     if isinstance(v, (list, dict)):
         return json.dumps(v, sort_keys=True)
     s = str(v).strip()
+    if s[:1] not in NUMERIC:
+        return s
     try:
         x = float(s)
     except (ValueError, OverflowError):
@@ -58,9 +66,15 @@ def plain(v: object) -> str | None:
     return f"{x:.12g}" if x == x and abs(x) != float("inf") else s
 
 
+@lru_cache(maxsize=1 << 16)
+def text_hash(s: str) -> int:
+    h = xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def value_hash(v: object) -> int | None:
     s = plain(v)
-    return None if s is None else int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return None if s is None else text_hash(s)
 
 
 def _fields(prefix: str, v: object, out: list) -> None:
@@ -97,6 +111,11 @@ def explode_fields(rows: DataFrame, properties: str = "properties") -> DataFrame
     return narrow.mapInArrow(run, EX_SCHEMA)
 
 
+def parsed(rows: DataFrame) -> DataFrame:
+    """explode_fields, done once and kept in the shared folder, as it is read several times."""
+    return stored(explode_fields(rows), f"{scratch(rows.sparkSession, 'fields')}/rows")
+
+
 def file_schemas(ex: DataFrame, all_types: bool = False) -> DataFrame:
     """feed_id, file_id, exported_at, fields: each file's paths with the type of most of their non-null values.
 
@@ -129,7 +148,25 @@ def rename_evidence(ex: DataFrame, pairs: DataFrame) -> DataFrame:
     both = once.groupBy("feed_id", "pair", "rec").agg(keys(False).alias("o"), keys(True).alias("n")).filter("size(o) > 0 AND size(n) > 0")
     both = both.select("feed_id", F.col("pair").alias("file_id"), F.explode("o").alias("o"), "n").select("feed_id", "file_id", "o", F.explode("n").alias("n"))
     met = both.groupBy("feed_id", "file_id", F.col("o.path").alias("old"), F.col("n.path").alias("new")).agg(F.count("*").alias("both"), F.sum((F.col("o.v") == F.col("n.v")).cast("long")).alias("same"))
-    return met.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("old", "new", "both", "same")).alias("evidence"))
+    # How often values as frequent as these agree by chance.
+    often = once.groupBy("feed_id", F.col("pair").alias("file_id"), "path", "new", "v").agg(F.count("*").alias("n"))
+    key = lambda new, name: often.filter(F.col("new") == F.lit(new)).select("feed_id", "file_id", "v", F.col("path").alias(name), F.col("n").alias(f"n_{name}"))
+    meets = key(False, "old").join(key(True, "new"), ["feed_id", "file_id", "v"]).groupBy("feed_id", "file_id", "old", "new").agg(F.sum(F.col("n_old").cast("double") * F.col("n_new")).alias("meets"))
+    total = lambda new, name: key(new, name).groupBy("feed_id", "file_id", name).agg(F.sum(f"n_{name}").cast("double").alias(f"all_{name}"))
+    met = met.join(meets, ["feed_id", "file_id", "old", "new"]).join(total(False, "old"), ["feed_id", "file_id", "old"]).join(total(True, "new"), ["feed_id", "file_id", "new"])
+    met = met.withColumn("chance", F.col("meets") / (F.col("all_old") * F.col("all_new")))
+    return met.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("old", "new", "both", "same", "chance")).alias("evidence"))
+
+
+def agreement(both: int, same: int, chance: float) -> float:
+    """Share of the records whose values agree; 0 if chance may as well have made them (Chernoff's bound). Full agreement always counts."""
+    share = same / both
+    if same == both:
+        return 1.0
+    if share <= chance:
+        return 0.0
+    apart = share * math.log(share / chance) + (1 - share) * math.log((1 - share) / (1 - chance))
+    return share if both * apart >= math.log(CHANCE) else 0.0
 
 
 def least_cost(cost: np.ndarray) -> list[int]:
@@ -240,7 +277,7 @@ def dotted(path: str) -> str:
 CHANGES = "feed_id int, file_id int, seq int, level int, change string, old_field string, new_field string, old_path string, new_path string"
 
 
-def schema_changes(rows: DataFrame) -> DataFrame:
+def schema_changes(rows: DataFrame, ex: DataFrame | None = None) -> DataFrame:
     """Every change of each file against the file of its feed exported just before, nested fields by dotted path.
 
     old_path and new_path are the same with \\x1f between the names, as names may hold dots.
@@ -250,7 +287,7 @@ def schema_changes(rows: DataFrame) -> DataFrame:
     count once as evidence. A feed's first file has no changes; an empty table none at all. Other columns are not
     read, so their names cannot clash.
     """
-    ex = explode_fields(rows)
+    ex = parsed(rows) if ex is None else ex
     pairs = cut(file_pairs(file_schemas(ex)))  # a row a file, read twice below
     known = pairs.filter("prev_id IS NOT NULL").join(rename_evidence(ex, pairs), ["feed_id", "file_id"], "left")
 
@@ -258,7 +295,7 @@ def schema_changes(rows: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                agree = {(e["old"], e["new"]): e["same"] / e["both"] for e in (r.evidence if r.evidence is not None else [])}
+                agree = {(e["old"], e["new"]): agreement(e["both"], e["same"], e["chance"]) for e in (r.evidence if r.evidence is not None else [])}
                 side = lambda fs: tree([(f["path"], f["jtype"]) for f in fs])
                 _, steps = edit_script(side(r.prev_fields), side(r.fields), agree)
                 out += [(r.feed_id, r.file_id, r.seq, max(o.count("\x1f"), n.count("\x1f")), c, dotted(o), dotted(n), o, n) for c, o, n in with_moves(steps, agree)]
@@ -329,7 +366,7 @@ def assigned(files: list[tuple[object, list[dict], list[tuple[str, str, str]]]])
     return names, undress
 
 
-def compile_projections(rows: DataFrame, changes: DataFrame) -> DataFrame:
+def compile_projections(ex: DataFrame, changes: DataFrame) -> DataFrame:
     """feed_id, file_id, names, types: for each file the map from its paths (\\x1f between names) to the feed's stable
     columns, and the type of those whose values stand in another dress somewhere, or are plain.
 
@@ -337,7 +374,7 @@ def compile_projections(rows: DataFrame, changes: DataFrame) -> DataFrame:
     column. Where a new field takes a name that another column already bears, it gets the name with the file's number.
     A column's type is the first plain type (number, string or boolean) that most values of a file have.
     """
-    schemas = file_pairs(file_schemas(explode_fields(rows), all_types=True)).select("feed_id", "file_id", "seq", "fields")
+    schemas = file_pairs(file_schemas(ex, all_types=True)).select("feed_id", "file_id", "seq", "fields")
     steps = changes.groupBy("feed_id", "file_id").agg(F.collect_list(F.struct("change", "old_path", "new_path")).alias("steps")).select(F.col("feed_id").alias("of_feed"), F.col("file_id").alias("of_file"), "steps")
     files = schemas.join(steps, F.col("feed_id").eqNullSafe(F.col("of_feed")) & F.col("file_id").eqNullSafe(F.col("of_file")), "left").drop("of_feed", "of_file")
 

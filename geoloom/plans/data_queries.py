@@ -20,13 +20,19 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.children(nested.node_table(table(spark, d, "geojson_pages"), payload=False))
+    # The node table is written in full, content and all; the children are read from it.
+    return nested.children(cut(p2_nodes(spark, d)))
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nested.node_table(table(spark, d, "geojson_pages"))
 
 
+def p2_subtrees(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes lie below each feature, by its labels alone."""
+    return p2_nodes(spark, d).filter("kind = 'feature'").select("page_id", "feature_no", (F.col("post") - F.col("pre") + 1).alias("n_below"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return units.foreign_units(p4_common(spark, d))
 
@@ -41,7 +47,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "feed_rows")
-    names = schema_drift.compile_projections(rows, schema_drift.schema_changes(rows))
+    fields = schema_drift.parsed(rows)
+    names = schema_drift.compile_projections(fields, schema_drift.schema_changes(rows, fields))
     return schema_drift.unify(rows, names).withColumn("fields", F.to_json("fields"))
 
 
@@ -59,7 +66,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_nodes, p4_found, p4_common, p5_found, p5_unified, p6_found, p7_found, p7_filled)
+    f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_nodes, p2_subtrees, p4_found, p4_common, p5_found, p5_unified, p6_found, p7_found, p7_filled)
 }
 
 
@@ -155,4 +162,7 @@ SELECT page_id, no::INTEGER AS feature_no, 'ring' AS child, part::INTEGER AS par
 UNION ALL SELECT page_id, no::INTEGER, child, 0, i::INTEGER FROM i WHERE json_type(v) <> 'NULL'
 UNION ALL SELECT page_id, no::INTEGER, 'unit', i::INTEGER, k::INTEGER FROM u WHERE json_type(json_extract(u, '$[' || k || ']')) <> 'NULL'"""
 
-ORACLES: dict[str, str] = {"p2_found": _P2, "p5_found": _P5, "p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7}
+_KIDS = _P2.index("SELECT page_id, no::INTEGER AS feature_no")
+_P2_SUBTREES = f"{_P2[:_KIDS].rstrip()}, kids AS ({_P2[_KIDS:]}) SELECT page_id, no::INTEGER AS feature_no, count(child) AS n_below FROM g LEFT JOIN kids ON kids.page_id = g.page_id AND feature_no = no GROUP BY ALL".replace("SELECT page_id, no::INTEGER AS feature_no, count", "SELECT g.page_id, no::INTEGER AS feature_no, count")
+
+ORACLES: dict[str, str] = {"p2_found": _P2, "p2_subtrees": _P2_SUBTREES, "p5_found": _P5, "p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7}

@@ -59,12 +59,12 @@ def test_moves_between_levels():
 def test_one_table_of_stable_columns(spark):
     f = [(1, 1, 1, [{"id": "a", "height": 3}, {"id": "b", "height": 4}]), (1, 2, 2, [{"id": "a", "hgt": 3}, {"id": "b", "hgt": 4}]), (1, 3, 3, [{"id": "a", "tall": "3"}, {"id": "b", "tall": "4"}])]
     df = frame(spark, f)
-    got = S.unify(df, S.compile_projections(df, S.schema_changes(df)), ["id", "height"]).orderBy("row_id").collect()
+    got = S.unify(df, S.compile_projections(S.explode_fields(df), S.schema_changes(df)), ["id", "height"]).orderBy("row_id").collect()
     assert [(r["id"], r["height"]) for r in got] == [("a", "3"), ("b", "4")] * 3
 
 
 def unified(df, feed_columns=None):
-    names = S.compile_projections(df, S.schema_changes(df))
+    names = S.compile_projections(S.explode_fields(df), S.schema_changes(df))
     return [r["fields"] for r in S.unify(df, names).orderBy("row_id").collect()]
 
 
@@ -92,3 +92,19 @@ def test_a_move_between_levels_is_a_change_of_the_top_level(spark):
     f = lambda make: [{"id": f"r{i}", **make(i)} for i in range(6)]
     df = frame(spark, [(1, 1, 1, f(lambda i: {"a": i * 3, "o": {"x": f"x{i}"}})), (1, 2, 2, f(lambda i: {"o": {"a": i * 3, "x": f"x{i}"}})), (1, 3, 3, f(lambda i: {"a": i * 3, "o": {"x": f"x{i}"}}))])
     assert changes(df) == [(2, "removed", "a", ""), (3, "added", "", "a")]
+
+
+def test_flags_that_agree_by_chance_are_no_rename():
+    # 92 % of either are "yes": 34 of 40 agree where they have nothing to do with each other.
+    chance = 0.92**2 + 0.08**2
+    assert S.agreement(40, 34, chance) == 0.0 and S.agreement(40, 40, chance) == 1.0 and S.agreement(40, 40, 1.0) == 1.0
+    assert S.agreement(40, 36, 0.05) == 0.9 and S.agreement(25, 20, 0.2) == 0.8
+
+
+def test_independent_flags(spark):
+    import random
+
+    rng, flag = random.Random(3), lambda: "yes" if rng.random() < 0.9 else "no"
+    rows = [(i, 1, f, t, json.dumps({"id": i, key: flag(), old: i * 7})) for f, t, key, old in ((1, "2024-01-01", "heated", "area"), (2, "2024-02-01", "insured", "size")) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, feed_id int, file_id int, exported_at string, properties string")
+    assert {tuple(r)[1:] for r in S.top_level(S.schema_changes(df)).collect()} == {("removed", "heated", ""), ("added", "", "insured"), ("renamed", "area", "size")}
