@@ -216,8 +216,9 @@ def solids(p: Footprints, height: np.ndarray, shape: np.ndarray, rise: np.ndarra
     ridge = np.radians(np.where(given, bearing, lies))
     fall = np.radians(np.where(given, bearing - 90, lies + 90))
     dx, dz = p.x - cx[p.of], p.z - cz[p.of]
-    on = lambda angle: dx * np.cos(angle)[p.of] + dz * np.sin(angle)[p.of]
-    along, down = on(ridge), on(fall)
+    turned = lambda angle: (np.round(np.cos(angle), 15)[p.of], np.round(np.sin(angle), 15)[p.of])
+    (rx, rz), (fx, fz) = turned(ridge), turned(fall)
+    along, down = dx * rx + dz * rz, dx * fx + dz * fz
     reach, depth = (np.maximum(p.most(np.abs(v), EPS), EPS) for v in (along, down))
 
     at = lambda h: np.stack([p.x, h, p.z], 1)
@@ -237,7 +238,7 @@ def solids(p: Footprints, height: np.ndarray, shape: np.ndarray, rise: np.ndarra
     half = np.select([shape == "gabled", shape == "hipped"], [reach, np.maximum(reach - depth, 0.0)], 0.0)
     half = np.where(half <= EPS, 0.0, half)
     lean = np.clip(along, -half[p.of], half[p.of])
-    top = np.stack([cx[p.of] + lean * np.cos(ridge)[p.of], base + rise[p.of], cz[p.of] + lean * np.sin(ridge)[p.of]], 1)
+    top = np.stack([cx[p.of] + lean * rx, base + rise[p.of], cz[p.of] + lean * rz], 1)
     parts.append(strip(p, ridged[p.of], at(base), top))
     of, faces = facing_up(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
     return wall, built, area, of, faces
