@@ -68,14 +68,17 @@ def pack(docs: DataFrame, specs: DataFrame, id_column: str = "doc_id", text: str
     names = {f: f"__v{i}" for i, f in enumerate(fields)}
     narrow = docs.select(F.col(id_column).alias("doc_id"), *(F.col(f).cast("string").alias(v) for f, v in names.items()), F.col(text).alias("__text"))
     sized = cut(token_counts(narrow, "doc_id", "__text", tuple(names.values()), file))
+    total = sized.count()
     parts = []
     # One pass a spec (a handful); the sizes were counted once.
     for r in wanted:
-        value = F.col(names[r["per_field"]]) if r["per_field"] else F.lit(None).cast("string")
         cap = int(r["capacity_tokens"])
-        own = sized.select("doc_id", "size", value.alias("value"))
-        counts = own.groupBy("value").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(group))).cast("int").alias("groups"))
-        own = own.join(counts.withColumnRenamed("value", "v"), F.col("value").eqNullSafe(F.col("v"))).drop("v")
+        if r["per_field"]:
+            own = sized.select("doc_id", "size", F.col(names[r["per_field"]]).alias("value"))
+            counts = own.groupBy("value").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(group))).cast("int").alias("groups"))
+            own = own.join(counts.withColumnRenamed("value", "v"), F.col("value").eqNullSafe(F.col("v"))).drop("v")
+        else:
+            own = sized.select("doc_id", "size", F.lit(None).cast("string").alias("value"), F.lit(max(1, -(-total // group))).alias("groups"))
         own = own.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(r["spec_id"])), F.col("groups")).cast("int"))
         last = F.greatest(F.lit(0), F.ceil(F.col("size") / F.lit(cap)).cast("int") - 1)
         pieces = own.select("doc_id", "value", "part", "size", F.posexplode(F.sequence(F.lit(0), last)).alias("piece", "_"))

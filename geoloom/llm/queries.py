@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import encoding, history_dedup, packing, subjects
-from geoloom.session import table
+from geoloom.session import cut, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,12 +28,31 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs"))
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    c = p9_packed(spark, d).groupBy("spec_id", "container").agg(F.sum("size").alias("size"))
+    used = c.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("size").alias("tokens"))
+    room = F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))
+    return used.join(table(spark, d, "pack_specs"), "spec_id").select("spec_id", "containers", "tokens", F.round(room, 4).alias("fill"))
+
+
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each capacity: documents packed, containers over it, texts split without need, texts whose pieces don't sum to their tokens."""
+    specs = table(spark, d, "pack_specs").select("spec_id", "capacity_tokens")
+    packed = cut(p9_packed(spark, d))
+    over = packed.groupBy("spec_id", "container").agg(F.sum("size").alias("size")).join(specs, "spec_id").groupBy("spec_id").agg(F.count_if(F.col("size") > F.col("capacity_tokens")).alias("overfull"))
+    size = p8_ids(spark, d).select("doc_id", F.size("ids").alias("tokens"))
+    texts = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("size")).join(size, "doc_id").join(specs, "spec_id")
+    per_spec = texts.groupBy("spec_id").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("split"), F.count_if(F.col("size") != F.col("tokens")).alias("unsound"))
+    return per_spec.join(over, "spec_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "items").select(F.col("item_name").alias("name"))
     return subjects.assign_subjects(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "doc_labels"), names)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p8_ids, p8_decoded, p9_packed, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p8_ids, p8_decoded, p9_packed, p9_fill, p9_checked, p10_found)}
 
 _R = "6378137.0"
 #: Shapes of equal extent, all corners of either against all edges of the other. What repeats a row has the earliest one
@@ -54,4 +73,4 @@ same AS (SELECT a, b FROM near GROUP BY a, b HAVING max(d2/(tol*tol)) <= 1.0)
 SELECT m.first AS row_a, m.b AS row_b FROM (SELECT b, arg_min(a, (t.batch, a)) AS first FROM same JOIN t ON t.row_id = a GROUP BY b) m"""
 
 #: Decoding gives the texts back; the other operators have no SQL form and are tested against brute force.
-ORACLES: dict[str, str] = {"p3_found": _P3, "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+ORACLES: dict[str, str] = {"p3_found": _P3, "p9_checked": "SELECT spec_id, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS unsound FROM pack_specs", "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}

@@ -3,8 +3,9 @@
 Texts are cut into segments (sentences; windows of long runs without a stop). Segments are vectors of hashed words
 and word pairs, weighted by rarity over the whole corpus and by how far a term's labelled documents depart from the
 usual mix of subjects, so that what occurs with every subject weighs next to nothing. A truncated singular value
-decomposition over all segments gives the embedding. Centroids start from seeds drawn from it and are refined by
-reassigning all segments; each centroid's subject is what the labelled documents around it agree on. A document has
+decomposition over all segments gives the embedding. Centroids start from a seed for each subject and from segments
+far from these, and are refined by reassigning all segments; each centroid's subject is what the labelled documents
+around it agree on. A document has
 the subjects of the centroids that its segments are nearest to by cosine.
 
 Segments equal but for digits and accents are embedded once. Models are fitted on all rows, but for the hand labels
@@ -16,17 +17,17 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.session import shared_dir
+from geoloom.session import scratch
 
 #: Hashed terms, dimensions kept, centroids and rounds of refinement.
 TERMS, DIMS, CENTROIDS, ROUNDS, POWER = 1 << 15, 256, 600, 5, 2
@@ -88,11 +89,10 @@ def terms(segment: str, without: frozenset[str] = frozenset()) -> np.ndarray:
     return np.array(sorted({zlib.crc32(x.encode()) % TERMS for x in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]}), np.int64)
 
 
-def ragged_terms(texts: list[str], without: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, term) of a batch, ordered by segment."""
-    got = [terms(t, without) for t in texts]
-    size = [len(g) for g in got]
-    return np.repeat(np.arange(len(got)), size), np.concatenate(got) if got else np.empty(0, np.int64)
+def ragged(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, term) of a batch's lists of terms, ordered by segment."""
+    size = pc.list_value_length(lists).to_numpy()
+    return np.repeat(np.arange(len(lists)), size), lists.flatten().to_numpy()
 
 
 def _written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -100,21 +100,31 @@ def _written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
-#: Rows of a large sum that travel together.
-SLAB = 1024
+#: Rows of a large sum that travel together; most partial sums of a pass, and most that one task adds up.
+SLAB, PARTIALS, FAN = 1024, 512, 32
 
 
-def _slabs(df: DataFrame, rows: int, width: int) -> np.ndarray:
-    """Sum over all partitions of partial rows x width arrays, which come in slabs (slab, vec)."""
+def _slabs(source: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int, width: int) -> np.ndarray:
+    """Sum over all of source of rows x width arrays, which partial makes of each partition in slabs (slab, vec).
+
+    Partial sums are bounded in number, and added up FAN by FAN, so that no task takes more than FAN slabs whatever
+    the number of partitions.
+    """
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(min(SLAB, rows) * width, np.float64)
         for v in f["vec"]:
             total += np.frombuffer(v, np.float32)
-        return pd.DataFrame({"slab": f["slab"].iloc[:1], "vec": [total.astype(np.float32).tobytes()]})
-
+        return pd.DataFrame({"slab": f["slab"].iloc[:1], "at": f["at"].iloc[:1] // FAN, "vec": [total.astype(np.float32).tobytes()]})
+
+    parts = source.rdd.getNumPartitions()
+    if parts > PARTIALS:
+        source, parts = source.coalesce(PARTIALS), PARTIALS
+    df = source.mapInArrow(partial, "slab int, vec binary").withColumn("at", F.spark_partition_id())
+    while parts > 1:
+        df, parts = df.groupBy("slab", F.floor(F.col("at") / FAN).alias("g")).applyInPandas(add, "slab int, at int, vec binary"), -(-parts // FAN)
     out = np.zeros((-(-rows // SLAB), min(SLAB, rows) * width), np.float32)
-    for slab, vec in df.groupBy("slab").applyInPandas(add, "slab int, vec binary").toLocalIterator():
+    for slab, vec in df.select("slab", "vec").toLocalIterator():
         out[slab] = np.frombuffer(vec, np.float32)
     return out.reshape(-1, width)[:rows]
 
@@ -165,7 +175,7 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
     Long texts are read whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/subjects-{uuid.uuid4().hex}"
+    folder = scratch(spark, "subjects")
     listed = sorted((r["subject"].strip().lower(), r["subject"], r["covers"] or "") for r in subjects.filter("subject IS NOT NULL").collect())
     names = [x[0] for x in listed]
     n_mix = len(names) + 1
@@ -188,21 +198,23 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
 
     narrow = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.col("title").cast("string"), F.col("text").cast("string"))
     occurs = _written(narrow.mapInArrow(cut_texts, "doc_id bigint, h bigint, segment string"), folder, "occurs")
-    distinct = _written(occurs.groupBy("h").agg(F.first("segment").alias("segment"), F.count("*").alias("n")), folder, "distinct")
-    mix = _written(label_mix(labels, names), folder, "mix")
 
-    # Terms of labelled documents, by subject; each document counts once for a term.
-    def label_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS, n_mix + 1))
+    def read_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for m, ss in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = np.unique(np.concatenate([terms(s, skip) for s in ss])).astype(int)
-                total[t, :-1] += m
-                total[t, -1] += 1
-        yield from _partial(total)
+            got = [terms(x, skip) for x in b.column(2).to_pylist()]
+            edge = np.append(0, np.cumsum([len(g) for g in got])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(got) if got else np.empty(0), pa.int32()))], names=["h", "n", "t"])
 
-    held = occurs.join(mix, "doc_id").groupBy("doc_id", "mix").agg(F.collect_set("segment").alias("ss"))
-    table = _slabs(held.select("mix", "ss").mapInArrow(label_terms, "slab int, vec binary"), TERMS, n_mix + 1).astype(float)
+    # Each distinct segment is read once; what follows works on its terms.
+    distinct = occurs.groupBy("h").agg(F.count("*").alias("n"), F.first("segment").alias("segment"))
+    distinct = _written(distinct.mapInArrow(read_terms, "h bigint, n bigint, t array<int>"), folder, "distinct")
+    mix = _written(label_mix(labels, names), folder, "mix")
+
+    # Terms of labelled documents, by subject; each document counts once for a term. A row a hashed term at most.
+    held = occurs.select("doc_id", "h").join(mix, "doc_id").join(distinct, "h").select("doc_id", "mix", F.explode("t").alias("term")).dropDuplicates(["doc_id", "term"])
+    table = np.zeros((TERMS, n_mix + 1))
+    for r in held.groupBy("term").agg(F.array(*(F.sum(F.col("mix")[i]) for i in range(n_mix)), F.count("*").cast("double")).alias("sums")).collect():
+        table[r["term"]] = r["sums"]
     shares = mix.agg(F.count("*"), *(F.sum(F.col("mix")[i]) for i in range(n_mix))).first()
     base = np.array([float(x or 0) for x in shares[1:]])
     # What names and covers a subject counts as a few labelled documents.
@@ -216,40 +228,34 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
     p = (table[:, :-1] + 4 * base) / (seen[:, None] + 4)
     telling = (p * np.log(p / base)).sum(1) * seen / (seen + 3)
 
-    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TERMS, 1))
-        for b in batches:
-            who, t = ragged_terms(b.column(0).to_pylist(), skip)
-            np.add.at(total[:, 0], t, b.column(1).to_numpy()[who])
-        yield from _partial(total)
-
-    df = _slabs(distinct.select("segment", "n").mapInArrow(count_terms, "slab int, vec binary"), TERMS, 1)[:, 0]
+    df = np.zeros(TERMS)
+    for r in distinct.select(F.explode("t").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[r["term"]] = r["n"]
     weight = (np.log((float(occurs.count()) + 1) / (df + 1)) * telling).clip(0).astype(np.float32)
     sent = spark.sparkContext.broadcast(weight)  # one number a hashed term
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BINS, 1))
         for b in batches:
-            texts = b.column(0).to_pylist()
-            who, t = ragged_terms(texts, skip)
-            norm = np.sqrt(np.bincount(who, sent.value[t] ** 2, len(texts)))
+            who, t = ragged(b.column(0))
+            norm = np.sqrt(np.bincount(who, sent.value[t] ** 2, b.num_rows))
             np.add.at(total[:, 0], salience_bin(norm), b.column(1).to_numpy())
         yield from _partial(total)
 
-    least = np.expm1((otsu(_slabs(distinct.select("segment", "n").mapInArrow(norms, "slab int, vec binary"), BINS, 1)[:, 0]) + 1) * TOP / BINS)
+    least = np.expm1((otsu(_slabs(distinct.select("t", "n"), norms, BINS, 1)[:, 0]) + 1) * TOP / BINS)
 
-    def weighted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def weighted(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(segment, term, value) of unit vectors, and which segments are salient."""
-        who, t = ragged_terms(texts, skip)
+        who, t = ragged(lists)
         v = sent.value[t]
-        norm = np.sqrt(np.bincount(who, v**2, len(texts)))
+        norm = np.sqrt(np.bincount(who, v**2, len(lists)))
         good = norm > least
         keep = good[who]
         return who[keep], t[keep], v[keep] / norm[who[keep]], good
 
-    def projected(texts: list[str], q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        who, t, v, good = weighted(texts)
-        out = np.zeros((len(texts), q.shape[1]), np.float32)
+    def projected(lists: pa.Array, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        who, t, v, good = weighted(lists)
+        out = np.zeros((len(lists), q.shape[1]), np.float32)
         if len(who):
             at = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
             out[who[at]] = np.add.reduceat(q[t] * v[:, None], at)
@@ -266,14 +272,14 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
             for b in batches:
                 for lo in range(0, b.num_rows, 2000):
                     part = b.slice(lo, 2000)
-                    y, who, t, v, _ = projected(part.column(0).to_pylist(), basis.value)
+                    y, who, t, v, _ = projected(part.column(0), basis.value)
                     if len(who):
                         order = np.argsort(t, kind="stable")
                         at = np.flatnonzero(np.concatenate(([True], np.diff(t[order]) != 0)))
                         total[t[order][at]] += np.add.reduceat(y[who[order]] * (v * part.column(1).to_numpy()[who])[order, None], at).astype(np.float32)
             yield from _partial(total)
 
-        z = _slabs(distinct.select("segment", "n").mapInArrow(step, "slab int, vec binary"), TERMS, width)
+        z = _slabs(distinct.select("t", "n"), step, TERMS, width)
         basis.destroy()  # all its readers are done
         z += np.float32(1e-12)
         q = np.linalg.qr(z)[0]
@@ -285,19 +291,24 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
         for b in batches:
             for lo in range(0, b.num_rows, 4000):
                 part = b.slice(lo, 4000)
-                y, _, _, _, good = projected(part.column(1).to_pylist(), basis.value)
+                y, _, _, _, good = projected(part.column(1), basis.value)
                 size = np.linalg.norm(y, axis=1)
                 good &= size > 1e-6
                 y = y[good] / size[good, None]
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(2).filter(pa.array(good)), pa.array([r.tobytes() for r in y], pa.binary()), pa.array(size[good], pa.float32())], names=["h", "n", "vec", "held"])
 
-    placed = _written(distinct.select("h", "segment", "n").mapInArrow(embed, "h bigint, n bigint, vec binary, held float"), folder, "placed")
+    placed = _written(distinct.select("h", "t", "n").mapInArrow(embed, "h bigint, n bigint, vec binary, held float"), folder, "placed")
     total = placed.count()
     if not total:
         return spark.createDataFrame([], "doc_id bigint, subject string")
     share = min(1.0, SEED_SAMPLE / total)
     drawn = placed.filter(F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("h").limit(2 * SEED_SAMPLE).select("n", "vec").collect()
-    centres = seeds(np.array([np.frombuffer(r["vec"], np.float32) for r in drawn]), np.array([r["n"] for r in drawn], float), CENTROIDS)
+    # One seed a subject, from the words that name and describe it; the others are drawn far from these and one another.
+    about = [terms(plain(f"{name} {covers}"), skip) for _, name, covers in listed]
+    own = np.array([weight[t] @ basis.value[t] for t in about], np.float32).reshape(-1, DIMS)
+    size = np.linalg.norm(own, axis=1)
+    own = own[size > 1e-6] / size[size > 1e-6, None]
+    centres = seeds(own, np.array([np.frombuffer(r["vec"], np.float32) for r in drawn]).reshape(-1, DIMS), np.array([r["n"] for r in drawn], float), CENTROIDS)
 
     for _ in range(ROUNDS):
         sentc = spark.sparkContext.broadcast(centres)
@@ -310,7 +321,7 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
                     np.add.at(acc, (x @ sentc.value.T).argmax(1), x * b.column(0).to_numpy()[:, None].astype(np.float32))
             yield from _partial(acc)
 
-        moved = _slabs(placed.select("n", "vec").mapInArrow(reassign, "slab int, vec binary"), len(centres), DIMS)
+        moved = _slabs(placed.select("n", "vec"), reassign, len(centres), DIMS)
         sentc.destroy()
         size = np.linalg.norm(moved, axis=1)
         centres = np.where(size[:, None] > 1e-6, moved / np.maximum(size, 1e-6)[:, None], centres).astype(np.float32)
@@ -343,15 +354,15 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
     return near.join(meaning, "c").select("doc_id", "subject").distinct()
 
 
-def seeds(x: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
-    """k rows far from one another, drawn with a fixed seed (fewer if there are fewer rows)."""
+def seeds(given: np.ndarray, x: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """The given seeds, and rows of x far from them and one another, drawn with a fixed seed: k in all (fewer if there are fewer rows)."""
     rng = np.random.default_rng(11)
-    chosen = [int(np.argmax(n))]
-    near = x @ x[chosen[0]]
-    while len(chosen) < min(k, len(x)):
-        p = np.maximum(0, 1 - near) ** 2 * np.sqrt(n)
+    chosen: list[int] = []
+    near = (x @ given.T).max(1) if len(given) else np.full(len(x), -1.0)
+    while len(given) + len(chosen) < k and len(chosen) < len(x):
+        p = np.clip(1 - near, 0, 1) ** 2 * np.sqrt(n)
         if p.sum() <= 1e-9:
             break
-        chosen.append(int(rng.choice(len(x), p=p / p.sum())))
+        chosen.append(int(np.argmax(n)) if not chosen else int(rng.choice(len(x), p=p / p.sum())))
         near = np.maximum(near, x @ x[chosen[-1]])
-    return x[chosen].astype(np.float32)
+    return np.concatenate([given, x[chosen]]).astype(np.float32)

@@ -66,3 +66,16 @@ def test_otsu_parts_two_groups():
     h = np.zeros(100)
     h[10:15], h[60:70] = 50, 10
     assert 14 <= S.otsu(h) < 60 and S.otsu(np.zeros(5)) == 0
+
+
+def test_partial_sums_are_added_in_bounded_groups(spark):
+    import numpy as np
+
+    def ones(batches):
+        total = np.zeros((3, 2))
+        for b in batches:
+            total += b.num_rows
+        yield from S._partial(total)
+
+    got = S._slabs(spark.range(1000).repartition(70), ones, 3, 2)
+    assert got.shape == (3, 2) and (got == 1000).all()
