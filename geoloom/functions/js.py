@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -43,6 +43,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row: projections and filters above can't take it apart or repeat it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def number(v: Column) -> Column:
     """Number(v): null and blank text are 0, booleans 0 and 1, text in decimal, 0x, 0o or 0b notation its value.
 

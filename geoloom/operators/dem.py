@@ -16,6 +16,11 @@ def stats(pixels: DataFrame, keys: list[str], value: str = "h") -> DataFrame:
     return pixels.groupBy(*keys).agg(F.min(value).alias("min_h"), F.max(value).alias("max_h"))
 
 
+def lowest(stats: DataFrame) -> DataFrame:
+    """One row: the lowest height of all tiles so far, over a table as over a stream (complete mode: it is never reset)."""
+    return stats.agg(F.min("min_h").alias("lowest"))
+
+
 def sample_index(k: Column, precision: int, size: Column) -> Column:
     """Pixel number that vertex k of precision + 1 takes, of size pixels."""
     return F.floor(k / F.lit(float(precision)) * (size - 1)).cast("int")
@@ -56,8 +61,3 @@ def fix_seams(vertices: DataFrame, precision: int) -> DataFrame:
     edge = f"row = 0 OR col = {p}"
     fixed = vertices.filter(edge).join(best, ["z", "x", "y", "row", "col"], "left").select("z", "x", "y", "row", "col", F.coalesce("lent", "h").alias("h"))
     return fixed.unionByName(vertices.filter(f"NOT ({edge})").select("z", "x", "y", "row", "col", "h"))
-
-
-def zoom_allowed(zoom: Column, boosted: bool = False) -> Column:
-    """Elevation tiles end at zoom 15, at 14 in double resolution."""
-    return zoom <= (14 if boosted else 15)

@@ -145,7 +145,18 @@ def read_skeleton(skeleton: str) -> Form:
     return Form(label, dims, tuple(coef), const) if coef else NOTHING
 
 
+#: Digits in groups of three, and the unit after them: of units smaller than a metre there are thousands.
+GROUPED = re.compile(r"[1-9]\d{0,2}(?:,\d{3})+(?![\d.,])(?=\s*([^\W\d_]+|[\"″”'′’]))")
+
+
+def ungrouped(m: re.Match) -> str:
+    u = LEXICON.get(m[1].lower())
+    return m[0].replace(",", "") if u is not None and u.dims == LENGTH and u.scale < 1 else m[0]
+
+
 def skeleton(text: str) -> tuple[str, list[float]]:
+    """The text with # for each number, and the numbers. A comma is a decimal point, but for 12,500 mm."""
+    text = GROUPED.sub(ungrouped, text)
     numbers = [float(x.replace(",", ".")) for x in NUMBER.findall(text)]
     return NUMBER.sub("#", text), numbers
 
@@ -236,6 +247,7 @@ def bare_units(measured: DataFrame, providers: DataFrame) -> DataFrame:
     middle = lambda which: F.percentile_approx(F.when(which & (value > 0), value), 0.5, 2000)
     # One pass: the total's row has the typical stated height, the providers' rows their typical bare number.
     r = measured.rollup("provider").agg(F.grouping("provider").alias("total"), middle(unit != "").alias("stated"), middle((unit == "") & ~F.col("height_stand_in")).alias("mid"))
+    # A row a provider: the window spares a second pass over all rows.
     r = r.withColumn("typical", F.max(F.when(F.col("total") == 1, F.col("stated"))).over(Window.partitionBy(F.lit(1))))
     both = r.filter("total = 0 AND mid IS NOT NULL").join(providers.select("provider", "height_unit").dropDuplicates(["provider"]), "provider", "left")
     off = lambda s: F.abs(F.ln(F.col("typical") / (F.col("mid") * F.lit(s))))

@@ -12,6 +12,7 @@ from geoloom.functions import geometry as G
 from geoloom.functions import js
 from geoloom.operators import mesh, spatial_join
 from geoloom.operators.grid import TileSet, best_tile, corners_inside
+from geoloom.session import cut
 from geoloom.sources.files import features_of
 
 LINE_WIDTH, POINT_DIAMETER = 2.0, 0.5
@@ -68,11 +69,14 @@ def place(bodies: DataFrame, keep: list[str], spec: TileSet, explicit_epsg: Colu
     """
     positive("width of lines", line_width)
     f = features_of(bodies, keep)
-    f = f.withColumn("height", X.resolve_height(F.col("properties"), default_height)).withColumn("route", X.geometry_route(F.col("geometry_type")))
-    f = f.withColumn("roof", X.roof_spec(F.col("properties"), F.col("height"))).withColumn("name", X.feature_name(F.col("properties"), F.col("id"))).withColumn("epsg", X.resolve_projection(explicit_epsg, F.col("crs")))
-    f = f.withColumn("drawn", F.when(F.col("epsg").isNotNull(), plane_parts(source_parts(F.col("coordinates"), F.col("geometry_type")), F.col("epsg"), spec)))
-    f = f.withColumn("parts", outlined(F.col("drawn"), F.col("route"), line_width)).withColumn("lines", F.when(F.col("route") == "lines", F.transform("drawn", lambda p: F.get(p, F.lit(0)))))
-    f = f.withColumn("box", G.bounds(F.flatten(F.flatten("parts"))))
+    # What later columns and filters use again and again is worked out once.
+    f = js.once(f, "height", X.resolve_height(F.col("properties"), default_height)).withColumn("route", X.geometry_route(F.col("geometry_type")))
+    f = js.once(f, "roof", X.roof_spec(F.col("properties"), F.col("height"))).withColumn("name", X.feature_name(F.col("properties"), F.col("id")))
+    f = js.once(f, "epsg", X.resolve_projection(explicit_epsg, F.col("crs")))
+    f = js.once(f, "drawn", F.when(F.col("epsg").isNotNull(), plane_parts(source_parts(F.col("coordinates"), F.col("geometry_type")), F.col("epsg"), spec)))
+    f = js.once(f, "parts", outlined(F.col("drawn"), F.col("route"), line_width)).withColumn("lines", F.when(F.col("route") == "lines", F.transform("drawn", lambda p: F.get(p, F.lit(0)))))
+    f = js.once(f, "corners", F.flatten(F.flatten("parts")))
+    f = js.once(f, "box", G.bounds(F.col("corners")))
     x, z = (F.col("box.min_x") + F.col("box.max_x")) / 2, (F.col("box.min_z") + F.col("box.max_z")) / 2
     cx, cy = spec.corner
     if requested is None:
@@ -91,6 +95,7 @@ def place(bodies: DataFrame, keep: list[str], spec: TileSet, explicit_epsg: Colu
 
 def without_duplicates(placed: DataFrame, key: list[str], seq: str) -> DataFrame:
     """placed (tile by tile) without buildings that an earlier tile's answer brought already; those wholly on their tile always stay."""
+    placed = cut(placed)
     shapes = placed.filter("reason IS NULL").select(F.struct(*key).alias("id"), F.col(seq).alias("seq"), "contained", F.flatten(F.flatten("parts")).alias("points"))
     gone = spatial_join.duplicate_shapes(shapes).select(*(F.col(f"id.{k}").alias(k) for k in key))
     return placed.join(gone, key, "left_anti")

@@ -318,7 +318,8 @@ _text_sql = lambda p: f"CASE WHEN json_type(properties, '{p}') = 'VARCHAR' THEN
 )
 def roof_spec(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "feed_rows").select("row_id", F.try_parse_json("properties").alias("v"))
-    return f.withColumn("r", X.roof_spec(F.col("v"), X.resolve_height(F.col("v")))).filter("r IS NOT NULL").select("row_id", "r.shape", "r.height", "r.direction")
+    # Generated from an array of at most one, so that the roof is worked out once and not again by a filter.
+    return f.select("row_id", F.inline(F.array_compact(F.array(X.roof_spec(F.col("v"), X.resolve_height(F.col("v")))))))
 
 
 _str = lambda p: f"json_extract_string(properties, '{p}')"
@@ -645,5 +646,77 @@ def placed_buildings(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", "feature_no", "name", "height", "epsg", F.round("box.min_x", 3).alias("min_x"), F.round("box.max_z", 3).alias("max_z"), "tile", "reason")
 
 
+def _by_tile_sql() -> str:
+    """Features keep the tile they were asked for; of those not wholly on theirs, copies and near copies of one that has no earlier one go."""
+    return f"""WITH {_features_sql()}, {_box_sql()},
+    q AS (SELECT page_id, i, (tile_x >> (tile_z - 6)) - 23 AS c, 38 - (tile_y >> (tile_z - 6)) AS r, x0, x1, z0, z1 FROM g JOIN box USING (page_id, i) WHERE coalesce(pt, 'NULL') <> 'NULL' AND epsg IS NOT NULL AND gt <> 'MultiLineString'),
+    s AS (SELECT page_id, i, CAST(r*24 + c AS BIGINT) AS tile, x0 >= c*20.0 - 240 AND x1 <= c*20.0 - 220 AND z0 >= r*20.0 - 160 AND z1 <= r*20.0 - 140 AS contained FROM q WHERE c BETWEEN 0 AND 23 AND r BETWEEN 0 AND 15),
+    pt AS (SELECT page_id, i, k, x, z, count(*) OVER (PARTITION BY page_id, i) AS n, first_value(x) OVER (PARTITION BY page_id, i ORDER BY k) AS fx FROM p2 JOIN s USING (page_id, i) WHERE NOT contained),
+    near AS (SELECT b.page_id, b.i, a.page_id AS page_a, a.i AS i_a FROM pt a JOIN pt b ON a.n = b.n AND a.k = b.k AND (a.page_id, a.i) < (b.page_id, b.i) AND b.fx BETWEEN a.fx - 1e-5 AND a.fx + 1e-5 GROUP BY b.page_id, b.i, a.page_id, a.i, a.n HAVING count(*) = a.n AND sum(sqrt((a.x - b.x)*(a.x - b.x) + (a.z - b.z)*(a.z - b.z))) < 1e-5)
+    SELECT page_id, CAST(i AS INTEGER) AS feature_no, tile, contained FROM s WHERE (page_id, i) NOT IN (SELECT (page_id, i) FROM near WHERE (page_a, i_a) NOT IN (SELECT (page_id, i) FROM near))"""
+
+
+@query(_by_tile_sql())
+def placed_by_tile(spark: SparkSession, d: str) -> DataFrame:
+    """Tile by tile: areas and points on the tile they were asked for (its ancestor in WORLD), without what another answer brought."""
+    up = F.col("tile_z") - 6
+    b = _bodies(spark, d).withColumn("asked", F.struct(F.lit(6).alias("z"), F.expr("shiftright(tile_x, tile_z - 6)").alias("x"), F.expr("shiftright(tile_y, tile_z - 6)").alias("y"))).filter(up >= 0)
+    p = buildings.place(b, ["page_id", "explicit", "asked"], WORLD, F.col("explicit"), requested=F.col("asked")).filter("reason IS NULL AND route <> 'lines'")
+    return buildings.without_duplicates(p, ["page_id", "feature_no"], "page_id").select("page_id", "feature_no", "tile", "contained")
+
+
+#: Streets of two segments, their ends pushed out by a quarter.
+_A, _B, _C = (SX1, SZ1), (SX2, SZ2), (f"({SX2} + 7.5)", f"({SZ1} + 3.0)")
+_len = lambda p, q: f"sqrt(({q[0]} - {p[0]})*({q[0]} - {p[0]}) + ({q[1]} - {p[1]})*({q[1]} - {p[1]}))"
+_step = lambda p, q, i: f"coalesce(0.25*({q[i]} - {p[i]})/nullif({_len(p, q)}, 0), 0)"
+_TWO = f"""SELECT l_orderkey*8 + l_linenumber AS street, 0 AS seq, {_A[0]} - {_step(_A, _B, 0)} AS x1, {_A[1]} - {_step(_A, _B, 1)} AS z1, {_B[0]} AS x2, {_B[1]} AS z2 FROM lineitem
+    UNION ALL SELECT l_orderkey*8 + l_linenumber, 1, {_B[0]}, {_B[1]}, {_C[0]} + {_step(_B, _C, 0)}, {_C[1]} + {_step(_B, _C, 1)} FROM lineitem"""
+
+
+@query(
+    f"""WITH s AS (SELECT *, CAST(floor(least(x1, x2)/64) AS BIGINT) AS a, CAST(floor(greatest(x1, x2)/64) AS BIGINT) AS b, CAST(floor(least(z1, z2)/64) AS BIGINT) AS c, CAST(floor(greatest(z1, z2)/64) AS BIGINT) AS d FROM ({_TWO})),
+    e AS (SELECT *, unnest(range(c, d + 1)) AS cz FROM (SELECT *, unnest(range(a, b + 1)) AS cx FROM s)),
+    j AS (SELECT DISTINCT p.street AS sa, q.street AS sb, p.seq AS qa, q.seq AS qb, p.x1 AS ax, p.z1 AS az, p.x2 - p.x1 AS rx, p.z2 - p.z1 AS rz, q.x1 AS bx, q.z1 AS bz, q.x2 - q.x1 AS ux, q.z2 - q.z1 AS uz FROM e p JOIN e q ON p.cx = q.cx AND p.cz = q.cz AND p.street < q.street),
+    k AS (SELECT *, ((bx - ax)*uz - (bz - az)*ux)/nullif(rx*uz - rz*ux, 0) AS t, ((bx - ax)*rz - (bz - az)*rx)/nullif(rx*uz - rz*ux, 0) AS u FROM j),
+    h AS (SELECT sa, sb, qa, qb, ax + t*rx AS x, az + t*rz AS y FROM k WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)
+    SELECT sa AS street_a, sb AS street_b, round(arg_min(x, qa*2 + qb), 5) AS x, round(arg_min(y, qa*2 + qb), 5) AS y FROM h GROUP BY sa, sb"""
+)
+def street_first_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The first place where two streets meet, their ends pushed out beforehand."""
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey*8 + l_linenumber AS street", f"array(named_struct('x', {_A[0]}, 'z', {_A[1]}), named_struct('x', {_B[0]}, 'z', {_B[1]}), named_struct('x', {_C[0]}, 'z', {_C[1]})) AS line")
+    s = rows.select("street", F.posexplode(G.line_segments(F.col("line"))).alias("seq", "s")).select("street", "seq", *(F.col(f"s.{c}").cast("double").alias(c) for c in ("x1", "z1", "x2", "z2")))
+    return spatial_join.street_intersections(s, 64.0).select("street_a", "street_b", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+WIDE_LON, WIDE_LAT = f"({LON}*2.0)", f"({LAT}*1.2)"
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey, {WIDE_LON} AS lon, {WIDE_LAT} AS lat FROM orders)
+    SELECT o_orderkey, round(least(greatest(6378137.0*radians(CASE WHEN lon > 180 THEN lon - 360 WHEN lon < -180 THEN lon + 360 ELSE lon END), -20037508.342789244), 20037508.342789244), 3) AS mx,
+    round(CASE WHEN lat >= 90 THEN 20037508.342789244 WHEN lat <= -90 THEN -20037508.342789244 ELSE least(greatest(6378137.0*ln(tan(pi()/4 + radians(CASE WHEN abs(lat) < 90 THEN lat ELSE 0 END)*0.5)), -20037508.342789244), 20037508.342789244) END, 3) AS my FROM o"""
+)
+def mercator_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Longitudes beyond the seam and latitudes beyond the square map and the poles."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey", f"{WIDE_LON} AS lon", f"{WIDE_LAT} AS lat")
+    m = C.lonlat_to_mercator(F.col("lon"), F.col("lat"))
+    return o.select("o_orderkey", F.round(m["x"], 3).alias("mx"), F.round(m["y"], 3).alias("my"))
+
+
+_ML, _MT = f"degrees(({INV_X})/6378137.0)", f"degrees(pi()/2 - 2.0*atan(exp(-({INV_Y})/6378137.0)))"
+
+
+@query(f"SELECT o_orderkey, CAST(floor({TX.format(lon=_ML, n=N16)}) AS BIGINT) AS x, CAST(floor({TY.format(lat=_MT, n=N16)}) AS BIGINT) AS y FROM orders")
+def mercator_tile(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").selectExpr("o_orderkey", f"{INV_X} AS mx", f"{INV_Y} AS my")
+    t = C.to_tile(F.col("mx"), F.col("my"), F.lit(C.EPSG_3857), z16())
+    return o.select("o_orderkey", t["x"].alias("x"), t["y"].alias("y"))
+
+
+@query(f"SELECT min({H}) AS lowest FROM lineitem")
+def dem_lowest(spark: SparkSession, d: str) -> DataFrame:
+    return dem.lowest(dem.stats(_pixels(spark, d), ["l_suppkey"]))
+
+
 # The flagship query goes by a shorter name.
 QUERIES["parent_tiles"], ORACLES["parent_tiles"] = QUERIES.pop("parent_tiles_count"), ORACLES.pop("parent_tiles_count")

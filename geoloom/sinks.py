@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -27,13 +28,16 @@ def write_csv(table: DataFrame, path: str) -> None:
 def save_tiles(tiles: DataFrame, folder: str, fetch: Callable[[str], tuple[int, bytes]], ending: str = ".png", tries: int = 10, wait: float = 1.0) -> DataFrame:
     """z, x, y, saved, attempts: each tile's image (column url) written as z_y_x, tried a bounded number of times.
 
-    A file is written under a passing name and then renamed, so a task that runs twice leaves no half of it.
+    folder is an address that all executors reach (a path they share, hdfs://, s3:// and the like, as Arrow knows
+    them). A file is written under a passing name and then moved, so a task that runs twice leaves no half of it.
     """
 
     def run(batches):
         import pandas as pd
+        from pyarrow import fs
 
-        os.makedirs(folder, exist_ok=True)
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
@@ -47,10 +51,11 @@ def save_tiles(tiles: DataFrame, folder: str, fetch: Callable[[str], tuple[int,
                     if status != 200 and k < tries:
                         time.sleep(wait)
                 if status == 200:
-                    name = os.path.join(folder, f"{r.z}_{r.y}_{r.x}{ending}")
-                    with open(f"{name}.{os.getpid()}", "wb") as f:
+                    name = f"{root}/{r.z}_{r.y}_{r.x}{ending}"
+                    passing = f"{name}.{uuid.uuid4().hex}"
+                    with files.open_output_stream(passing) as f:
                         f.write(body)
-                    os.replace(f"{name}.{os.getpid()}", name)
+                    files.move(passing, name)
                 out.append((r.z, r.x, r.y, status == 200, k))
             yield pd.DataFrame(out, columns=["z", "x", "y", "saved", "attempts"])
 

@@ -300,3 +300,29 @@ class Archive:
                 return self._open(self.read(self.data + at, size), self.packing) if want < start + run else None
             offset, n = self.leaves + at, size
         return None
+
+
+def archive_tiles(tiles: DataFrame, archive: str) -> DataFrame:
+    """z, x, y and content of tiles (z, x, y) from an archive at an address all executors reach; absent ones are left out.
+
+    Tiles are dealt out by their place in the archive, so that neighbours are read by one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(archive)
+        with files.open_input_file(path) as f:
+            a = Archive(lambda at, n: f.read_at(n, at))
+            for b in batches:
+                keys = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+                got = [(k, v) for k in sorted(keys, key=lambda k: archive_id(*k)) if (v := a.tile(*k)) is not None]
+                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k, _ in got], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))), pa.array([v for _, v in got], pa.binary())], names=["z", "x", "y", "content"])
+
+    wanted = tiles.selectExpr("cast(z as int) z", "cast(x as bigint) x", "cast(y as bigint) y").dropna().distinct()
+    return wanted.mapInArrow(run, "z int, x bigint, y bigint, content binary")
+
+
+def archive_features(tiles: DataFrame, archive: str) -> DataFrame:
+    """Features of an archive's vector tiles; see vector_features."""
+    return vector_features(archive_tiles(tiles, archive))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,7 +35,8 @@ def satellite(host: str, map_type: str, z: Column, x: Column, y: Column, sku: Co
 
 
 def elevation(host: str, map_type: str, z: Column, x: Column, y: Column, sku: Column, token: str, boosted: bool = False) -> Column:
-    return F.concat(slippy(F.lit(f"{host}{map_type}/"), z, x, y, ("@2x" if boosted else "") + ".pngraw"), F.lit("?sku="), sku, F.lit(f"&access_token={token}"))
+    """Elevation tiles end at zoom 15, at 14 in double resolution; beyond there is no address (null)."""
+    return F.concat(slippy(F.lit(f"{host}{map_type}/"), F.when(z <= (14 if boosted else 15), z), x, y, ("@2x" if boosted else "") + ".pngraw"), F.lit("?sku="), sku, F.lit(f"&access_token={token}"))
 
 
 def wmts(base: str, layer: str, style: str, matrix_set: str, z: Column, x: Column, y: Column, ending: str = ".png", cache: str | None = None) -> Column:
@@ -85,6 +88,14 @@ def clean_end(status: Column, start: Column) -> Column:
     return status.isin(400, 416) & (start > 0)
 
 
+def newest_release(listing: str) -> str:
+    """latest_release of one listing held as text; an empty one is an error, as nothing could be read."""
+    names = re.findall(r"<Prefix>[^<]*?([^<>/]+)/</Prefix>", listing)
+    if not names:
+        raise ValueError("the listing names no release")
+    return max(names)
+
+
 def latest_release(listing: Column) -> Column:
     """The last, by name, of the releases in a bucket listing; NULL if there is none."""
     return F.array_max(F.regexp_extract_all(listing, F.lit(r"<Prefix>tiles/([^<]+)/</Prefix>"), F.lit(1)))

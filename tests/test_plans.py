@@ -46,3 +46,33 @@ def test_placement(spark):
     assert got[2, 0]["reason"] == "unknown projection" and len(got) == 10
     with pytest.raises(ValueError):
         buildings.point_marker(F.col("plane"), 0)
+
+
+SQUARES = {"type": "MultiPolygon", "coordinates": [[[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]], [[[30, 0], [32, 0], [32, 2], [30, 2], [30, 0]]]]}
+
+
+def body(spark, *features):
+    text = json.dumps({"crs": "EPSG:4326", "features": [{"type": "Feature", "id": i, "properties": p, "geometry": g} for i, (p, g) in enumerate(features)]})
+    return spark.createDataFrame([(1, text)], "page bigint, t string").withColumn("v", F.try_parse_json("t"))
+
+
+def test_a_feature_lies_where_the_middle_of_all_its_parts_does(spark):
+    spec = TileSet(8, 4, 10.0).at(1.0, 16.0, 5)
+    line = {"type": "MultiLineString", "coordinates": [[[0, 1], [32, 1]], [[5, 5]]]}
+    b = body(spark, ({"a": 1}, SQUARES), ({}, line), ({}, {"type": "Point", "coordinates": [16, 1]}), ({}, {"type": "Polygon", "coordinates": json.dumps(SQUARES["coordinates"][0])}))
+    got = buildings.place(b, ["page"], spec, F.lit(None).cast("int")).orderBy("feature_no").collect()
+    middle = got[2]["tile"]
+    assert [r["reason"] for r in got] == [None] * 4 and got[0]["tile"] == got[1]["tile"] == middle != got[3]["tile"]
+    assert [len(r["parts"]) for r in got] == [2, 1, 1, 1] and len(got[1]["lines"]) == 2 and str(got[0]["properties"]) == '{"a":1}'
+    assert not got[0]["contained"] and len(got[1]["parts"][0][0]) == 5
+    asked = F.struct(F.lit(5).alias("z"), F.lit(0).alias("x"), F.lit(15).alias("y"))
+    assert {r["reason"] for r in buildings.place(b, ["page"], spec, F.lit(None).cast("int"), requested=asked).collect()} == {"tile not shown"}
+    with pytest.raises(ValueError):
+        buildings.place(b, ["page"], spec, F.lit(None), line_width=0.0)
+
+
+def test_parts_are_merged_into_one_mesh(spark):
+    spec = TileSet(8, 4, 10.0).at(1.0, 16.0, 5)
+    placed = buildings.place(body(spark, ({"height": 9}, SQUARES), (None, SQUARES)), ["page"], spec, F.lit(None).cast("int"))
+    got = buildings.meshes(placed, F.col("feature_no").cast("bigint"), spec).collect()
+    assert [(r["feature"], r["n_parts"], r["n_triangles"], len(r["positions"])) for r in got] == [(0, 2, 36, 36 * 9)]

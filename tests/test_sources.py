@@ -83,6 +83,37 @@ def test_archives():
     assert [decode.archive_id(1, *p) for p in ((0, 0), (0, 1), (1, 1), (1, 0))] == [1, 2, 3, 4]
 
 
+def test_archives_as_a_table(spark, tmp_path):
+    tile = layer("building", [(7, 3, SQUARE)])
+    place = decode.archive_id(1, 1, 0)
+    d = vint(1) + vint(place) + vint(1) + vint(len(tile)) + vint(1)
+    head = b"PMTiles\x03" + struct.pack("<11Q", 127, len(d), 0, 0, 127 + len(d), 0, 127 + len(d), len(tile), 1, 1, 1) + bytes([1, 1, 1, 1, 0, 1])
+    (tmp_path / "a.pmtiles").write_bytes(head.ljust(127, b"\0") + d + tile)
+    wanted = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (1, 0, 0), (None, 1, 1)], "z int, x long, y long")
+    got = decode.archive_features(wanted, str(tmp_path / "a.pmtiles")).collect()
+    assert [(r["z"], r["x"], r["y"], r["id"], r["geometry_type"]) for r in got] == [(1, 1, 0, "7", "Polygon")]
+    with pytest.raises(ValueError):
+        urls.newest_release("<List/>")
+    assert urls.newest_release("<Prefix>tiles/2026-06-17.0/</Prefix><Prefix>tiles/2026-07-22.0/</Prefix>") == "2026-07-22.0"
+
+
+def test_features_of_a_table_of_requests(spark, tmp_path):
+    a = "https://w.example/ows?l=a"
+    (tmp_path / "index.json").write_text(json.dumps(service(tmp_path, a, 5, 2)))
+    ask = spark.createDataFrame([("t1", a), ("t2", a), ("t3", "https://w.example/none"), (None, None)], "tile string, url string")
+    got = wfs.fetch_features(ask, wfs.folder_fetch(str(tmp_path)), 2, retries=0)
+    assert sorted((r["tile"], json.loads(r["feature"])["id"]) for r in got.collect() if r["feature"]) == [("t1", i) for i in range(5)]
+    assert [(r["tile"], r["error"]) for r in got.collect() if r["error"]] == [("t3", "HTTP 404")]
+    assert wfs.complete(got).count() == 5
+    # Asked once, 204 and 404 are no features; no answer is an error row, not a dead job.
+    assert list(wfs.pages("https://w.example/x", None, lambda u: (404, "")))[0][1:] == (404, [], None)
+    assert wfs.http("http://127.0.0.1:9/none")[0] == 0 and wfs.http("nonsense")[0] == 0
+    assert wfs.fetch_features(ask.limit(1), wfs.http, None, retries=0).filter("error LIKE 'no answer%'").count() in (0, 1)
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "response.json").write_text('{"features": [1]}')
+    assert wfs.folder_fetch(str(tmp_path / "one"))("any") == (200, '{"features": [1]}')
+
+
 def test_addresses(spark):
     assert urls.with_page("https://w.example/ows?a=1&count=9", 2, 4) == "https://w.example/ows?a=1&count=2&startIndex=4"
     assert urls.with_page("ows", 2, 0) == "ows?count=2&startIndex=0" and urls.with_page("ows?a=1", 2, 0) == "ows?a=1&count=2&startIndex=0"

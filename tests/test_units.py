@@ -60,3 +60,7 @@ def test_empty_tables(spark):
     assert U.to_common_units(features(spark, []), providers(spark)).count() == 0
     got = U.to_common_units(features(spark, [(1, "A", None, None, "10", None, None)]), providers(spark).limit(0)).first()
     assert got["height_m"] == 10
+
+
+def test_a_comma_groups_thousands_of_small_units():
+    assert U.read_quantity("12,500 mm")[0] == 12.5 and U.read_quantity("1,250 ft")[0] == 381.0 and U.read_quantity("12,5 m")[0] == 12.5 and U.read_quantity("12,500 m")[0] == 12.5
