@@ -143,7 +143,7 @@ def rename_evidence(ex: DataFrame, pairs: DataFrame) -> DataFrame:
     have = ex.filter("rec IS NOT NULL AND vhash IS NOT NULL").select("feed_id", F.col("file_id").alias("of"), "rec", "path", "vhash")
     # A record repeated in a file counts once, so no group of repeats meets another; what a record lost and gained are
     # a few keys.
-    once = have.join(wanted, ["feed_id", "of", "path"]).groupBy("feed_id", "pair", "rec", "path", "new").agg(F.max("vhash").alias("v"))
+    once = cut(have.join(wanted, ["feed_id", "of", "path"]).groupBy("feed_id", "pair", "rec", "path", "new").agg(F.max("vhash").alias("v")))
     keys = lambda new: F.collect_list(F.when(F.col("new") == F.lit(new), F.struct("path", "v")))
     both = once.groupBy("feed_id", "pair", "rec").agg(keys(False).alias("o"), keys(True).alias("n")).filter("size(o) > 0 AND size(n) > 0")
     both = both.select("feed_id", F.col("pair").alias("file_id"), F.explode("o").alias("o"), "n").select("feed_id", "file_id", "o", F.explode("n").alias("n"))
