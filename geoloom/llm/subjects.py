@@ -149,6 +149,22 @@ def otsu(count: np.ndarray) -> int:
     return int(np.argmax(between))
 
 
+def orthonormal(z: np.ndarray) -> np.ndarray:
+    """z (rows x few columns) turned in place into an orthonormal basis of its column space, largest directions first.
+
+    By way of the small matrix of products, a block of rows at a time; directions of no length become columns of 0.
+    """
+    blocks = range(0, len(z), 4096)
+    gram = sum(b.T @ b for b in (z[lo : lo + 4096].astype(float) for lo in blocks))
+    size, turn = np.linalg.eigh(gram)
+    size, turn = size[::-1], turn[:, ::-1]
+    real = size > size[0] * 1e-12
+    turn = turn * np.where(real, 1 / np.sqrt(np.where(real, size, 1)), 0)
+    for lo in blocks:
+        z[lo : lo + 4096] = z[lo : lo + 4096] @ turn
+    return z
+
+
 BINS, TOP = 256, 6.0
 
 
@@ -281,9 +297,7 @@ def assign_subjects(docs: DataFrame, subjects: DataFrame, labels: DataFrame, nam
 
         z = _slabs(distinct.select("t", "n"), step, TERMS, width)
         basis.destroy()  # all its readers are done
-        z += np.float32(1e-12)
-        q = np.linalg.qr(z)[0]
-        del z
+        q = orthonormal(z)
     basis = spark.sparkContext.broadcast(np.ascontiguousarray(q[:, :DIMS], np.float32))
     del q
 
