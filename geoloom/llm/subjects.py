@@ -63,9 +63,13 @@ def repaired(text: str) -> str:
 
 def plain(text: str | None) -> str:
     """Without markup, accents and case; digits are all 0."""
-    s = unicodedata.normalize("NFKD", MARKUP.sub(" ", repaired(text or "")))
-    s = "".join(c for c in s if not unicodedata.combining(c)).lower()
-    return re.sub(r"\d+", "0", s)
+    s = MARKUP.sub(" ", repaired(text or ""))
+    if not s.isascii():
+        s = unicodedata.normalize("NFKD", s)
+        for c in set(s):
+            if unicodedata.combining(c):
+                s = s.replace(c, "")
+    return re.sub(r"\d+", "0", s.lower())
 
 
 def segments(text: str | None) -> Iterator[str]:
