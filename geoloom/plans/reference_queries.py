@@ -405,8 +405,8 @@ def street_intersections(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT street, round(x1 - 0.25*(x2 - x1)/sqrt((x2 - x1)*(x2 - x1) + (z2 - z1)*(z2 - z1)), 6) AS sx, round(x2 + 0.25*(x2 - x1)/sqrt((x2 - x1)*(x2 - x1) + (z2 - z1)*(z2 - z1)), 6) AS ex FROM ({SEG}) WHERE x1 <> x2 OR z1 <> z2")
 def segments_extended(spark: SparkSession, d: str) -> DataFrame:
-    line = F.array(C.xz(F.col("x1"), F.col("z1")), C.xz(F.col("x2"), F.col("z2")))
-    s = _streets(spark, d).filter("x1 <> x2 OR z1 <> z2").select("street", F.explode(G.line_segments(line)).alias("s"))
+    ends = [F.col(c) for c in ("x1", "z1", "x2", "z2")]
+    s = _streets(spark, d).filter("x1 <> x2 OR z1 <> z2").select("street", G.pushed_segment(*ends).alias("s"))
     return s.select("street", F.round("s.x1", 6).alias("sx"), F.round("s.x2", 6).alias("ex"))
 
 
@@ -417,8 +417,8 @@ _d = "sqrt((x2 - x1)*(x2 - x1) + (z2 - z1)*(z2 - z1))"
     f"""SELECT street, 5 AS n_points, round(x1 - (z2 - z1)/{_d}*3.0, 3) AS x0, round(z1 + (x2 - x1)/{_d}*3.0, 3) AS z0, round(x2 + (z2 - z1)/{_d}*3.0, 3) AS x2, round(z2 - (x2 - x1)/{_d}*3.0, 3) AS z2 FROM ({SEG}) WHERE {_d} > 0"""
 )
 def line_buffer(spark: SparkSession, d: str) -> DataFrame:
-    line = F.array(C.xz(F.col("x1"), F.col("z1")), C.xz(F.col("x2"), F.col("z2")))
-    s = _streets(spark, d).filter("x1 <> x2 OR z1 <> z2").select("street", G.buffer_line(line, 6.0).alias("o"))
+    ends = [F.col(c) for c in ("x1", "z1", "x2", "z2")]
+    s = _streets(spark, d).filter("x1 <> x2 OR z1 <> z2").select("street", G.buffer_segment(*ends, 6.0).alias("o"))
     return s.select("street", F.size("o").alias("n_points"), *(F.round(F.col("o")[i][c], 3).alias(f"{c}{i}") for i, c in ((0, "x"), (0, "z"), (2, "x"), (2, "z"))))
 
 

@@ -30,6 +30,18 @@ def test_lines(spark):
     assert tuple(on(spark, [(0, 0), (0, 0)], lambda p: G.buffer_line(p, 6.0))[0]) == (0.0, 0.0)
 
 
+def test_segments_are_lines_of_two_points(spark):
+    rows = [(0.0, 0.0, 3.0, 4.0), (1.0, 2.0, 1.0, 2.0), (5.0, -1.0, -7.5, 2.25)]
+    df = spark.createDataFrame(rows, "x1 double, z1 double, x2 double, z2 double")
+    ends = [F.col(c) for c in df.columns]
+    line = F.array(F.struct(ends[0].alias("x"), ends[1].alias("z")), F.struct(ends[2].alias("x"), ends[3].alias("z")))
+    for r in df.select(G.buffer_segment(*ends, 6.0).alias("a"), G.buffer_line(line, 6.0).alias("b"), G.pushed_segment(*ends).alias("c"), G.line_segments(line).alias("d")).collect():
+        assert [v for p in r["a"] for v in p] == pytest.approx([v for p in r["b"] for v in p]) and len(r["a"]) == len(r["b"]) == 5
+        assert list(r["c"]) == pytest.approx(list(r["d"][0])) and len(r["d"]) == 1
+    with pytest.raises(ValueError):
+        G.buffer_segment(*ends, -1.0)
+
+
 def test_rings(spark):
     square = [(0, 0), (4, 0), (4, 2), (0, 2)]
     dent = [(0, 0), (4, 0), (2, 1), (4, 2), (0, 2)]
