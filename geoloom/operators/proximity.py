@@ -213,12 +213,10 @@ def layout(points: DataFrame, metres: float, sample: int, per_leaf: int) -> tupl
     return QuadTree(rows["lon"].to_numpy(float), rows["lat"].to_numpy(float), max(8, int(per_leaf / max(weight, 1e-9))), 2 * dlat), total
 
 
-def point_joins(points: DataFrame, zones: DataFrame, metres: float = 30.0, point_id: str = "point_id", lat: str = "latitude", lon: str = "longitude", zone_id: str = "zone_id", sample: int = 40_000, per_leaf: int = 4_000) -> DataFrame:
-    """kind, key_a, key_b: 'near' pairs of points at most metres apart (key_a < key_b), 'inside' point and zone.
+def position_joins(points: DataFrame, zones: DataFrame, metres: float, point_id: str, lat: str, lon: str, zone_id: str, sample: int, per_leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct positions joined: (chunks of point ids by position, positions with their number of points, found).
 
-    Points without a possible position and zones without a readable polygon take no part. Points at one position
-    are near one another; a repeated row (same id) is no partner of itself. Ties at exactly metres count. An empty
-    table gives no rows. Only the named columns are read, so other names cannot clash.
+    found has lat_a, lon_a with lat_b, lon_b of another position near it, or with a zone it is in.
     """
     own = valid_positions(points, point_id, lat, lon)
     tree, total = layout(own, metres, sample, per_leaf)
@@ -300,6 +298,17 @@ def point_joins(points: DataFrame, zones: DataFrame, metres: float = 30.0, point
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("lat_a", float), ("lon_a", float), ("lat_b", float), ("lon_b", float), ("zone", "Int64"))})
 
     found = placed.unionByName(placed_zones).groupBy("leaf").applyInPandas(within_leaf, "lat_a double, lon_a double, lat_b double, lon_b double, zone bigint")
+    return chunks, positions, found
+
+
+def point_joins(points: DataFrame, zones: DataFrame, metres: float = 30.0, point_id: str = "point_id", lat: str = "latitude", lon: str = "longitude", zone_id: str = "zone_id", sample: int = 40_000, per_leaf: int = 4_000) -> DataFrame:
+    """kind, key_a, key_b: 'near' pairs of points at most metres apart (key_a < key_b), 'inside' point and zone.
+
+    Points without a possible position and zones without a readable polygon take no part. Points at one position
+    are near one another; a repeated row (same id) is no partner of itself. Ties at exactly metres count. An empty
+    table gives no rows. Only the named columns are read, so other names cannot clash.
+    """
+    chunks, positions, found = position_joins(points, zones, metres, point_id, lat, lon, zone_id, sample, per_leaf)
     side = lambda s: chunks.select(F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"), F.col("salt").alias(f"salt_{s}"), F.col("ids").alias(f"ids_{s}"))
     same = positions.filter("n > 1").select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.lit(None).cast("bigint").alias("zone"))
     a = found.unionByName(same).join(side("a"), ["lat_a", "lon_a"])
@@ -313,5 +322,23 @@ def point_joins(points: DataFrame, zones: DataFrame, metres: float = 30.0, point
     return near.unionByName(contained)
 
 
+
+def class_joins(points: DataFrame, zones: DataFrame, metres: float = 30.0, point_id: str = "point_id", lat: str = "latitude", lon: str = "longitude", zone_id: str = "zone_id", sample: int = 40_000, per_leaf: int = 4_000) -> DataFrame:
+    """point_joins without the pairs within and between groups of points at one position.
+
+    A position is known by its smallest point id, its class. kind 'member': each point and its class; 'near': two
+    classes near each other (key_a < key_b); 'inside': a class and a zone. A position with a third of all points
+    gives one row a point, not their pairs.
+    """
+    chunks, _, found = position_joins(points, zones, metres, point_id, lat, lon, zone_id, sample, per_leaf)
+    classes = chunks.groupBy("lat", "lon").agg(F.min(F.array_min("ids")).alias("class"))
+    member = chunks.join(classes, ["lat", "lon"]).select(F.lit("member").alias("kind"), F.explode("ids").alias("key_a"), F.col("class").alias("key_b"))
+    named = lambda k: classes.select(F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}"), F.col("class").alias(f"class_{k}"))
+    a = found.join(named("a"), ["lat_a", "lon_a"])
+    near = a.filter("zone IS NULL").join(named("b"), ["lat_b", "lon_b"]).select(F.lit("near").alias("kind"), F.least("class_a", "class_b").alias("key_a"), F.greatest("class_a", "class_b").alias("key_b"))
+    inside_of = a.filter("zone IS NOT NULL").select(F.lit("inside").alias("kind"), F.col("class_a").alias("key_a"), F.col("zone").alias("key_b"))
+    return member.unionByName(near).unionByName(inside_of)
+
+
 PLACED = ["leaf", "own", "lat", "lon", "sx", "zone", "geometry"]
 PLACED_SCHEMA = "leaf bigint, own boolean, lat double, lon double, sx double, zone bigint, geometry string"

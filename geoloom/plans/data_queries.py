@@ -56,6 +56,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return proximity.point_joins(table(spark, d, "jcsu_points"), table(spark, d, "zones"))
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """p6_found with one class for all points at a position."""
+    return proximity.class_joins(table(spark, d, "jcsu_points"), table(spark, d, "zones"))
+
+
 def p7_filled(spark: SparkSession, d: str) -> DataFrame:
     return hotdeck.fill_buildings(table(spark, d, "features"), table(spark, d, "providers"))
 
@@ -66,7 +71,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_nodes, p2_subtrees, p4_found, p4_common, p5_found, p5_unified, p6_found, p7_found, p7_filled)
+    f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_nodes, p2_subtrees, p4_found, p4_common, p5_found, p5_unified, p6_found, p6_classes, p7_found, p7_filled)
 }
 
 
@@ -111,6 +116,9 @@ SELECT 'near' AS kind, a.point_id AS key_a, b.point_id AS key_b FROM p a JOIN p
 WHERE 2*6371008.8*asin(sqrt(pow(sin(radians(b.y - a.y)/2), 2) + cos(radians(a.y))*cos(radians(b.y))*pow(sin(radians(b.x - a.x)/2), 2))) <= 30
 UNION ALL SELECT 'inside', point_id, zone_id FROM p JOIN e ON (ya > y) <> (yb > y) AND x < (xb - xa)*(y - ya)/(yb - ya) + xa GROUP BY point_id, zone_id HAVING count(*) % 2 = 1"""
 
+_P6_CLASSES = f"""WITH p AS (SELECT min(point_id) AS point_id, latitude AS y, longitude AS x FROM jcsu_points WHERE {_ON} AND point_id IS NOT NULL GROUP BY latitude, longitude),
+""" + _P6[_P6.index("z AS (") :] + f" UNION ALL SELECT DISTINCT 'member', point_id, min(point_id) OVER (PARTITION BY latitude, longitude) FROM jcsu_points WHERE {_ON}"
+
 _P5 = """WITH r AS (SELECT row_id, feed_id, file_id, exported_at, properties, coalesce(json_extract_string(properties, '$.OBJECTID'), json_extract_string(properties, '$.id')) AS rec FROM feed_rows WHERE json_valid(properties)),
 k AS (SELECT row_id, feed_id, file_id, exported_at, rec, key, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT') THEN 'number' WHEN type = 'VARCHAR' THEN 'string' WHEN type = 'NULL' THEN NULL ELSE lower(type) END AS t,
   CASE type WHEN 'ARRAY' THEN json_extract_string(value, '$[0]') WHEN 'OBJECT' THEN json_extract_string(value, '$.*')[1] ELSE json_extract_string(value, '$') END AS v FROM (SELECT r.*, e.key, e.type, e.value FROM r, json_each(r.properties) e)),
@@ -165,4 +173,4 @@ UNION ALL SELECT page_id, no::INTEGER, 'unit', i::INTEGER, k::INTEGER FROM u WHE
 _KIDS = _P2.index("SELECT page_id, no::INTEGER AS feature_no")
 _P2_SUBTREES = f"{_P2[:_KIDS].rstrip()}, kids AS ({_P2[_KIDS:]}) SELECT page_id, no::INTEGER AS feature_no, count(child) AS n_below FROM g LEFT JOIN kids ON kids.page_id = g.page_id AND feature_no = no GROUP BY ALL".replace("SELECT page_id, no::INTEGER AS feature_no, count", "SELECT g.page_id, no::INTEGER AS feature_no, count")
 
-ORACLES: dict[str, str] = {"p2_found": _P2, "p2_subtrees": _P2_SUBTREES, "p5_found": _P5, "p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p7_found": _P7}
+ORACLES: dict[str, str] = {"p2_found": _P2, "p2_subtrees": _P2_SUBTREES, "p5_found": _P5, "p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p6_classes": _P6_CLASSES, "p7_found": _P7}
