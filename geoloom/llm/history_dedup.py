@@ -567,6 +567,14 @@ class FeatureHistory:
         fs, at = hadoop_path(spark, f"{self.path}/{name}")
         fs.create(at, False).close()
 
+    def _name(self) -> str:
+        return f"feature_history_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
+
+    def discard(self, spark: SparkSession) -> None:
+        """Removes the history and its table."""
+        spark.sql(f"DROP TABLE IF EXISTS {self._name()}")
+        drop(spark, self.path)
+
     def table(self, spark: SparkSession) -> str:
         """The index as a table of the session's catalog, which is what knows buckets."""
         sizes = [int(n.split("-")[1]) for n in self._names(spark) if n.startswith("buckets-")]
@@ -574,7 +582,7 @@ class FeatureHistory:
             sizes = [self.buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))]
             self._touch(spark, f"buckets-{sizes[0]}")
         self.buckets = sizes[0]
-        name = f"feature_history_{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}"
+        name = self._name()
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({self.COLUMNS}) USING parquet PARTITIONED BY (part) CLUSTERED BY (hash) INTO {sizes[0]} BUCKETS LOCATION '{self.path}/index'")
         if spark.conf.get("spark.sql.catalogImplementation") == "hive":
             spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
@@ -735,6 +743,6 @@ def repeats(features: DataFrame, tolerance: float = 0.5, limit: int = LIMIT) ->
     if not folders:
         return spark.createDataFrame([], "row_a bigint, row_b bigint")
     pairs = stored(staged.pairs(direct_repeats(spark, folders)), f"{at}/pairs")
-    for done in ("firsts", "accepted"):
-        drop(spark, f"{at}/{done}")
+    history.discard(spark)
+    drop(spark, f"{at}/firsts")
     return pairs
