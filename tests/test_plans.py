@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from geoloom.operators import hotdeck
 from geoloom.operators.grid import TileSet
 from geoloom.plans import buildings
 
@@ -27,9 +28,9 @@ def test_only_what_is_needed_is_read(spark, small, name, columns):
     assert read <= columns
 
 
-def test_points_are_filtered_in_the_scan(spark, small):
-    p = plan(spark, spark.read.parquet(f"{small}/geojson_pages.parquet").filter("status = 200").select("page_id"))
-    assert "PushedFilters: [IsNotNull(status), EqualTo(status,200)]" in p
+def test_buildings_are_filtered_in_the_scan(spark, small):
+    b = hotdeck.measured_buildings(spark.read.parquet(f"{small}/features.parquet"), spark.read.parquet(f"{small}/providers.parquet"))
+    assert "PushedFilters: [In(geometry_type, [MultiPolygon,Polygon])]" in plan(spark, b)
 
 
 def test_placement(spark):
