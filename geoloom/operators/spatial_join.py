@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
@@ -29,20 +29,29 @@ def street_intersections(segments: DataFrame, cell: float, all_hits: bool = Fals
     """Where streets meet: street_a < street_b, x, y and the directions of the two segments.
 
     segments has street, seq, x1, z1, x2, z2. Each is put into the cells it runs through; two meet in the cell of
-    their common point, so that no pair comes twice. Only the first hit of a pair (by seq of a, then of b) is
-    reported, unless all_hits. Segments of no length and null ends meet nothing.
+    their common point, so that no pair comes twice. Only the first hit of a pair (by seq of a, then of b; ties by
+    x and y) is reported, unless all_hits. Segments of no length and null ends meet nothing.
     """
     s = segments.filter("x1 IS NOT NULL AND z1 IS NOT NULL AND x2 IS NOT NULL AND z2 IS NOT NULL AND street IS NOT NULL").select("street", "seq", "x1", "z1", "x2", "z2", F.least("x1", "x2").alias("lx"), F.greatest("x1", "x2").alias("hx"), F.least("z1", "z2").alias("lz"), F.greatest("z1", "z2").alias("hz"))
-    e = _visited(s, cell)
-    a, b = (e.select("cx", "cz", *(F.col(c).alias(f"{c}_{k}") for c in s.columns)) for k in "ab")
-    j = a.join(b, ["cx", "cz"]).filter("street_a < street_b AND lx_a <= hx_b AND lx_b <= hx_a AND lz_a <= hz_b AND lz_b <= hz_a")
+    # One number for each cell, which sorts by itself; a segment is its box and the corners it runs between, as boxes are what nearly all pairs are told apart by.
+    number = lambda cx, cz: F.shiftleft(cx, 32).bitwiseXOR(cz)
+    way = F.when(F.col("x1") > F.col("x2"), 1).otherwise(0) + F.when(F.col("z1") > F.col("z2"), 2).otherwise(0)
+    e = _visited(s, cell).select(number(F.col("cx"), F.col("cz")).alias("cell"), "street", "seq", "lx", "hx", "lz", "hz", way.alias("way"))
+    a, b = (e.select("cell", *(F.col(c).alias(f"{c}_{k}") for c in e.columns[1:])) for k in "ab")
+    j = a.join(b, "cell").filter("street_a < street_b AND lx_a <= hx_b AND lx_b <= hx_a AND lz_a <= hz_b AND lz_b <= hz_a")
+    for k in "ab":
+        back, down = (F.col(f"way_{k}").bitwiseAND(bit) > 0 for bit in (1, 2))
+        pick = lambda turned, one, other, k=k: F.when(turned, F.col(f"{one}_{k}")).otherwise(F.col(f"{other}_{k}"))
+        j = j.withColumns({f"x1_{k}": pick(back, "hx", "lx"), f"z1_{k}": pick(down, "hz", "lz"), f"x2_{k}": pick(back, "lx", "hx"), f"z2_{k}": pick(down, "lz", "hz")})
     col = lambda k: tuple(F.col(f"{c}_{k}") for c in ("x1", "z1", "x2", "z2"))
-    hit = j.withColumn("p", G.intersection(col("a"), col("b"))).filter((F.floor(F.col("p.x") / cell) == F.col("cx")) & (F.floor(F.col("p.y") / cell) == F.col("cz")))
-    hit = hit.select("street_a", "street_b", "seq_a", "seq_b", F.col("p.x").alias("x"), F.col("p.y").alias("y"), G.direction(*col("a")).alias("dir_a"), G.direction(*col("b")).alias("dir_b"))
+    ids, dirs = ["street_a", "street_b", "seq_a", "seq_b"], [G.direction(*col(k)).alias(f"dir_{k}") for k in "ab"]
+    # Not a filter: Catalyst would write it into the join's condition, a method then too long for the JVM to compile, run for each pair of a cell.
+    hit = j.select(*ids, "cell", *dirs, F.explode(F.array(G.intersection(col("a"), col("b")))).alias("p")).filter("p IS NOT NULL")
+    hit = hit.filter(number(F.floor(F.col("p.x") / cell), F.floor(F.col("p.y") / cell)) == F.col("cell")).select(*ids, F.col("p.x").alias("x"), F.col("p.y").alias("y"), "dir_a", "dir_b")
     if all_hits:
         return hit
-    first = hit.groupBy("street_a", "street_b").agg(F.min_by(F.struct("x", "y", "dir_a", "dir_b"), F.struct("seq_a", "seq_b")).alias("h"))
-    return first.select("street_a", "street_b", "h.*")
+    first = F.row_number().over(Window.partitionBy("street_a", "street_b").orderBy("seq_a", "seq_b", "x", "y"))
+    return hit.repartition("street_a", "street_b").withColumn("n", first).filter("n = 1").select("street_a", "street_b", "x", "y", "dir_a", "dir_b")
 
 
 def keepers(edges: DataFrame) -> DataFrame:
